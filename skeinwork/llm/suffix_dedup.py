@@ -8,7 +8,7 @@ same document. The work is dealt out by content, so that equal strings always me
    a whole to an earlier one goes; of keys that occur in several different segments, the first of each goes on.
 2. The bytes of those segments are gathered by key. Shards of them get their own transform, and the shards' transforms are
    merged by iterative interleave refinement: starting from one shard after the other, each pass through the symbols sorts
-   the interleaving by one more symbol, without sorting any suffix again. The pass at which two neighbours part is their
+   the interleaving by one more symbol, without sorting any suffix again. The passes before two neighbours part are their
    common prefix, so after LENGTH passes the runs that haven't parted are the repeated intervals. In each, the first
    position stays, and the windows at all others go.
 3. Runs that go are gathered by document and cut out.
@@ -29,7 +29,7 @@ from .textkit import Hasher, mix, ragged, slices
 
 LENGTH, GRAM = 100, 32
 BUCKETS = 1024
-SHARD_BYTES, MERGE_BYTES = 256 << 10, 2 << 20
+SHARD_BYTES, MERGE_BYTES = 128 << 10, 1 << 20
 SEGMENT, SPAN = 0, 1
 _PLACE = np.uint64(0xFF)
 #: Added to a segment's number of windows (less than that) where it may repeat a string within itself.
@@ -205,69 +205,76 @@ def _sifted(keyed: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Strings with their Burrows-Wheeler transform: each ends in a terminator of its own, which sorts first, by number."""
+    """Strings with their Burrows-Wheeler transform: rows are suffixes in order, the empty one at each string's end included.
 
-    def __init__(self, data: np.ndarray, lengths: np.ndarray):
-        """data: the strings without terminators, one after the other."""
-        n = len(lengths)
+    ``symbols`` has the byte before each suffix, and ``back`` the row of the suffix that begins with it. Suffixes are ordered
+    by LENGTH symbols or more; beyond that order doesn't matter, as the merge goes no further.
+    """
+
+    def __init__(self, data: np.ndarray, lengths: np.ndarray, length: int = LENGTH):
+        """data: the strings, one after the other."""
         size = lengths + 1
         begin = np.cumsum(size) - size
-        text = np.zeros(int(size.sum()), np.int16)
-        text[ragged(begin, lengths)] = data.astype(np.int16) + 1
-        self.string = np.repeat(np.arange(n), size)
-        self.place = np.arange(len(text)) - begin[self.string]
-        left = lengths[self.string] - self.place  # symbols before the terminator
-        rank = text.astype(np.int64)
-        reach, at = 1, np.arange(len(text))
-        while reach <= int(lengths.max(initial=0)):
-            after = np.minimum(at + reach, len(text) - 1)
-            both = rank * (len(text) + 257) + np.where(left >= reach, rank[after], 0)
-            order = np.argsort(both, kind="stable")
-            laid = both[order]
-            rank = np.empty(len(text), np.int64)
-            rank[order] = np.cumsum(np.concatenate([[0], laid[1:] != laid[:-1]]))
+        n = int(size.sum())
+        text = np.zeros(n, np.uint8)
+        text[ragged(begin, lengths)] = data
+        string = np.repeat(np.arange(len(lengths)), size)
+        place = np.arange(n) - begin[string]
+        rest = lengths[string] - place
+        word = np.zeros(n, np.uint64)
+        for i in range(8):
+            word[: n - i] |= text[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
+        word &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.minimum(rest, 8).astype(np.uint64)) % np.uint64(64))
+        word[rest == 0] = 0
+        rank, reach = self._ranks(word), 8
+        while reach < length and int(rank.max(initial=0)) < n - 1:
+            after = np.zeros(n, np.int64)
+            after[: n - reach] = rank[reach:] + 1
+            after[rest < reach] = 0
+            rank = self._ranks(rank * (n + 1) + after)
             reach *= 2
-        # equal suffixes, terminators included, stay in order of their strings
-        self.order = np.argsort(rank, kind="stable")
-        self.n_strings = n
-        self.symbols = np.where(self.place == 0, 0, text[at - 1])[self.order].astype(np.int16)
-
-
-def merge(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interleaves the shards' transforms: (shard of each suffix, its index in that shard's order, common prefix with the one before).
-
-    Common prefixes count up to ``length``; that value stands for as long or longer.
+        order = np.argsort(rank)
+        row = np.empty(n, np.int32)
+        row[order] = np.arange(n, dtype=np.int32)
+        before = np.maximum(order - 1, 0)
+        self.symbols, self.back = text[before], row[before]
+        self.string, self.place, self.rest = string[order], place[order], rest[order]
+        self.n_strings = len(lengths)
+
+    @staticmethod
+    def _ranks(keys: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        laid = keys[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], laid[1:] != laid[:-1]]))
+        return rank
+
+
+def repeated_intervals(shards: list[Shard], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the shards' transforms; (row, interval) of the suffixes that share ``length`` symbols with another one.
+
+    Rows count over all shards in turn. The interleaving begins with the shards one after the other. A pass reads the symbol
+    before each suffix in the order so far and moves the suffixes that begin with it, in that order, to the symbol's place:
+    then the interleaving is sorted by one symbol more. Neighbours that differ there part, and their common prefix is the
+    number of passes before. A suffix that has parted from both neighbours is settled, and so is whatever would be reached
+    from it, so it is left out; so are suffixes that are too near an end of their string to begin ``length`` symbols.
     """
+    bases = np.cumsum([0] + [len(s.symbols) for s in shards[:-1]])
     symbols = np.concatenate([s.symbols for s in shards])
-    which = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s.symbols) for s in shards])
-    total = len(symbols)
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), [s.n_strings for s in shards])
-    n_ends = len(ends)
-    narrow = symbols.astype(np.uint16)
-    common = np.full(total, length, np.int16)
-    common[0] = 0
-    block = np.zeros(total, np.int32)  # suffixes that agree in as many symbols as there were passes
-    held = np.empty(total, np.uint16)
-    for passed in range(1, length + 1):
-        held[np.argsort(which, kind="stable")] = narrow  # each shard's transform, read in its own order
-        by = np.argsort(held, kind="stable")
-        sym = held[by]
-        came = block[by]
-        parted = np.empty(total, bool)
-        parted[0] = True
-        np.not_equal(came[1:], came[:-1], out=parted[1:])
-        parted[1:] |= sym[1:] != sym[:-1]
-        parted[:n_ends] = True  # terminators differ from each other
-        if n_ends < total:
-            parted[n_ends] = True
-        which = which[by]
-        which[:n_ends] = ends
-        np.minimum(common, np.where(parted, passed - 1, length).astype(np.int16), out=common)
-        block = np.cumsum(parted, dtype=np.int32)
-    index = np.empty(total, np.int64)
-    starts = np.cumsum([0] + [len(s.symbols) for s in shards[:-1]])
-    index[np.argsort(which, kind="stable")] = np.arange(total)
-    return which, index - starts[which], common
+    back = np.concatenate([s.back + np.int32(b) for s, b in zip(shards, bases, strict=True)])
+    row = np.flatnonzero(np.concatenate([s.place >= length for s in shards])).astype(np.int32)
+    block = np.zeros(len(row), np.int32)
+    for _ in range(length):
+        before = symbols[row]
+        by = np.argsort(before, kind="stable")
+        before, row, block = before[by], back[row[by]], block[by]
+        parted = np.ones(len(row) + 1, bool)
+        np.not_equal(before[1:], before[:-1], out=parted[1:-1])
+        parted[1:-1] |= block[1:] != block[:-1]
+        together = ~(parted[:-1] & parted[1:])
+        block = np.cumsum(parted[:-1], dtype=np.int32)[together]
+        row = row[together]
+    return row, block
 
 
 def later_windows(strings: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray, start: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -275,17 +282,11 @@ def later_windows(strings: list[tuple[np.ndarray, np.ndarray]], doc: np.ndarray,
 
     strings: shards as (bytes, lengths); doc and start: the place of each string, over all shards in turn.
     """
-    shards = [Shard(data, lengths) for data, lengths in strings]
-    which, index, common = merge(shards, length)
+    shards = [Shard(data, lengths, length) for data, lengths in strings]
+    row, interval = repeated_intervals(shards, length)
     base = np.cumsum([0] + [s.n_strings for s in shards[:-1]])
-    string, place = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
-    for k, s in enumerate(shards):
-        on = which == k
-        rows = s.order[index[on]]
-        string[on], place[on] = s.string[rows] + base[k], s.place[rows]
-    interval = np.cumsum(common < length)
-    many = np.bincount(interval)[interval] > 1
-    string, place, interval = string[many], place[many], interval[many]
+    string = np.concatenate([s.string + b for s, b in zip(shards, base, strict=True)])[row]
+    place = np.concatenate([s.place for s in shards])[row]
     d, p = doc[string], start[string] + place
     order = np.lexsort((p, d, interval))
     i, d, p = interval[order], d[order], p[order]
