@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import evidence, graphs, maintenance, retrieval
 
-_MODULES = (retrieval,)
+_MODULES = (retrieval, graphs, evidence, maintenance)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

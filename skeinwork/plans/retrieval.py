@@ -122,10 +122,10 @@ _OUT = "SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM {0}"
 
 def _dynamic(low: int, high: int, k: int) -> str:
     return f"""WITH {hybrid_sql(k)},
-gaps AS (SELECT query_id, rank - 1 AS at, lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score AS gap FROM rrf),
+gaps AS (SELECT query_id, rank - 1 AS spot, lag(score) OVER (PARTITION BY query_id ORDER BY rank) - score AS gap FROM rrf),
 n AS (SELECT query_id, count(*) AS n FROM gaps GROUP BY 1),
-cut AS (SELECT query_id, arg_max(at, row(gap, -at)) AS at FROM gaps WHERE gap > 0 AND at >= {low} AND at < {high} GROUP BY 1)
-SELECT query_id, (CASE WHEN n <= {low} THEN n ELSE least(n, coalesce(at, {high})) END)::INT AS k FROM n LEFT JOIN cut USING (query_id)"""
+drops AS (SELECT query_id, spot, row_number() OVER (PARTITION BY query_id ORDER BY gap DESC, spot) AS o FROM gaps WHERE gap > 0 AND spot >= {low} AND spot < {high})
+SELECT query_id, (CASE WHEN n <= {low} THEN n ELSE least(n, coalesce(spot, {high})) END)::INT AS k FROM n LEFT JOIN drops USING (query_id) WHERE coalesce(o, 1) = 1"""
 
 
 _SUBS = """subs AS (SELECT item_id * 2 + part AS query_id, item_id AS parent_id, query FROM (

@@ -57,7 +57,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     known = sorted({canonical_path(p) for p in paths})
     there = [p for p in known if os.path.isfile(p)]
     if not there:
-        return spark.createDataFrame([], SOURCES.add("content", "binary"))
+        return spark.createDataFrame([], "source_id string, source_path string, source_name string, source string, file_type string, content_sha256 string, source_size long, source_mtime_ns long, content binary")
     raw = spark.read.format("binaryFile").load(there)
     return as_sources(raw)
 

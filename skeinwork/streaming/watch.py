@@ -48,7 +48,7 @@ def actions(events: DataFrame, directory: str | None = None) -> DataFrame:
 def debounce(events: DataFrame, key: str, seconds: float, order: str = "seq") -> DataFrame:
     """The events that no other of the same key follows within ``seconds``."""
     following = F.lead("ts").over(Window.partitionBy(key).orderBy("ts", order))
-    return events.withColumn("__next", following).filter(F.col("__next").isNull() | (F.unix_micros("__next") - F.unix_micros("ts") >= int(seconds * 1e6))).drop("__next")
+    return events.withColumn("__next", following).filter(F.col("__next").isNull() | (F.unix_micros(F.col("__next").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) >= int(seconds * 1e6))).drop("__next")
 
 
 def final_actions(events: DataFrame) -> DataFrame:
