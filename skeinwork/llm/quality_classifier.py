@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .chain import fit_logistic, sigmoid
 from .labelled import labelled_sample
@@ -170,4 +171,4 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
 def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (3, 1), threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; repeated rows get equal scores, an empty table gives no rows."""
     scored = score(docs, train(docs, labels, "quality", held_out))
-    return scored.select("doc_id", (crc_mod("doc_id", held_out[0]) == held_out[1]).alias("held_out"), "score", (scored["score"] >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), "score", (scored["score"] >= threshold).cast("int").alias("predicted"))

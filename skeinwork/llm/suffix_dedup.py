@@ -105,6 +105,8 @@ def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[
 
 def _firsts(both: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the first place of each fingerprint, and of later places (the same place again is neither)."""
+    if not len(both):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((start, doc, both))
     b, d, s = both[order], doc[order], start[order]
     new = np.concatenate([[True], b[1:] != b[:-1]])
@@ -185,6 +187,8 @@ def _sifted(keyed: DataFrame) -> DataFrame:
         same = laid[1:] == laid[:-1]
         twice = order[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (count[order] >= INNER)]
         key, mark, doc, start, count = key[twice], mark[twice], doc[twice], start[twice].astype(np.int64), count[twice].astype(np.int64)
+        if not len(key):
+            return
         first, later = _firsts(mix(mark + mix(key)), doc, start)
         rows = [(0, d, x) for d, x in _span_rows(doc[later], start[later], start[later] + count[later] % INNER + LENGTH - 1)]
         for lo in range(0, len(rows), 4096):
@@ -222,14 +226,14 @@ class Shard:
         place = np.arange(n) - begin[string]
         rest = lengths[string] - place
         word = np.zeros(n, np.uint64)
-        for i in range(8):
+        for i in range(min(8, n)):
             word[: n - i] |= text[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
         word &= ~np.uint64(0) << (np.uint64(8) * (np.uint64(8) - np.minimum(rest, 8).astype(np.uint64)) % np.uint64(64))
         word[rest == 0] = 0
         rank, reach = self._ranks(word), 8
         while reach < length and int(rank.max(initial=0)) < n - 1:
             after = np.zeros(n, np.int64)
-            after[: n - reach] = rank[reach:] + 1
+            after[: max(0, n - reach)] = rank[reach:] + 1
             after[rest < reach] = 0
             rank = self._ranks(rank * (n + 1) + after)
             reach *= 2

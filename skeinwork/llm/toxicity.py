@@ -208,4 +208,4 @@ def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> D
 def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (4, 2), threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted and spans of every row; repeated rows get equal scores, an empty table no rows."""
     tagged = tag(docs, train(docs, labels, held_out))
-    return tagged.select("doc_id", (crc_mod("doc_id", held_out[0]) == held_out[1]).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return tagged.select("doc_id", F.coalesce(crc_mod("doc_id", held_out[0]) == held_out[1], F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
