@@ -46,6 +46,7 @@ class Engine:
         chunks = chunking.chunk_pages(pages, self.config).select(*schemas.CHUNKS.names)
         vectors = vector.embed(chunks, self.embedder).select("chunk_id", "embedding")
         self.errors += [tuple(r) for r in refused.unionByName(failed).collect()]
+        self.errors += [(p, "hidden file") for p in paths if p.rsplit("/", 1)[-1].startswith(".")]
         return {"sources": sources.select(*schemas.SOURCES.names), "chunks": chunks, "vectors": vectors}
 
     def build(self, paths: list[str], force: bool = False) -> int:

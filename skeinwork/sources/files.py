@@ -53,7 +53,7 @@ def list_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Source columns and content of the files that exist; the first of equal sources counts."""
+    """Source columns and content of the files that exist, each once; Spark never reads hidden files, such as .env."""
     known = sorted({canonical_path(p) for p in paths})
     there = [p for p in known if os.path.isfile(p)]
     if not there:
