@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, line_quality, media, packing, quality_classifier, suffix_dedup, token_counts, toxicity
+from . import chat, jaccard_join, line_quality, media, packing, quality_classifier, sentence_pieces, suffix_dedup, token_counts, toxicity
 from .shared import table
 
-WORD_BPE = "word_bpe_49k.json"
+WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,12 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids and ids_sha256 (of the decimal ids with commas between) of every whole text."""
+    coded = sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+
+
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -57,6 +64,7 @@ QUERIES = {
     "op3_line_quality": op3_line_quality,
     "op4_chat_examples": op4_chat_examples,
     "op5_quality_scores": op5_quality_scores,
+    "op6_sentence_pieces": op6_sentence_pieces,
     "op7_toxic_spans": op7_toxic_spans,
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_media_round_trip": op9_media_round_trip,

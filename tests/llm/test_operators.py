@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from skeinwork.llm import chain, chat, components, jaccard_join, line_quality, media, packing, quality_classifier, queries, suffix_dedup, textkit, token_counts, toxicity
+from skeinwork.llm import chain, chat, components, jaccard_join, line_quality, media, packing, quality_classifier, queries, sentence_pieces, suffix_dedup, textkit, token_counts, toxicity
 
 BPE = public_tokenizers.path("word_bpe_49k.json")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -319,6 +319,23 @@ def test_suffix_dedup(spark, docs, none):
     assert suffix_dedup.removal_report(none).count() == 0
 
 
+def test_sentence_pieces(spark, sf, docs, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = [None, "", " ", "   ", "a", "Hello  world", "  x ", "a\nb\n\n c", "漢字 é  漢 x", "\x02  \x03", "1234 5.6", "thethethe andand", "www.example.com/path?x=1", "z" * 70]
+    df = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    df = df.unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 30"))
+    coded = sentence_pieces.encode(df, path)
+    got, texts = by_id(coded), by_id(df)
+    assert all(list(got[i]["ids"]) == model.encode(r["text"] or "") for i, r in texts.items())
+    assert all(r["text"] == (texts[i]["text"] or "") for i, r in by_id(sentence_pieces.decode(coded, path)).items())
+    few = docs.filter("n_chars < 2000")
+    assert sentence_pieces.encode(few, path).count() == few.count() and sentence_pieces.encode(none, path).count() == 0
+    assert sentence_pieces.decode(coded.limit(0), path).count() == 0
+
+
 def test_merged_transforms_find_what_one_does():
     rng = np.random.default_rng(2)
     pool = rng.integers(97, 99, 300).astype(np.uint8)
