@@ -11,7 +11,6 @@ and their items packed again in fewer, larger partitions, so the waste at partit
 from __future__ import annotations
 
 import math
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise, with_text
-from .token_counts import SegmentTable, load_tokenizer, text_slices
+from .textkit import ragged, slices
+from .token_counts import segment_table
 
 CAPACITY, OPEN_BINS = 4096, 1024
 #: Bins a packing partition fills, about; and the share of the capacity that a bin left open may lack and still count as full.
@@ -83,24 +83,24 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     rows, at = with_text(df, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = SegmentTable(load_tokenizer(path), lambda ids: struct.pack(f"<{len(ids)}I", *ids), b"")
-        end, step = struct.pack("<I", end_id), 4 * capacity
+        table = segment_table(path)
         for b in batches:
-            row, out = 0, []
-            for texts in text_slices(b.column(at)):
-                for parts in table.split(texts):
-                    data = b"".join(map(table.__getitem__, parts)) + end
-                    for k, lo in enumerate(range(0, len(data), step)):
-                        part = data[lo : lo + step]
-                        out.append((row, k, lo // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-                    row += 1
-                table.drop_long()
-            rows, piece, start, length, crc, raw = zip(*out, strict=True) if out else ((),) * 6
-            index = pa.array(rows, pa.int64())
-            columns = [c.take(index) for c in b.columns[: len(keep)]] + [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            if with_ids:
-                columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in raw], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            for lo, hi, buf, offs in slices(b.column(at)):
+                ids, n = table.encoded(buf, offs)
+                laid = np.full(len(ids) + len(n), end_id, "<u4")  # each text's ids and then the end
+                laid[ragged(np.cumsum(n + 1) - n - 1, n)] = ids
+                pieces = -(-(n + 1) // capacity)
+                row = np.repeat(np.arange(len(n)), pieces)
+                piece = ragged(np.zeros(len(n), np.int64), pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, (n + 1)[row] - start)
+                begin = (np.cumsum(n + 1) - n - 1)[row] + start
+                raw = memoryview(laid.tobytes())
+                crc = [zlib.crc32(raw[4 * s : 4 * (s + k)]) for s, k in zip(begin.tolist(), length.tolist(), strict=True)]
+                columns = [c.slice(lo, hi - lo).take(pa.array(row)) for c in b.columns[: len(keep)]] + [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([laid[s : s + k].astype(np.int64) for s, k in zip(begin.tolist(), length.tolist(), strict=True)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -1,15 +1,17 @@
 """Token counts: encoding in Arrow batches that returns lengths only.
 
-Texts go to the tokenizer in slices of bounded bytes. A long text is split at safe boundaries: for a tokenizer that drops
-white space before it forms words, no token, merge or special string spans a blank or a line feed, so the parts between
-them can be encoded apart and their lengths added. Parts repeat, so each worker keeps a bounded table of the ones it has
-seen. For other tokenizers (``boundaries=False``) whole texts are encoded.
+Texts are taken in slices of bounded bytes and split at safe boundaries: a tokenizer that drops white space before it forms
+words has no token, merge or special string that spans a blank or a line feed, nor one that spans the border between an ASCII
+letter and plain punctuation, so the segments between such borders can be encoded apart and put together again; those of
+letters alone are the same in either case. Segments repeat, so each worker keeps a bounded table of them, by 64-bit hash; the segments
+that a slice adds are encoded in joined batches of bounded bytes. For other tokenizers (``boundaries=False``) whole texts
+are encoded.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,36 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import with_text
-
-TABLE_ROWS, LONGEST_KEPT = 300_000, 200
-SLICE_CHARS = 1 << 20
+from .textkit import LOWER, Hasher, Runs, mix, ragged, slices
+
+SLOT_BITS, MOST_IDS, JOINED_BYTES = 20, 1 << 22, 1 << 15
+MARK = "\x02"
+#: 0: between segments; 1: letters; 2: punctuation that begins no contraction or special string; 3: whatever else.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[[0x20, 0x0A]] = 0
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = 2
+
+
+class Segments(Runs):
+    """Runs of one text that can be encoded apart, and ``plain``: whether each is of ASCII letters alone."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        kind = np.zeros(len(buf) + 2, np.uint8)
+        kind[1:-1] = _CLASS[buf]
+        border = (kind[1:] ^ kind[:-1]) == 3  # letters and punctuation, or others and none
+        border |= (kind[1:] == 0) | (kind[:-1] == 0)
+        border[offs] = True
+        self.start = np.flatnonzero(border[:-1] & (kind[1:-1] > 0))
+        self.end = np.flatnonzero(border[1:] & (kind[1:-1] > 0)) + 1
+        self.row = np.searchsorted(offs, self.start, "right") - 1
+        self.buf, self.offs = buf, offs
+        odd = np.concatenate([[0], np.cumsum(kind[1:-1] != 1, dtype=np.int32)])
+        self.plain = odd[self.end] == odd[self.start]
 
 
 def load_tokenizer(path: str):
-    """An ``encode_batch`` tokenizer (.json), or a sentencepiece processor (.model); one thread, no truncation or padding."""
+    """A function from texts to lists of ids, for .json or .model files; one thread, no truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         import sentencepiece
@@ -35,42 +60,119 @@ def load_tokenizer(path: str):
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-
-
-class SegmentTable(dict):
-    """segment -> ``value(ids)``; filled for many segments at once, emptied when it holds ``TABLE_ROWS``."""
-
-    def __init__(self, encode: Callable, value: Callable, nothing):
-        self.encode, self.value, self.nothing = encode, value, nothing
-        self[""] = nothing
-
-    def split(self, texts: list[str]) -> list[list[str]]:
-        """The segments of each text, all of them in the table until the next call."""
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self) > TABLE_ROWS:
-            self.clear()
-            self[""] = self.nothing
-        new = list(set().union(*parts).difference(self)) if parts else []
-        for lo in range(0, len(new), 4096):
-            some = new[lo : lo + 4096]
-            for s, ids in zip(some, self.encode(some), strict=True):
-                self[s] = self.value(ids)
-        return parts
-
-    def drop_long(self) -> None:
-        for s in [s for s in self if len(s) > LONGEST_KEPT]:
-            del self[s]
-
-
-def text_slices(column: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str]]:
-    """Texts (null: empty) in runs of at most ``most`` bytes, or one longer text."""
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    lo, ends = 0, np.cumsum(sizes)
-    while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
-        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()]
-        lo = hi
+    return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class SegmentTable:
+    """Ids of segments by hash: open addressing, emptied when it is half full or holds ``MOST_IDS`` ids."""
+
+    def __init__(self, path: str):
+        self.encode = load_tokenizer(path)
+        mark = self.encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.folds = self.encode(["Ab ZQ xY"]) == self.encode(["ab zq xy"])
+        self.keys = np.empty(1 << SLOT_BITS, np.uint64)
+        self.start, self.length = np.empty(1 << SLOT_BITS, np.int64), np.empty(1 << SLOT_BITS, np.int32)
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys.fill(0)
+        self.n, self.used = 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, or of the free slot where it would go, as -1 - slot."""
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        out = np.empty(len(h), np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            there = self.keys[slot]
+            hit, free = there == h, there == 0
+            out[open_[hit]] = slot[hit]
+            out[open_[free]] = -1 - slot[free]
+            more = ~(hit | free)
+            open_, h, slot = open_[more], h[more], (slot[more] + 1) & ((1 << SLOT_BITS) - 1)
+        return out
+
+    def _encode(self, segments: list[str]) -> list[np.ndarray]:
+        """Ids of each segment, encoded many at once with marks between them."""
+        out: list[np.ndarray] = [None] * len(segments)
+        plain = [i for i, s in enumerate(segments) if MARK not in s] if self.mark is not None else []
+        odd = sorted(set(range(len(segments))) - set(plain))
+        for i, ids in zip(odd, self.encode([segments[i] for i in odd]) if odd else (), strict=True):
+            out[i] = np.array(ids, np.uint32)
+        lo = 0
+        while lo < len(plain):
+            hi, size = lo, 0
+            while hi < len(plain) and (hi == lo or size < JOINED_BYTES):
+                size += len(segments[plain[hi]]) + 3
+                hi += 1
+            ids = np.array(self.encode([f" {MARK} ".join(segments[i] for i in plain[lo:hi])])[0], np.uint32)
+            parts = np.split(ids, np.flatnonzero(ids == self.mark))
+            for k, i in enumerate(plain[lo:hi]):
+                out[i] = parts[k][1:] if k else parts[k]
+            lo = hi
+        return out
+
+    def slots(self, buf: np.ndarray, runs: Segments) -> np.ndarray:
+        """The slot of each segment; valid until the next call."""
+        h = Hasher(buf, LOWER if self.folds else None).spans(runs.start, runs.end)
+        if self.folds:
+            other = np.flatnonzero(~runs.plain)
+            h[other] = mix(Hasher(buf).spans(runs.start[other], runs.end[other]) + np.uint64(1))
+        h = np.maximum(h, np.uint64(1))
+        found = self._find(h)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            if self.n + len(first) > 1 << (SLOT_BITS - 1) or self.used > MOST_IDS:
+                self.clear()
+                _, first = np.unique(h, return_index=True)
+            raw = buf.tobytes()
+            values = self._encode([raw[s:e].decode() for s, e in zip(runs.start[first].tolist(), runs.end[first].tolist(), strict=True)])
+            length = np.array([len(v) for v in values], np.int64)
+            while self.used + length.sum() > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+            self.ids[self.used : self.used + length.sum()] = np.concatenate(values)
+            begin = self.used + np.cumsum(length) - length
+            self.used += int(length.sum())
+            self.n += len(first)
+            left, keys = np.arange(len(first)), h[first]
+            while len(left):  # of those that want the same free slot one gets it, and the others look on
+                slot = -1 - self._find(keys[left])
+                _, one = np.unique(slot, return_index=True)
+                take = left[one]
+                self.keys[slot[one]], self.start[slot[one]], self.length[slot[one]] = keys[take], begin[take], length[take]
+                left = np.delete(left, one)
+            found = self._find(h)
+        return found
+
+    def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Number of ids of each text."""
+        runs = Segments(buf, offs)
+        if not len(runs):
+            return np.zeros(len(offs) - 1, np.int64)
+        return np.bincount(runs.row, self.length[self.slots(buf, runs)], len(offs) - 1).astype(np.int64)
+
+    def encoded(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        runs = Segments(buf, offs)
+        if not len(runs):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        slots = self.slots(buf, runs)
+        length = self.length[slots].astype(np.int64)
+        return self.ids[ragged(self.start[slots], length)], np.bincount(runs.row, length, len(offs) - 1).astype(np.int64)
+
+
+_tables: dict[str, SegmentTable] = {}
+
+
+def segment_table(path: str) -> SegmentTable:
+    """This worker's table for a tokenizer; later tasks of the worker go on with it."""
+    if path not in _tables:
+        _tables[path] = SegmentTable(path)
+    return _tables[path]
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, boundaries: bool = True) -> DataFrame:
@@ -80,22 +182,15 @@ def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     0 tokens); repeated rows give repeated results; an empty table gives no rows; other columns are not read.
     """
     schema = df.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-
     rows, at = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load_tokenizer(path)
-        table = SegmentTable(encode, len, 0)
+        encode = None if boundaries else load_tokenizer(path)
         for b in batches:
-            column = b.column(at)
-            counts: list[int] = []
-            for texts in text_slices(column):
-                if boundaries:
-                    counts += [sum(map(table.__getitem__, parts)) for parts in table.split(texts)]
-                    table.drop_long()
-                else:
-                    counts += [len(ids) for ids in encode(texts)]
-            n = np.array(counts, np.int64)
+            column, parts = b.column(at), []
+            for lo, hi, buf, offs in slices(column):
+                parts.append(segment_table(path).counts(buf, offs) if boundaries else np.array([len(x) for x in encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])]))
+            n = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
             size = pc.cast(pc.fill_null(pc.binary_length(column), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], size, pa.array(n), pa.array(n > limit)], names=schema.names)
 
