@@ -1,9 +1,9 @@
 """N-gram Jaccard self-join by chosen paths.
 
 A text is the set of its word shingles. Sets are embedded as ``TOKENS`` min-wise sampled tokens, and split recursively: a
-node of the tree picks sampled positions, and sets that share the token at such a position fall into the same child. Small
-nodes are compared by brute force. In a larger node every set is compared with the node's first one, the sets very close to
-that are done (whatever is near them is near the first one too), and the rest is split further, until nothing is left. Runs
+node of the tree picks sampled positions, and sets that share the tokens at two of them fall into the same child. Small
+nodes are compared by brute force. In a larger node every set is compared with the node's hub, the sets very close to
+that are done (whatever is near them is near the hub too), and the rest is split further, until nothing is left. Runs
 are repeated: ``runs`` follows from the recall wanted.
 
 Nodes yield links between likely pairs that hold each group together, not all its pairs. The texts of a group of candidates
@@ -12,6 +12,7 @@ then meet, in blocks, and exact similarities decide who is linked: the number of
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -26,19 +27,22 @@ from .textkit import Hasher, Runs, mix, ragged, slices, windows
 
 WORDS, TOKENS = 5, 64
 NUM, DEN = 4, 5  # a similarity of 4/5 or more is a link
-SMALL, BLOCK = 64, 1024
-#: Estimates at which a pair counts as likely, and at which a set is so close to a node's first one that it is done.
-LIKELY, CLOSE = 0.6, 0.86
-RECALL, DEPTH = 0.9995, 4
+SMALL, BLOCK = 128, 1024
+#: Estimates at which a pair counts as likely, at which a set is linked to its node's hub, and at which it is so close to the
+#: hub that it is done: any set linked to it is then near the hub as well, by the triangle inequality of distances.
+LIKELY, NEAR_HUB, CLOSE = 0.6, 0.42, 0.7
+RECALL, DEPTH = 0.9995, 2
+#: How many nodes, of all, have a second child for each set: with 1 / similarity ** 2 children a pair at the threshold keeps one on average.
+SECOND = (DEN / NUM) ** 2 - 1
 _rng = np.random.Generator(np.random.PCG64(808))
 _A = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64)
 
 
 def runs_needed(recall: float = RECALL, similarity: float = NUM / DEN, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in a node of the given depth with that probability."""
-    step = similarity * (0.75 + 0.25 * (2 - similarity))  # one position, in a quarter of the nodes a second one
-    met = similarity * step ** (depth - 1)
+    """Runs after which a pair at the threshold has met, with that probability, in a node so many splits below the first."""
+    child = similarity**2
+    met = similarity * (child + (1 - child) * SECOND * child) ** depth
     return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
@@ -75,19 +79,18 @@ def sample_tokens(s: np.ndarray) -> np.ndarray:
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, tokens = [], [], []
+            keys, tokens = [], []
             for _, _, buf, offs in slices(b.column("text")):
                 for s in shingle_sets(buf, offs, words):
-                    sizes.append(len(s))
                     if len(s):
                         keys.append(np.array([s.sum(), mix(s).sum()], np.uint64).tobytes())
                         tokens.append(sample_tokens(s).tobytes())
                     else:
                         keys.append(None)
                         tokens.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "size", "key", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "key", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, key binary, tokens binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, tokens binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,14 +106,17 @@ def _raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _children(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, path of child): one sampled position for each node, in a quarter of the nodes two."""
+    """(row, path of child): a child is named by the tokens at two sampled positions; some nodes have a second one."""
     pick = mix(path + np.uint64(0x632BE59BD9B4E019))
-    one, two = (pick % np.uint64(TOKENS)).astype(int), ((pick >> np.uint64(20)) % np.uint64(TOKENS)).astype(int)
-    rows = np.arange(len(path))
-    extra = np.flatnonzero((pick >> np.uint64(40)) % np.uint64(4) == 0)
-    row, place = np.concatenate([rows, extra]), np.concatenate([one, two[extra]])
-    child = mix(path[row] * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[row, place].astype(np.uint64) + (place.astype(np.uint64) << np.uint64(40))))
-    return row, child
+    extra = np.flatnonzero((pick >> np.uint64(40)) < np.uint64(int(SECOND * (1 << 24))))
+    rows, children = [np.arange(len(path)), extra], []
+    for k, row in enumerate(rows):
+        child = mix(path[row] + np.uint64(k + 1))
+        for shift in (0, 6):
+            place = (pick[row] >> np.uint64(12 * k + shift)) % np.uint64(TOKENS)
+            child = mix(child * np.uint64(0x9E3779B97F4A7C15) + mix(tokens[row, place.astype(int)].astype(np.uint64) + (place << np.uint64(40))))
+        children.append(child)
+    return np.concatenate(rows), np.concatenate(children)
 
 
 def _roots(reps: DataFrame, runs: int) -> DataFrame:
@@ -122,22 +128,26 @@ def _roots(reps: DataFrame, runs: int) -> DataFrame:
             if b.num_rows:
                 t = _matrix(b.column("tokens"))[:, places].astype(np.uint64)
                 path = mix(t + (np.arange(runs, dtype=np.uint64) << np.uint64(40)))
-                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64).ravel()), b.column("rep").take(pa.array(np.repeat(np.arange(b.num_rows), runs)))], names=["path", "rep"])
+                rep = b.column("rep").take(pa.array(np.repeat(np.arange(b.num_rows), runs)))
+                yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64).ravel()), rep, rep], names=["path", "rep", "tag"])
 
-    return reps.select("rep", "tokens").mapInArrow(run, "path long, rep long")
+    return reps.select("rep", "tokens").mapInArrow(run, "path long, rep long, tag long")
 
 
 def _crowded(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes with two sets or more, with the node's number of sets and its least one."""
-    sizes = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).filter("n > 1")
-    return nodes.join(sizes, "path")
+    """Rows of nodes whose sets have several tags, with the node's number of sets and one of them, picked by the node's path.
+
+    Sets with one tag are known to be in one group already, so a node of them has nothing more to tell.
+    """
+    sizes = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(F.col("path"))).alias("hub"), F.min("tag").alias("low"), F.max("tag").alias("high"))
+    return nodes.join(sizes.filter("low < high").select("path", "n", F.col("hub").bitwiseXOR(F.col("path")).alias("hub")), "path")
 
 
 def _split(large: DataFrame, reps: DataFrame) -> DataFrame:
-    """Compares each set with its node's first one: (a, b, null) for likely links, (rep, null, path) for children of the rest."""
+    """Compares each set with its node's hub: (a, b, null) for likely links, (rep, tag, path) for children of the rest."""
     mine = reps.select("rep", F.col("tokens").alias("mine"))
     hubs = large.select("hub").distinct().join(reps.select(F.col("rep").alias("hub"), F.col("tokens").alias("theirs")), "hub")
-    rows = large.select("path", "rep", "hub").join(mine, "rep").join(hubs, "hub")
+    rows = large.select("path", "rep", "tag", "hub").join(mine, "rep").join(hubs, "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,15 +156,16 @@ def _split(large: DataFrame, reps: DataFrame) -> DataFrame:
             x, y = _matrix(b.column("mine")), _matrix(b.column("theirs"))
             rep, hub = b.column("rep").to_numpy(), b.column("hub").to_numpy()
             alike = (x == y).mean(1)
-            link = np.flatnonzero((alike >= LIKELY) & (rep != hub))
+            link = np.flatnonzero((alike >= NEAR_HUB) & (rep != hub))
             rest = np.flatnonzero(alike < CLOSE)
+            tag = np.where(alike >= NEAR_HUB, hub, b.column("tag").to_numpy())
             row, child = _children(b.column("path").to_numpy().view(np.uint64)[rest], x[rest])
             a = pa.array(np.concatenate([hub[link], rep[rest][row]]))
-            other = pa.array(np.concatenate([rep[link], np.zeros(len(row), np.int64)]), mask=np.arange(len(link) + len(row)) >= len(link))
+            other = pa.array(np.concatenate([rep[link], tag[rest][row]]))
             path = pa.array(np.concatenate([np.zeros(len(link), np.int64), child.view(np.int64)]), mask=np.arange(len(link) + len(row)) < len(link))
             yield pa.RecordBatch.from_arrays([a, other, path], names=["a", "b", "path"])
 
-    return rows.select("path", "rep", "hub", "mine", "theirs").mapInArrow(run, "a long, b long, path long")
+    return rows.select("path", "rep", "tag", "hub", "mine", "theirs").mapInArrow(run, "a long, b long, path long")
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -211,21 +222,19 @@ def _small(small: DataFrame, reps: DataFrame) -> DataFrame:
 
 def candidate_groups(reps: DataFrame, runs: int) -> DataFrame:
     """(id, label) of all sets that are likely linked to another."""
-    found = []
+    small, found = [], []
     nodes = _roots(reps, runs)
     while True:
         crowded = materialise(_crowded(nodes), "nodes")
-        found.append(_small(crowded.filter(F.col("n") <= SMALL), reps))
+        small.append(crowded.filter(F.col("n") <= SMALL).select("path", "rep"))
         large = crowded.filter(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
         done = materialise(_split(large, reps), "split")
-        found.append(done.filter("b IS NOT NULL").select("a", "b"))
-        nodes = done.filter("path IS NOT NULL").select("path", F.col("a").alias("rep"))
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionByName(more)
-    return components(links.distinct())
+        found.append(done.filter("path IS NULL").select("a", "b"))
+        nodes = done.filter("path IS NOT NULL").select("path", F.col("a").alias("rep"), F.col("b").alias("tag"))
+    links = _small(functools.reduce(DataFrame.unionByName, small), reps)
+    return components(functools.reduce(DataFrame.unionByName, found, links))
 
 
 def exact_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -322,10 +331,10 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, recall: float = RECALL)
     """
     sets = materialise(_sets(docs, words), "sets")
     usable = sets.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = usable.groupBy("key").agg(F.min(F.struct("doc_id", "tokens")).alias("x"), F.count("*").alias("copies"))
-    reps = materialise(reps.select("key", F.col("x.doc_id").alias("rep"), F.col("x.tokens").alias("tokens"), "copies"), "reps")
-    distinct = reps.groupBy("rep").agg(F.min("tokens").alias("tokens"))  # one document has several sets if its id repeats
-    groups = candidate_groups(distinct, runs_needed(recall))
+    reps = materialise(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
+    mine = usable.select(F.col("doc_id").alias("rep"), "key", "tokens").join(reps.select("rep", "key"), ["rep", "key"], "left_semi")
+    tokens = materialise(mine.groupBy("rep").agg(F.min("tokens").alias("tokens")), "tokens")  # a repeated id may have several
+    groups = candidate_groups(tokens, runs_needed(recall))
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label")
     members = sized.join(reps.groupBy("rep").agg(F.max("copies").alias("copies")), sized["id"] == F.col("rep")).select("label", "rep", "copies", "n")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
