@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 from typing import Protocol
 
 import numpy as np
@@ -12,11 +14,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import DIMENSION, TOKEN, bucket, tokenize
 from .lexical import DIGITS, top_per_query
 
 MAX_QUERIES = 20_000
+#: Distances that a task holds at once.
+CELLS = 1 << 22
 
 
 class Embedder(Protocol):
@@ -87,16 +92,29 @@ def nearest_one(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, dist, rank from 1) of the k nearest of (id, embedding) to each of (query_id, embedding).
 
-    The queries are a stated set of at most MAX_QUERIES vectors, sent to every task; each batch of rows is one matrix product
-    and leaves k rows a query, of which the best are then taken, so what is shuffled follows batches and not pairs.
+    The queries are sent to every task in blocks of MAX_QUERIES vectors, of which the driver holds one at a time; each batch of
+    rows is a few matrix products a block and leaves k rows a query, of which the best are then taken, so what is shuffled
+    follows batches and not pairs.
     """
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors at once")
-    kind = queries.schema["query_id"].dataType.simpleString()
+    near = [_near(vectors, ids, matrix, queries.schema["query_id"].dataType.simpleString(), k) for ids, matrix in _blocks(queries)]
+    return top_per_query(reduce(DataFrame.unionByName, near), k, "dist", "id")
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and vectors of at most MAX_QUERIES queries at a time; one empty block if there are none."""
+    rows = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    few = rows.limit(MAX_QUERIES + 1).toArrow()
+    if few.num_rows <= MAX_QUERIES:
+        yield few.column("query_id").combine_chunks(), _matrix(few.column("embedding"))
+        return
+    kind, left = to_arrow_type(queries.schema["query_id"].dataType), rows.toLocalIterator()
+    while block := list(islice(left, MAX_QUERIES)):
+        yield pa.array([r["query_id"] for r in block], kind), np.array([r["embedding"] for r in block], float)
+
+
+def _near(vectors: DataFrame, ids: pa.Array, matrix: np.ndarray, kind: str, k: int) -> DataFrame:
+    """(query_id, id, dist): of each batch of vectors the k nearest to each query of a block."""
     id_kind = vectors.schema["id"].dataType.simpleString()
-    ids = asked.column("query_id").combine_chunks()
-    matrix = _matrix(asked.column("embedding").combine_chunks())
     length = np.sqrt((matrix**2).sum(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,17 +122,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             if not b.num_rows or not len(length):
                 continue
             x = _matrix(b.column("embedding"))
-            size = np.sqrt((x**2).sum(1))[None, :] * length[:, None]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                dist = np.round(np.where(size == 0, 1.0, 1 - (matrix @ x.T) / size), DIGITS)
+            norm = np.sqrt((x**2).sum(1))
             order = np.argsort(np.argsort(b.column("id").to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            few = min(k, b.num_rows)
-            best = np.stack([np.lexsort((order, row))[:few] for row in dist])
-            query = np.repeat(np.arange(len(length)), few)
-            yield pa.RecordBatch.from_arrays([pa.array(ids.take(pa.array(query))), b.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(dist, best, 1).ravel())], names=["query_id", "id", "dist"])
-
-    rows = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"query_id {kind}, id {id_kind}, dist double")
-    return top_per_query(rows, k, "dist", "id")
+            few, step = min(k, b.num_rows), max(1, CELLS // b.num_rows)
+            for lo in range(0, len(length), step):
+                size = norm[None, :] * length[lo : lo + step, None]
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    dist = np.round(np.where(size == 0, 1.0, 1 - (matrix[lo : lo + step] @ x.T) / size), DIGITS)
+                best = np.stack([np.lexsort((order, row))[:few] for row in dist])
+                query = np.repeat(np.arange(lo, lo + len(dist)), few)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.take(pa.array(query))), b.column("id").take(pa.array(best.ravel())), pa.array(np.take_along_axis(dist, best, 1).ravel())], names=["query_id", "id", "dist"])
+
+    return vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, f"query_id {kind}, id {id_kind}, dist double")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

@@ -1,9 +1,11 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import fusion, graph, lexical, quality, vector
+from skeinwork.plans import retrieval
 
 
 def index(spark, texts):
@@ -123,3 +125,23 @@ def test_smoke_benchmark_meets_the_gates(spark):
     ix = lexical.build_index(lexical.tokens_of(df, "id"))
     metrics = quality.run_benchmark(cases, lambda q: lexical.bm25_top(ix, q, 3).select("query_id", "id", "rank"), 3)
     quality.assert_gates(metrics, {"recall": 1.0, "mrr": 0.8, "ndcg": 0.8})
+
+
+def test_nearest_takes_queries_in_blocks(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i % 5), float(i % 7), 1.0]) for i in range(40)], "id int, embedding array<float>").repartition(3)
+    q = v.select(F.col("id").alias("query_id"), "embedding")
+    whole = sorted(vector.nearest(v, q, 3).collect())
+    monkeypatch.setattr(vector, "MAX_QUERIES", 7)
+    monkeypatch.setattr(vector, "CELLS", 50)
+    assert sorted(vector.nearest(v, q, 3).collect()) == whole and len(whole) == 120
+
+
+def test_vector_batch_topk_asks_every_twentieth_vector(spark, sf):
+    got = sorted(tuple(r) for r in retrieval.vector_batch_topk(spark, sf).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    # the query's SQL with every query vector that the job has
+    want = sorted(con.execute(retrieval.ORACLES["vector_batch_topk"].replace("id < 20", "id % 20 = 0")).fetchall())
+    assert {r[0] for r in got} == {x for (x,) in con.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
+    assert [(q, i, rank) for q, i, _, rank in got] == [(q, i, rank) for q, i, _, rank in want]
+    assert [d for _, _, d, _ in got] == pytest.approx([d for _, _, d, _ in want], abs=2e-6)
