@@ -111,7 +111,7 @@ def refusal_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def should_decompose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")
-    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.substring("text", 1, 6).alias("text"))
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "text")
     return b.unionByName(c).select("id", should_decompose("text").alias("decompose"))
 
 

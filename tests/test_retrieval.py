@@ -145,3 +145,11 @@ def test_vector_batch_topk_asks_every_twentieth_vector(spark, sf):
     assert {r[0] for r in got} == {x for (x,) in con.execute("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0").fetchall()}
     assert [(q, i, rank) for q, i, _, rank in got] == [(q, i, rank) for q, i, _, rank in want]
     assert [d for _, _, d, _ in got] == pytest.approx([d for _, _, d, _ in want], abs=2e-6)
+
+
+def test_should_decompose_reads_whole_texts(spark, tmp_path):
+    long = {(1, 0): "Why is the sky blue?", (1, 1): "abcdefgh ij", (2, 0): "abcdefg漢", (2, 1): "abcdefghij", (3, 0): "a b", (3, 1): None}
+    spark.createDataFrame([(c, t, "user", x) for (c, t), x in long.items()], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["id"]: r["decompose"] for r in retrieval.should_decompose_texts(spark, str(tmp_path)).collect()}
+    assert got == {"b7": True, "c1-0": True, "c1-1": True, "c2-0": True, "c2-1": False, "c3-0": False, "c3-1": False}
