@@ -22,6 +22,7 @@ from .shared import materialise
 
 BLANK = "▁"
 NEVER = 2**31 - 1
+_RUN = rf"^{BLANK}+\z"  # $ would also match before a line end
 _UNITS = f"{BLANK}+(?={BLANK}[^{BLANK}])|{BLANK}[^{BLANK}]+|{BLANK}+"
 
 
@@ -144,16 +145,18 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     parts = rows.select("__row", F.posexplode(units(F.col("__text"))).alias("at", "unit"))
     # a run of blanks before a word whose mark stays alone takes that mark in: both are one unit then
     words = parts.select("unit").distinct()
-    runs = words.filter(F.col("unit").rlike(f"^{BLANK}+$"))
+    runs = words.filter(F.col("unit").rlike(_RUN))
     most = runs.agg(F.max(F.length("unit"))).first()[0] or 1
     blanks = blank_runs(spark, path, most + 1)
-    found = segment(lattice(words.filter(~F.col("unit").rlike(f"^{BLANK}+$")), piece_table(spark, path), longest), longest, zero)
-    coded = parts.join(found.unionByName(blanks.join(runs, "unit", "left_semi")), "unit")
+    found = segment(lattice(words.filter(~F.col("unit").rlike(_RUN)), piece_table(spark, path), longest), longest, zero)
+    coded = parts.join(found.unionByName(blanks.join(runs, "unit", "left_semi")), "unit", "left")
+    missing = F.raise_error(F.concat(F.lit("no ids for the unit "), "unit")).cast("array<int>")
+    coded = coded.withColumn("ids", F.when(F.col("ids").isNull(), missing).otherwise(F.col("ids")))
     lists = coded.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "ids"))).alias("u"))
     table = F.array_sort(F.collect_list(F.struct(F.length("unit").alias("n"), "ids")))
     lists = lists.crossJoin(F.broadcast(blanks.agg(table.alias("blanks"))))
     mark = blanks.filter(F.length("unit") == 1).first()["ids"][0]
-    run = lambda x: x["unit"].rlike(f"^{BLANK}+$")
+    run = lambda x: x["unit"].rlike(_RUN)
     alone = lambda x: ~run(x) & (F.get(x["ids"], F.lit(0)) == mark)
 
     def joined(x: Column, i: Column) -> Column:

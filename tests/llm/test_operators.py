@@ -336,6 +336,17 @@ def test_sentence_pieces(spark, sf, docs, none):
     assert sentence_pieces.decode(coded.limit(0), path).count() == 0
 
 
+def test_sentence_pieces_around_line_ends(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = ["a \n b", "a \n", "\n", " \n ", "\n x", "a \r\n b", "a  \n", "\r", "a \u2028 b", "a \u0085", "foo \n bar"]
+    coded = sentence_pieces.encode(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), path)
+    assert {i: list(r["ids"]) for i, r in by_id(coded).items()} == {i: model.encode(t) for i, t in enumerate(odd)}
+    assert {i: r["text"] for i, r in by_id(sentence_pieces.decode(coded, path)).items()} == dict(enumerate(odd))
+
+
 def test_merged_transforms_find_what_one_does():
     rng = np.random.default_rng(2)
     pool = rng.integers(97, 99, 300).astype(np.uint8)
