@@ -37,9 +37,15 @@ def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids and ids_sha256 (of the decimal ids with commas between) of every whole text."""
-    coded = sentence_pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"))
+    """doc_id, n_ids, ids, ids_sha256 (of the decimal ids with commas between), text_sha256 and same of every whole text.
+
+    ``text_sha256`` is of the text decoded from the ids, and ``same`` whether that is the text that was encoded (null as empty).
+    """
+    path = public_tokenizers.path(PIECE_BPE)
+    docs = table(spark, sf_dir, "documents").withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
+    out = sentence_pieces.decode(sentence_pieces.encode(docs, path, ("doc_id", "given")), path, ("doc_id", "given", "ids"))
+    decoded = F.sha2("text", 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), decoded.alias("text_sha256"), (decoded == F.col("given")).alias("same"))
 
 
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,7 +171,10 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
 
 
 def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the text of ids array<int>: bytes of all pieces together, marks as blanks, without the first one."""
+    """``keep`` columns and the text of ids array<int>: bytes of all pieces together, marks as blanks, without the first one.
+
+    ``keep`` may have the ids.
+    """
     import sentencepiece
 
     spark = coded.sparkSession
@@ -179,7 +182,7 @@ def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
     _, zero, _ = _model(path)
     hexes = [(i, f"{i - zero:02X}" if model.is_byte(i) else "" if model.is_control(i) else model.id_to_piece(i).replace(BLANK, " ").encode().hex().upper()) for i in range(model.get_piece_size())]
     pieces = F.broadcast(spark.createDataFrame(hexes, "id int, hex string"))
-    rows = _numbered(coded.select(*keep, "ids"))
+    rows = _numbered(coded.select(*dict.fromkeys([*keep, "ids"])))
     parts = rows.select("__row", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hex"))), lambda x: x["hex"]), "")
     whole = parts.groupBy("__row").agg(text.alias("hex"))

@@ -347,6 +347,22 @@ def test_sentence_pieces_around_line_ends(spark):
     assert {i: r["text"] for i, r in by_id(sentence_pieces.decode(coded, path)).items()} == dict(enumerate(odd))
 
 
+def test_sentence_pieces_query_decodes_what_it_encodes(spark, tmp_path):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    odd = [None, "", " ", "a  b\n c", "漢字 é \x03", "a \n", "z▁z", "www.example.com/path?x=1"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op6_sentence_pieces(spark, str(tmp_path)))
+    assert len(got) == len(odd)
+    for i, t in enumerate(odd):
+        ids = model.encode(t or "")
+        text = (t or "").replace("▁", " ")  # the model has one mark for both
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        assert (list(got[i]["ids"]), got[i]["n_ids"], got[i]["ids_sha256"]) == (ids, len(ids), sha(",".join(map(str, ids)))), i
+        assert (got[i]["text_sha256"], got[i]["same"]) == (sha(text), text == (t or "")), i
+
+
 def test_merged_transforms_find_what_one_does():
     rng = np.random.default_rng(2)
     pool = rng.integers(97, 99, 300).astype(np.uint8)
