@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from .shared import with_text
 from .textkit import LOWER, Hasher, Runs, mix, ragged, slices
 
 SLOT_BITS, MOST_IDS, JOINED_BYTES = 20, 1 << 22, 1 << 15
+#: Segments that are looked up at once; all may differ, and they fill half of the table then.
+GROUP = 1 << (SLOT_BITS - 1)
 MARK = "\x02"
 #: 0: between segments; 1: letters; 2: punctuation that begins no contraction or special string; 3: whatever else.
 _CLASS = np.full(256, 3, np.uint8)
@@ -46,6 +49,14 @@ class Segments(Runs):
         odd = np.concatenate([[0], np.cumsum(kind[1:-1] != 1, dtype=np.int32)])
         self.plain = odd[self.end] == odd[self.start]
 
+    def groups(self) -> Iterator[tuple[np.ndarray, Segments]]:
+        """(bytes, segments of them) of GROUP segments at a time, in order; rows keep their numbers."""
+        for lo in range(0, len(self.start), GROUP):
+            part, own = copy(self), slice(lo, lo + GROUP)
+            at, end = int(self.start[lo]), int(self.end[own][-1])
+            part.buf, part.start, part.end, part.row, part.plain = self.buf[at:end], self.start[own] - at, self.end[own] - at, self.row[own], self.plain[own]
+            yield part.buf, part
+
 
 def load_tokenizer(path: str):
     """A function from texts to lists of ids, for .json or .model files; one thread, no truncation or padding."""
@@ -150,19 +161,20 @@ class SegmentTable:
 
     def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Number of ids of each text."""
-        runs = Segments(buf, offs)
-        if not len(runs):
-            return np.zeros(len(offs) - 1, np.int64)
-        return np.bincount(runs.row, self.length[self.slots(buf, runs)], len(offs) - 1).astype(np.int64)
+        n = np.zeros(len(offs) - 1, np.int64)
+        for part, runs in Segments(buf, offs).groups():
+            n += np.bincount(runs.row, self.length[self.slots(part, runs)], len(n)).astype(np.int64)
+        return n
 
     def encoded(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        runs = Segments(buf, offs)
-        if not len(runs):
-            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        slots = self.slots(buf, runs)
-        length = self.length[slots].astype(np.int64)
-        return self.ids[ragged(self.start[slots], length)], np.bincount(runs.row, length, len(offs) - 1).astype(np.int64)
+        ids, n = [np.zeros(0, np.uint32)], np.zeros(len(offs) - 1, np.int64)
+        for part, runs in Segments(buf, offs).groups():
+            slots = self.slots(part, runs)
+            length = self.length[slots].astype(np.int64)
+            ids.append(self.ids[ragged(self.start[slots], length)])
+            n += np.bincount(runs.row, length, len(n)).astype(np.int64)
+        return np.concatenate(ids), n
 
 
 _tables: dict[str, SegmentTable] = {}

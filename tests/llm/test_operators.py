@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import signal
 import zlib
 
 import duckdb
@@ -76,6 +77,28 @@ def test_token_counts(spark, docs, none):
     assert whole[4]["n_tokens"] == len(token_counts.load_tokenizer(model)(["two words"])[0])
 
 
+def test_segments_of_one_text_may_outnumber_the_table(monkeypatch):
+    monkeypatch.setattr(token_counts, "SLOT_BITS", 6)
+    monkeypatch.setattr(token_counts, "GROUP", 32, raising=False)
+    t = Tokenizer.from_file(BPE)
+    texts = ["x y", " ".join(f"{i}q{i * i}" for i in range(500)), None, "tail Tail"]
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+    def stop(*_):
+        raise TimeoutError("no end")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(60)
+    try:
+        for _, _, buf, offs in textkit.slices(pa.array(texts)):
+            assert token_counts.SegmentTable(BPE).counts(buf, offs).tolist() == [len(x) for x in want]
+            ids, n = token_counts.SegmentTable(BPE).encoded(buf, offs)
+            assert ids.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
+    finally:
+        signal.alarm(0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def test_packing(docs, none):
     t = Tokenizer.from_file(BPE)
     rows = packing.pack_documents(docs, BPE).collect()
