@@ -54,7 +54,7 @@ def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("As [S1] and S2 say, S"), (F.col("doc_id") % 9).cast("string"), F.lit(" too; xS3 S4x. "), F.substring("text", 1, 40)).alias("answer"))
+    answers = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("As [S1] and S2 say, S"), (F.col("doc_id") % 9).cast("string"), F.lit(" too; xS3 S4x. "), "text").alias("answer"))
     valid = F.array(*[F.lit(f"S{i}") for i in range(1, 6)])
     return answers.select("doc_id", F.array_join(F.sort_array(cited("answer")), ",").alias("cited"), F.array_join(F.sort_array(unknown_citations("answer", valid)), ",").alias("unknown"))
 
@@ -95,7 +95,8 @@ def llm_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "anchor").alias("chunk_type"), F.substring("text", 1, 50).alias("text"), F.col("text").alias("page_text"))
+    anchor = F.col("doc_id") % 5 == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(anchor, "anchor").alias("chunk_type"), F.when(anchor, anchor_text("text")).otherwise(F.col("text")).alias("text"), F.col("text").alias("page_text"))
     return evidence.enrich(docs).select("doc_id", F.length("text").cast("long").alias("n"))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.config import Chunking, EngineConfig
 from skeinwork.operators import chunking, evidence, metrics
+from skeinwork.plans import evidence as plans
 from skeinwork.schemas import METRIC
 
 ROW = "query_id string, rank int, source string, source_name string, source_path string, source_id string, chunk_id string, chunk_index int, page int, text string"
@@ -79,3 +80,11 @@ def test_metrics(spark):
     assert tuple(metrics.summary(m).first()) == (2, 1.5, 2.0, 1, "net") and tuple(metrics.summary(m, 1).first())[0] == 1
     assert metrics.elapsed_ms(2.0, 1.0) == 0 and metrics.elapsed_text(61) == "1m 1s"
     assert "query" not in metrics.snapshot(m).select(F.max("metric")).first()[0]
+
+
+def test_citations_and_anchors_of_whole_texts(spark, tmp_path):
+    late = "word " * 40 + "[S7] and S3"
+    spark.createDataFrame([(1, late), (5, late), (10, "line\n" * 30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["cited"], r["unknown"]) for r in plans.citation_validation(spark, str(tmp_path)).collect()}
+    assert got == {1: ("S1,S2,S3,S7", "S7"), 5: ("S1,S2,S3,S5,S7", "S7"), 10: ("S1,S2", "")}
+    assert {r["doc_id"]: r["n"] for r in plans.enriched_anchors(spark, str(tmp_path)).collect()} == {1: len(late), 5: len(late), 10: 150}
