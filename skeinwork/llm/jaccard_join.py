@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
 from .shared import materialise
@@ -76,18 +77,32 @@ def sample_tokens(s: np.ndarray) -> np.ndarray:
     return low.astype(np.uint32)
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set of shingles; None if it is empty."""
+    return np.array([s.sum(), mix(s).sum()], np.uint64).tobytes() if len(s) else None
+
+
+def _keyed(docs: DataFrame, words: int) -> DataFrame:
+    """``docs`` with the key of each text's set as ``__key``."""
+    names = [*docs.columns, "__key"]
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [_key(s) for _, _, buf, offs in slices(b.column(at)) for s in shingle_sets(buf, offs, words)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__key", BinaryType())]))
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, tokens = [], []
             for _, _, buf, offs in slices(b.column("text")):
                 for s in shingle_sets(buf, offs, words):
-                    if len(s):
-                        keys.append(np.array([s.sum(), mix(s).sum()], np.uint64).tobytes())
-                        tokens.append(sample_tokens(s).tobytes())
-                    else:
-                        keys.append(None)
-                        tokens.append(None)
+                    keys.append(_key(s))
+                    tokens.append(sample_tokens(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(tokens, pa.binary())], names=["doc_id", "key", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, tokens binary")
@@ -321,23 +336,26 @@ def _verified(members: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "rep long, label long, links long, split boolean")
 
 
-def jaccard_groups(docs: DataFrame, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, copy_of and n_links of every row of ``docs`` (doc_id, text).
+def _classes(docs: DataFrame, words: int, recall: float) -> tuple[DataFrame, bool]:
+    """Rows of ``jaccard_groups`` with their ``key`` and whether they ``lead`` their class; and whether an id has several sets.
 
-    ``copy_of`` is the least doc_id with the same set of shingles, ``class_id`` the least one of the group that links of
-    similarity 4/5 or more hold together, and ``n_links`` the number of other rows that are linked to this one, copies
-    included. A text of fewer words than a shingle has one shingle of all its words; null and empty texts, and rows without
-    doc_id, have no links and are their own class. Rows that repeat a doc_id are copies of each other when their texts are.
+    Sets are known by ``node``: the least doc_id that has them, or, where ids clash, a number in the order of that id and the key.
     """
     sets = materialise(_sets(docs, words), "sets")
     usable = sets.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    reps = materialise(usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "reps")
-    mine = usable.select(F.col("doc_id").alias("rep"), "key", "tokens").join(reps.select("rep", "key"), ["rep", "key"], "left_semi")
-    tokens = materialise(mine.groupBy("rep").agg(F.min("tokens").alias("tokens")), "tokens")  # a repeated id may have several
+    several = (F.min("key") != F.max("key")) | F.count("key").between(1, F.count("*") - 1)
+    clash = bool(sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(several.alias("several")).filter("several").limit(1).count())
+    reps = usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    reps = reps.orderBy("rep", "key").withColumn("node", F.monotonically_increasing_id()) if clash else reps.withColumn("node", F.col("rep"))
+    reps = materialise(reps, "reps")
+    mine = usable.select(F.col("doc_id").alias("rep"), "key", "tokens").join(reps.select("rep", "key", "node"), ["rep", "key"])
+    tokens = materialise(mine.groupBy(F.col("node").alias("rep")).agg(F.min("tokens").alias("tokens")), "tokens")
     groups = candidate_groups(tokens, runs_needed(recall))
     sized = groups.join(groups.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1"), "label")
-    members = sized.join(reps.groupBy("rep").agg(F.max("copies").alias("copies")), sized["id"] == F.col("rep")).select("label", "rep", "copies", "n")
+    members = sized.join(reps.select(F.col("node").alias("rep"), "copies"), sized["id"] == F.col("rep")).select("label", "rep", "copies", "n")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").filter("rep IS NOT NULL AND text IS NOT NULL")
+    if clash:
+        texts = _keyed(texts, words).withColumnRenamed("__key", "key").join(reps.select("rep", "key", "node"), ["rep", "key"]).select(F.col("node").alias("rep"), "text")
     verified = materialise(_verified(members.join(texts, "rep").dropDuplicates(["rep"]), words), "verified")
     whole = verified.filter("NOT split").select("rep", "label", "links")
     split = verified.filter("split")
@@ -345,18 +363,44 @@ def jaccard_groups(docs: DataFrame, words: int = WORDS, recall: float = RECALL)
         labels = components(split.select(F.col("rep").alias("a"), F.col("label").alias("b")))
         counts = split.groupBy("rep").agg(F.sum("links").alias("links"))
         whole = whole.unionByName(counts.join(labels, counts["rep"] == labels["id"]).select("rep", "label", "links"))
-    classes = reps.select("key", "rep", "copies").join(whole, "rep", "left")
-    alone = F.col("copies").isNull()
+    classes = reps.join(whole.withColumnRenamed("rep", "node"), "node", "left")
+    if clash:
+        classes = classes.join(reps.select(F.col("node").alias("label"), F.col("rep").alias("least")), "label", "left")
+    else:
+        classes = classes.withColumn("least", F.col("label"))
+    alone = F.col("copies").isNull() | F.col("doc_id").isNull()
     return sets.select("doc_id", "key").join(classes, "key", "left").select(
         "doc_id",
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("label", "rep")).alias("class_id"),
-        F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"),
-        F.when(alone | F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-    )
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("least", "rep")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("copy_of"),
+        F.when(alone, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
+        "key",
+        F.when(alone, F.lit(True)).otherwise((F.coalesce("label", "node") == F.col("node")) & (F.col("doc_id") == F.col("rep"))).alias("leads"),
+    ), clash
+
+
+def jaccard_groups(docs: DataFrame, words: int = WORDS, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, copy_of and n_links of every row of ``docs`` (doc_id, text).
+
+    ``copy_of`` is the least doc_id with the same set of shingles, ``class_id`` the least one of the group that links of
+    similarity 4/5 or more hold together, and ``n_links`` the number of other rows that are linked to this one, copies
+    included. A text of fewer words than a shingle has one shingle of all its words; null and empty texts, and rows without
+    doc_id, have no links and are their own class. Rows that repeat a doc_id are copies of each other when their texts are;
+    otherwise each has the links of its own text.
+    """
+    return _classes(docs, words, recall)[0].drop("key", "leads")
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, recall: float = RECALL) -> DataFrame:
-    """The rows of ``docs`` without those that another document of their group stands for; the least doc_id stays, once."""
-    ids = jaccard_groups(docs, words, recall).filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without those that another document of their group stands for; the least doc_id stays, once.
+
+    Of rows that share a doc_id one stays for each of its sets of shingles that nothing else stands for.
+    """
+    classes, clash = _classes(docs, words, recall)
+    kept = classes.filter("leads AND doc_id IS NOT NULL")
+    if clash:
+        kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__set")).distinct()
+        named = _keyed(docs, words).join(kept, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    else:
+        named = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

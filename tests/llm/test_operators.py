@@ -306,6 +306,27 @@ def test_jaccard_groups(spark, docs, none, monkeypatch):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] in (5, 6, 7, 14)) == [5] and kept.filter("doc_id IS NULL").count() == 1
 
 
+def test_jaccard_keeps_other_texts_of_a_repeated_id(spark):
+    near = BASE + " tail"
+    rows = [(5, prose(21, 80)), (5, BASE), (5, ""), (3, near), (7, prose(22, 80)), (7, prose(22, 80)), (8, prose(21, 80)), (9, prose(23, 80)), (9, prose(24, 80)), (9, prose(23, 80) + " end"), (5, prose(22, 80)), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {k: {tuple(WORD.findall(t)[j : j + jaccard_join.WORDS]) for j in range(max(1, len(WORD.findall(t)) - jaccard_join.WORDS + 1))} if t else set() for k, (_, t) in enumerate(rows)}
+    near_ = lambda a, b: bool(sets[a]) and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    group = {k: {k} for k in sets}
+    for a in sets:
+        for b in sets:
+            if near_(a, b) and group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[a]:
+                    group[x] = group[a]
+    expected = sorted((rows[k][0], min(rows[x][0] for x in group[k]), sum(near_(k, x) for x in sets if x != k)) for k in sets)
+    got = jaccard_join.jaccard_groups(df)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == expected
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard_join.keep_one(df).collect())
+    ends = [x for x in kept if x[0] == 9 and x[1].startswith(prose(23, 80))]
+    assert len(ends) == 1 and [x for x in kept if x not in ends] == sorted([(5, prose(21, 80)), (5, ""), (3, near), (9, prose(24, 80)), (5, prose(22, 80)), (4, "")])
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (5, 5), (4, 1), (20, 21), (21, 22), (22, 10)], "a long, b long")
     assert {r["id"]: r["label"] for r in components.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8, 5: 5, 20: 10, 21: 10, 22: 10, 10: 10}
