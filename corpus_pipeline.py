@@ -43,7 +43,8 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests hold each stage against a brute-force version.
+#: SQL can express neither the models nor the tokenizer; a test holds each stage's ids and texts against plain Python (the
+#: stages of the models against the trained model on one text at a time).
 ORACLE_SQL = None
 
 

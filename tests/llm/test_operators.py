@@ -432,3 +432,49 @@ def test_pipeline_stages(spark, sf, docs):
         assert at.columns == ["doc_id", "text", "lang", "source", "n_chars"] and at.count() <= before
     assert corpus_pipeline.STAGES[-1][1](spark, at, sf).count() >= at.count()
     assert corpus_pipeline.run(spark, sf).count() > 100 and os.path.exists(BPE)
+
+
+def test_pipeline_stages_keep_what_plain_python_keeps(spark, sf):
+    """Near copies, cuts and pieces by brute force; both models, once trained, on one text at a time outside Spark."""
+    labels, stages = spark.read.parquet(f"{sf}/labels.parquet"), dict(corpus_pipeline.STAGES)
+    at = spark.read.parquet(f"{sf}/documents.parquet")
+
+    def held(df):
+        rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+        assert len(dict(rows)) == len(rows)
+        return dict(rows)
+
+    def step(name):
+        out = spark.createDataFrame(stages[name](spark, at, sf).collect(), at.schema)
+        return out, held(at), held(out)
+
+    clean = toxicity.train(at, labels)
+    out, before, after = step("toxicity")
+    assert after == {i: t for i, t in before.items() if clean.tag(pa.array([t], pa.string()))[0][0] < 0.3} and 0 < len(after) < len(before)
+    at, good = out, quality_classifier.train(out, labels)
+    out, before, after = step("quality classifier")
+    assert after == {i: t for i, t in before.items() if good.scores(pa.array([t], pa.string()))[0] >= 0.5} and 0 < len(after) < len(before)
+    at = out
+    out, before, after = step("n-gram Jaccard join")
+    groups = brute_groups({i: t or "" for i, t in before.items()})
+    assert after == {i: t for i, t in before.items() if groups[i][0] == i} and 0 < len(after) < len(before)
+    at = out
+    out, before, after = step("suffix-array dedup")
+    seen, want = set(), {}
+    for i, t in sorted(before.items()):
+        raw = (t or "").encode()
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - 99):
+            if raw[k : k + 100] in seen:
+                gone[k : k + 100] = b"\1" * 100
+            seen.add(raw[k : k + 100])
+        ends = np.cumsum([0, *(len(c.encode()) for c in t or "")])
+        want[i] = "".join(c for c, a, b in zip(t or "", ends, ends[1:], strict=False) if not all(gone[a:b]))
+    assert {i: t or "" for i, t in after.items()} == want and want != {i: t or "" for i, t in before.items()}
+    t = Tokenizer.from_file(BPE)
+    pieces = set()
+    for i, text in after.items():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        pieces |= {(i, k, len(ids[4096 * k : 4096 * k + 4096]), zlib.crc32(np.array(ids[4096 * k : 4096 * k + 4096], "<u4").tobytes())) for k in range(-(-len(ids) // 4096))}
+    packed = stages["best-fit packing"](spark, out, sf).collect()
+    assert {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed} == pieces and len(packed) == len(pieces)
