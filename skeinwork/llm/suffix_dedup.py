@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialise
-from .textkit import Hasher, mix, ragged, slices
+from .textkit import Hasher, ragged, slices
 
 LENGTH, GRAM = 100, 32
 BUCKETS = 1024
@@ -103,14 +103,15 @@ def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[
         yield int(doc[part[0]]), packed.tobytes()
 
 
-def _firsts(both: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the first place of each fingerprint, and of later places (the same place again is neither)."""
-    if not len(both):
+def _firsts(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the first place of each key and fingerprint, and of later places (the same place again is neither)."""
+    if not len(key):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((start, doc, both))
-    b, d, s = both[order], doc[order], start[order]
-    new = np.concatenate([[True], b[1:] != b[:-1]])
-    again = np.concatenate([[False], (b[1:] == b[:-1]) & (d[1:] == d[:-1]) & (s[1:] == s[:-1])])
+    order = np.lexsort((start, doc, mark, key))
+    k, m, d, s = key[order], mark[order], doc[order], start[order]
+    alike = (k[1:] == k[:-1]) & (m[1:] == m[:-1])
+    new = np.concatenate([[True], ~alike])
+    again = np.concatenate([[False], alike & (d[1:] == d[:-1]) & (s[1:] == s[:-1])])
     return order[new], order[~new & ~again]
 
 
@@ -153,7 +154,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
             if not parts:
                 continue
             key, mark, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
-            first, later = _firsts(mix(mark + mix(key)), doc, start)
+            first, later = _firsts(key, mark, doc, start)
             if len(later):
                 yield _row_batch(SPAN, [(d % BUCKETS, d, x) for d, x in _span_rows(doc[later], start[later], start[later] + count[later] % INNER + LENGTH - 1)])
             bucket = (key[first] % np.uint64(BUCKETS)).astype(np.int64)
@@ -189,7 +190,7 @@ def _sifted(keyed: DataFrame) -> DataFrame:
         key, mark, doc, start, count = key[twice], mark[twice], doc[twice], start[twice].astype(np.int64), count[twice].astype(np.int64)
         if not len(key):
             return
-        first, later = _firsts(mix(mark + mix(key)), doc, start)
+        first, later = _firsts(key, mark, doc, start)
         rows = [(0, d, x) for d, x in _span_rows(doc[later], start[later], start[later] + count[later] % INNER + LENGTH - 1)]
         for lo in range(0, len(rows), 4096):
             yield _row_batch(SPAN, rows[lo : lo + 4096])

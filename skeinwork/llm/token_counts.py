@@ -3,7 +3,7 @@
 Texts are taken in slices of bounded bytes and split at safe boundaries: a tokenizer that drops white space before it forms
 words has no token, merge or special string that spans a blank or a line feed, nor one that spans the border between an ASCII
 letter and plain punctuation, so the segments between such borders can be encoded apart and put together again; those of
-letters alone are the same in either case. Segments repeat, so each worker keeps a bounded table of them, by 64-bit hash; the segments
+letters alone are the same in either case. Segments repeat, so each worker keeps a bounded table of them, by 128-bit hash; the segments
 that a slice adds are encoded in joined batches of bounded bytes. For other tokenizers (``boundaries=False``) whole texts
 are encoded.
 """
@@ -82,7 +82,7 @@ class SegmentTable:
         mark = self.encode([MARK])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         self.folds = self.encode(["Ab ZQ xY"]) == self.encode(["ab zq xy"])
-        self.keys = np.empty(1 << SLOT_BITS, np.uint64)
+        self.keys, self.others = np.empty(1 << SLOT_BITS, np.uint64), np.empty(1 << SLOT_BITS, np.uint64)
         self.start, self.length = np.empty(1 << SLOT_BITS, np.int64), np.empty(1 << SLOT_BITS, np.int32)
         self.ids = np.empty(1 << 16, np.uint32)
         self.clear()
@@ -91,18 +91,18 @@ class SegmentTable:
         self.keys.fill(0)
         self.n, self.used = 0, 0
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        """Slot of each hash, or of the free slot where it would go, as -1 - slot."""
+    def _find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
+        """Slot of each pair of hashes, or of the free slot where it would go, as -1 - slot."""
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         out = np.empty(len(h), np.int64)
         open_ = np.arange(len(h))
         while len(open_):
             there = self.keys[slot]
-            hit, free = there == h, there == 0
+            hit, free = (there == h) & (self.others[slot] == g), there == 0
             out[open_[hit]] = slot[hit]
             out[open_[free]] = -1 - slot[free]
             more = ~(hit | free)
-            open_, h, slot = open_[more], h[more], (slot[more] + 1) & ((1 << SLOT_BITS) - 1)
+            open_, h, g, slot = open_[more], h[more], g[more], (slot[more] + 1) & ((1 << SLOT_BITS) - 1)
         return out
 
     def _encode(self, segments: list[str]) -> list[np.ndarray]:
@@ -127,19 +127,19 @@ class SegmentTable:
 
     def slots(self, buf: np.ndarray, runs: Segments) -> np.ndarray:
         """The slot of each segment; valid until the next call."""
-        h = Hasher(buf, LOWER if self.folds else None).spans(runs.start, runs.end)
+        h, g = Hasher(buf, LOWER if self.folds else None).pairs(runs.start, runs.end)
         if self.folds:
             other = np.flatnonzero(~runs.plain)
-            h[other] = mix(Hasher(buf).spans(runs.start[other], runs.end[other]) + np.uint64(1))
+            for lane, own in zip((h, g), Hasher(buf).pairs(runs.start[other], runs.end[other]), strict=True):
+                lane[other] = mix(own + np.uint64(1))
         h = np.maximum(h, np.uint64(1))
-        found = self._find(h)
+        found = self._find(h, g)
         new = np.flatnonzero(found < 0)
         if len(new):
-            _, first = np.unique(h[new], return_index=True)
-            first = new[first]
+            first = new[_firsts(h[new], g[new])]
             if self.n + len(first) > 1 << (SLOT_BITS - 1) or self.used > MOST_IDS:
                 self.clear()
-                _, first = np.unique(h, return_index=True)
+                first = _firsts(h, g)
             raw = buf.tobytes()
             values = self._encode([raw[s:e].decode() for s, e in zip(runs.start[first].tolist(), runs.end[first].tolist(), strict=True)])
             length = np.array([len(v) for v in values], np.int64)
@@ -149,14 +149,15 @@ class SegmentTable:
             begin = self.used + np.cumsum(length) - length
             self.used += int(length.sum())
             self.n += len(first)
-            left, keys = np.arange(len(first)), h[first]
+            left, keys, others = np.arange(len(first)), h[first], g[first]
             while len(left):  # of those that want the same free slot one gets it, and the others look on
-                slot = -1 - self._find(keys[left])
+                slot = -1 - self._find(keys[left], others[left])
                 _, one = np.unique(slot, return_index=True)
                 take = left[one]
-                self.keys[slot[one]], self.start[slot[one]], self.length[slot[one]] = keys[take], begin[take], length[take]
+                at = slot[one]
+                self.keys[at], self.others[at], self.start[at], self.length[at] = keys[take], others[take], begin[take], length[take]
                 left = np.delete(left, one)
-            found = self._find(h)
+            found = self._find(h, g)
         return found
 
     def counts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -177,6 +178,13 @@ class SegmentTable:
         return np.concatenate(ids), n
 
 
+def _firsts(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Where each distinct pair of hashes occurs, once."""
+    order = np.lexsort((g, h))
+    new = (np.diff(h[order], prepend=~h[order[:1]]) != 0) | (np.diff(g[order], prepend=~g[order[:1]]) != 0)
+    return order[new]
+
+
 _tables: dict[str, SegmentTable] = {}
 
 

@@ -65,6 +65,36 @@ def test_runs_and_hashes():
     assert h.spans(runs.start[1:2], runs.end[1:2]) == h.spans(runs.start[3:] + 1, runs.end[3:])
 
 
+def thue_morse():
+    """Two words of 1,024 letters that polynomial hashes modulo 2 ** 64 take for one, and texts of them."""
+    word = ""
+    for k in range(1024):
+        word += "ab"[bin(k).count("1") % 2]
+    other = word.translate(str.maketrans("ab", "ba"))
+    return [word, other, f"{word}\n{other}\n{word}", f"{word} {other} x {other} {word} x"]
+
+
+def test_hashes_tell_weak_pairs_apart(spark):
+    texts = thue_morse()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(BPE)
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert ids[0] != ids[1]
+    counts, pieces = by_id(token_counts.token_counts(df, BPE)), by_id(packing.token_pieces(df, BPE))
+    for i, x in enumerate(ids):
+        assert counts[i]["n_tokens"] == len(x) - 1 and (pieces[i]["length"], pieces[i]["ids_crc32"]) == (len(x), zlib.crc32(np.array(x, "<u4").tobytes()))
+    lines = by_id(line_quality.line_quality(df, line_quality.fit([], np.zeros(0))))
+    assert [tuple(lines[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for i in range(4)] == [brute_counts(x) for x in texts]
+    groups = by_id(jaccard_join.jaccard_groups(df))
+    assert [groups[i]["class_id"] for i in range(4)] == [0, 1, 2, 3]
+    for length in (1, 7, 8, 9, 64, 65, 1024):
+        a, b = (np.frombuffer(x[:length].encode(), np.uint8) for x in texts[:2])
+        h = textkit.Hasher(np.concatenate([a, b, a]))
+        at = np.arange(3) * length
+        one, two = h.pairs(at, at + length)
+        assert one[0] == one[2] != one[1] and two[0] == two[2] != two[1] and (one != two).all()
+
+
 def test_token_counts(spark, docs, none):
     t = Tokenizer.from_file(BPE)
     got = by_id(token_counts.token_counts(docs, BPE))
