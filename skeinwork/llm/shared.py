@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,6 +53,14 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def unused(columns: Iterable[str], name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from ``columns`` (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_text(df: DataFrame, keep: tuple[str, ...], text: str = "text") -> tuple[DataFrame, int]:
     """``keep`` columns first, then the text column unless it is among them; and the text's place."""
     if text in keep:

@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chain import Chain, Layout, fit_logistic, sigmoid
+from .chain import CHUNK, Chain, Layout, fit_logistic, layouts, sigmoid
 from .labelled import labelled_sample
-from .shared import crc_mod, with_text
+from .shared import crc_mod, unused, with_text
 from .textkit import LOWER, PUNCT, Hasher, Runs, char_offsets, slices
 
 HEAD_BYTES = 4
@@ -66,36 +66,33 @@ class Model:
     def emissions(self, word: np.ndarray, head: np.ndarray) -> np.ndarray:
         return self.word.of(word) + self.head.of(head) + np.float32(self.bias)
 
-    def tag(self, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
-        """Scores of documents, and their spans (start, end in code points; score): words likelier toxic than not."""
-        e, lengths, places = [], [], []
-        for lo, _, buf, offs in slices(column):
-            runs, word, head = tokens(buf, offs)
-            e.append(self.emissions(word, head))
-            lengths.append(np.diff(runs.bounds()))
-            places.append((lo, buf, offs, runs))
-        if not e:
-            return np.zeros(0), []
-        lengths = np.concatenate(lengths)
-        at = Layout(lengths)
-        odds = self.chain.marginals(at, np.concatenate(e))
-        p = sigmoid(odds)
-        total = np.bincount(at.row, p * (odds > 0), len(lengths))
+    def measures(self, lengths: np.ndarray, e: np.ndarray, at: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds of each word, and of each document the sum of marginals over one half and the largest log odds."""
+        odds = self.chain.marginals(at, e)
+        total = np.bincount(at.row, sigmoid(odds) * (odds > 0), len(lengths))
         top = np.full(len(lengths), -30.0)
         some = np.flatnonzero(lengths)
         if len(some):
             top[some] = np.maximum.reduceat(odds, (np.cumsum(lengths) - lengths)[some])
-        spans: list[list[dict]] = [[] for _ in lengths]
-        first = 0
-        for lo, buf, offs, runs in places:
-            hot = np.flatnonzero(odds[first : first + len(runs)] > 0)
+        return odds, total, top
+
+    def tag(self, column: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores of documents, and their spans (start, end in code points; score): words likelier toxic than not."""
+        scores, spans = [np.zeros(0)], []
+        for _, _, buf, offs in slices(column):
+            runs, word, head = tokens(buf, offs)
+            lengths = np.diff(runs.bounds())
+            odds, total, top = self.measures(lengths, self.emissions(word, head), Layout(lengths, CHUNK))
+            scores.append(sigmoid(document_features(total, top) @ self.document))
+            found: list[list[dict]] = [[] for _ in lengths]
+            hot = np.flatnonzero(odds > 0)
             if len(hot):
                 chars = char_offsets(buf)
                 origin = chars[offs[runs.row[hot]]]
-                for r, s, t, x in zip((runs.row[hot] + lo).tolist(), (chars[runs.start[hot]] - origin).tolist(), (chars[runs.end[hot]] - origin).tolist(), p[first + hot].tolist(), strict=True):
-                    spans[r].append({"start": s, "end": t, "score": round(x, 6)})
-            first += len(runs)
-        return sigmoid(document_features(total, top) @ self.document), spans
+                for r, s, t, x in zip(runs.row[hot].tolist(), (chars[runs.start[hot]] - origin).tolist(), (chars[runs.end[hot]] - origin).tolist(), sigmoid(odds[hot]).tolist(), strict=True):
+                    found[r].append({"start": s, "end": t, "score": round(x, 6)})
+            spans += found
+        return np.concatenate(scores), spans
 
 
 def document_features(total: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -145,54 +142,78 @@ def fit(column: pa.Array, label: np.ndarray, there: tuple[int, int]) -> Model:
         words.append(word)
         heads.append(head)
         lengths.append(np.diff(runs.bounds()))
+    del column
     lengths = np.concatenate(lengths)
-    at = Layout(lengths)
-    word_keys, word = np.unique(np.concatenate(words), return_inverse=True)
-    head_keys, head = np.unique(np.concatenate(heads), return_inverse=True)
-    marked, before = toxic[at.row], np.concatenate([[0], word[:-1]])
-    bad_word = seeds(word, before, at.row, marked, len(word_keys), LEAST_G2[0])
+    word_keys, word = _numbered(words)
+    head_keys, head = _numbered(heads)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    marked, before = toxic[row], np.concatenate([word[:1] * 0, word[:-1]])
+    bad_word = seeds(word, before, row, marked, len(word_keys), LEAST_G2[0])
     bad_head = many_words(head, word, marked, len(head_keys))
-    bad_head &= seeds(head, before, at.row, marked, len(head_keys), LEAST_G2[1])
-    y = ((bad_word[word] | bad_head[head]) & marked).astype(float)
+    bad_head &= seeds(head, before, row, marked, len(head_keys), LEAST_G2[1])
+    y = (bad_word[word] | bad_head[head]) & marked
+    del before, marked, row
+    groups = list(layouts(lengths))
     weights = {"word": np.zeros(len(word_keys), np.float32), "head": np.zeros(len(head_keys), np.float32)}
     step = {"word": np.full(len(word_keys), 1e-6), "head": np.full(len(head_keys), 1e-6), "rest": np.full(6, 1e-6)}
     rate = RATE
     for _ in range(ROUNDS):  # adaptive gradient steps on the chain's log likelihood, with a small ridge
-        gap, moves, start = model.chain.expectations(at, weights["word"][word] + weights["head"][head] + model.bias, y)
-        for name, kind in (("word", word), ("head", head)):
-            w = weights[name]
-            g = np.bincount(kind, gap, len(w)) + 0.01 * w
-            if name == "head":  # a beginning counts only where many different words share it
-                g *= bad_head
+        slope = {"word": 0.01 * weights["word"], "head": 0.01 * weights["head"], "rest": np.zeros(6)}
+        for part, at in groups:
+            e = weights["word"][word[part]] + weights["head"][head[part]] + model.bias
+            gap, moves, start = model.chain.expectations(at, e, y[part])
+            for name, kind in (("word", word), ("head", head)):
+                slope[name] = slope[name] + np.bincount(kind[part], gap, len(slope[name]))
+            slope["rest"] += np.concatenate([[gap.sum(), start], moves.ravel()])
+        slope["head"] *= bad_head  # a beginning counts only where many different words share it
+        for name in ("word", "head"):
+            g = slope[name]
             step[name] += g * g
-            w -= (rate * 4 * g / np.sqrt(step[name])).astype(np.float32) * (np.abs(g) > 1e-9)
-        g = np.concatenate([[gap.sum(), start], moves.ravel()])
+            weights[name] -= (rate * 4 * g / np.sqrt(step[name])).astype(np.float32) * (np.abs(g) > 1e-9)
+        g = slope["rest"]
         step["rest"] += g * g
         move = rate * g / np.sqrt(step["rest"])
         model.bias -= float(move[0])
         model.chain = Chain(model.chain.start - float(move[1]), model.chain.trans - move[2:].reshape(2, 2))
     model.word, model.head = Weights(word_keys, weights["word"]).strip(), Weights(head_keys, weights["head"]).strip()
-    odds = model.chain.marginals(at, model.emissions(word_keys[word], head_keys[head]))
-    total = np.bincount(at.row, sigmoid(odds) * (odds > 0), len(lengths))
-    top = np.full(len(lengths), -30.0)
-    np.maximum.at(top, at.row, odds)
+    parts = [model.measures(at.lengths, model.emissions(word_keys[word[part]], head_keys[head[part]]), at)[1:] for part, at in groups]
+    total, top = (np.concatenate(x) for x in zip(*parts, strict=True))
     weight = np.where(toxic, there[1] / toxic.sum(), there[0] / (~toxic).sum())
     model.document = fit_logistic(document_features(total, top), toxic.astype(float), weight / weight.mean(), ridge=1e-1)
     return model
 
 
+def _numbered(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the number of each hash among them; empties the list."""
+    keys = np.unique(np.concatenate([np.unique(h) for h in hashes]))
+    out = np.concatenate([np.searchsorted(keys, h).astype(np.int32) for h in hashes])
+    hashes.clear()
+    return keys, out
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = (4, 2), most: tuple[int, int] = MOST) -> Model:
-    """Fits on at most ``most`` labelled documents of each class (not toxic, toxic)."""
+    """Fits on at most ``most`` labelled documents of each class (not toxic, toxic); the driver holds those only.
+
+    Rows without doc_id, null labels and labels other than 0 and 1 are left out; null and empty texts have no words; of
+    several labels for one id the largest counts, and each row that repeats an id is a document of the sample. With no rows
+    of one class, or empty tables, the model gives one constant score.
+    """
     sample, there = labelled_sample(docs, labels, "toxic", most, held_out)
     t = sample.toArrow().sort_by("doc_id").combine_chunks()
-    text = t.column("text")
-    return fit(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()), np.array(t.column("label").to_pylist(), int), there)
+    text, label = t.column("text"), np.array(t.column("label").to_pylist(), int)
+    del t
+    return fit(text.chunk(0) if text.num_chunks == 1 else pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string()), label, there)
 
 
 def tag(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, score, and spans array<struct<start, end, score>> of every whole text; null and empty texts have no spans."""
+    """``keep`` columns, score, and spans array<struct<start, end, score>> of every whole text.
+
+    Null and empty texts have no spans and the score of no words; repeated rows give equal results; an empty table no rows.
+    Where ``keep`` has a column of that name, the new one is called score_ or spans_ (see ``unused``).
+    """
     kept = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add("score", "double").add("spans", SPANS)
+    schema = docs.select(*keep).schema
+    schema = schema.add(unused(keep, "score"), "double").add(unused(keep, "spans"), SPANS)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
     rows, at = with_text(docs, keep)
