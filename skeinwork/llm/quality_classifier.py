@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .chain import fit_logistic, sigmoid
 from .labelled import labelled_sample
-from .shared import crc_mod, with_text
+from .shared import crc_mod, unused, with_text
 from .textkit import Hasher, Runs, slices
 
 GRAM_BITS, SHAPE_BITS = 16, 12
@@ -143,6 +143,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, there: tuple[int, int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: tuple[int, int] | None = (3, 1), most: tuple[int, int] = MOST) -> Model:
+    """Fits on at most ``most`` labelled documents of each class; features are found in the workers.
+
+    Rows without doc_id, null labels and labels other than 0 and 1 are left out; null and empty texts have no features; of
+    several labels for one id the largest counts, and each row that repeats an id is a document of the sample. With fewer
+    than four documents of a class, or empty tables, the model gives one constant score.
+    """
     sample, there = labelled_sample(docs, labels, label, most, held_out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +161,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out:
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
-    """``keep`` columns and the score (0 to 1) of every whole text; null and empty texts get the score of no features."""
+    """``keep`` columns and the score (0 to 1) of every whole text.
+
+    Null and empty texts get the score of no features; repeated rows get equal scores; an empty table gives no rows. Where
+    ``keep`` has a column called ``name``, the new one has underscores after that (see ``unused``).
+    """
     kept = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*keep).schema.add(name, "double")
+    schema = docs.select(*keep).schema.add(unused(keep, name), "double")
 
     rows, at = with_text(docs, keep)
 
