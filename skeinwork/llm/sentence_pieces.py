@@ -1,44 +1,70 @@
-"""SentencePiece encoding and decoding as a relational lattice, without Python on the rows.
+"""SentencePiece encoding and decoding by a relational lattice over the distinct words of a corpus.
 
-A text becomes units that no piece spans: a blank with the word after it, or a run of further blanks. For each distinct unit
-all substrings of bounded length are exploded and joined to the piece table; the edges are grouped by unit, by the place
-where they end; and a fold over these places keeps, for each, the one edge that a valid segmentation of the unit so far ends
-with. Characters without a piece become their bytes.
+A text becomes units that no piece spans: it is cut between two characters that no piece has side by side. Texts hold far
+fewer different units than units, so workers first list the distinct ones. For each of those all substrings of bounded length
+are exploded and joined to the piece table; the edges are grouped by unit, and a fold with ``aggregate`` over the places of
+the unit keeps the best edge that ends there, from which the way back gives the ids. Characters without a piece become bytes.
 
-For this kind of model (merges by rank) a segmentation is valid if no merge crosses a border between two of its pieces: a
-piece u at the end of the left one and a piece v at the start of the right one, with u + v a piece that ranks before the
-merges that used up u and v. Each piece carries its right and left spines for that: the lengths of such u and v, and those
-ranks. Exactly one segmentation is valid, so the fold needs no scores, and it equals what merging step by step gives.
+* Models of scores (unigram): the best edge is the one with the largest sum of scores, as Viterbi decoding has it.
+* Models of merges (BPE): no sum of scores gives what merging gives. A segmentation is what merging gives if no merge crosses
+  a border between two of its pieces: a piece u at the end of the left one and a piece v at the start of the right one, with
+  u + v a piece that ranks before the merges that used up u and v. Each piece carries its right and left spines for that: the
+  lengths of such u and v, and those ranks. Exactly one edge that ends at a place fits the best edge where it starts.
+
+Ids go back to the texts without a row for each word: units that occur often, at most ``MOST_UNITS`` of them, are sent to all
+workers; the ids of all others are joined to the texts that have them, by a digest of the text.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import materialise
+from .shared import materialise, unused, with_text
+from .textkit import Hasher, char_offsets, ragged, slices
 
 BLANK = "▁"
-NEVER = 2**31 - 1
-_RUN = rf"^{BLANK}+\z"  # $ would also match before a line end
-_UNITS = f"{BLANK}+(?={BLANK}[^{BLANK}])|{BLANK}[^{BLANK}]+|{BLANK}+"
-
-
-@functools.lru_cache(maxsize=4)
-def _model(path: str) -> tuple[list[tuple], int, int]:
-    """(piece, id, rank, right spine, left spine) of pieces that merges can form, the id of byte 0, and the longest piece.
-
-    A spine lists (length, rank of the merge that uses it up) of the piece itself and what it ends or starts with.
-    """
-    from sentencepiece import sentencepiece_model_pb2
-
-    proto = sentencepiece_model_pb2.ModelProto()
-    with open(path, "rb") as f:
-        proto.ParseFromString(f.read())
-    plain = {p.piece: (i, -p.score) for i, p in enumerate(proto.pieces) if p.type == 1 and set(p.piece) != {BLANK} or p.piece == BLANK}
-    order = {piece: k for k, piece in enumerate(sorted(plain, key=lambda x: plain[x][1]))}
+NEVER = 2**21 - 1
+#: Units whose ids are sent to all workers; units that a task holds before it sends them on; the places that one step of the
+#: outer fold takes; and the characters of a unit that are taken at once to find its edges.
+MOST_UNITS, MOST_HELD, BLOCK, WINDOW = 1 << 18, 1 << 18, 512, 64
+#: Distinct units whose lattices a task holds; their edges stay in memory when they are sorted.
+UNITS_EACH = 1 << 14
+UNIGRAM, MERGES = 1, 2
+#: Kinds of pieces in a model file.
+_NORMAL, _USER = 1, 4
+#: What a character without a piece costs more than the worst piece, in models of scores.
+_UNKNOWN = 10.0
+#: A spine has (rank of the merge that uses a piece up << LENGTH_BITS) + its length, for the piece and what it ends or starts with.
+_SPINE, LENGTH_BITS = "array<int>", 10
+_EDGE = f"struct<start:int,id:int,rank:int,score:float,right:{_SPINE},left:{_SPINE}>"
+
+
+@dataclass
+class Vocabulary:
+    kind: int
+    rows: list[tuple]  # piece, id, rank, score, right spine, left spine
+    zero: int  # the id of byte 0
+    longest: int
+    unknown: float  # score of a character without a piece
+    classes: np.ndarray  # a number for each character that some piece has beside another one, else 0
+    beside: np.ndarray  # whether some piece has characters of two classes side by side
+    mark: int  # the id of one blank
+    runs: dict[int, int]  # ids of pieces of several blanks, by length (models of merges only)
+
+
+def _spines(plain: dict[str, tuple[int, float]]) -> list[tuple]:
+    """Pieces that merges can form, with their spines on the right and on the left."""
+    order = {piece: k for k, piece in enumerate(sorted(plain, key=lambda x: -plain[x][1]))}
     split: dict[str, tuple[str, str] | None] = {}
     for piece in sorted(plain, key=len):
         parts = list(piece)
@@ -49,142 +75,389 @@ def _model(path: str) -> tuple[list[tuple], int, int]:
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
         split[piece] = (parts[0], parts[1]) if len(parts) == 2 else None if len(parts) == 1 else ()
 
-    def spine(piece: str, side: int) -> list[tuple[int, int]]:
+    def spine(piece: str, side: int) -> list[int]:
         out, limit = [], NEVER
         while True:
-            out.append((len(piece), limit))
+            out.append((limit << LENGTH_BITS) + len(piece))
             if not split[piece]:
                 return out
             limit, piece = order[piece], split[piece][side]
 
-    rows = [(p, plain[p][0], order[p], spine(p, 1), spine(p, 0)) for p in plain if split[p] != ()]
-    zero = next(i for i, p in enumerate(proto.pieces) if p.piece == "<0x00>")
-    return rows, zero, max(map(len, plain))
-
+    return [(p, plain[p][0], order[p], float(plain[p][1]), spine(p, 1), spine(p, 0)) for p in plain if split[p] != ()]
 
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """The vocabulary; its size is fixed by the model, so it may be broadcast."""
-    spine = "array<struct<len:int,until:int>>"
-    return spark.createDataFrame(_model(path)[0], f"piece string, id int, rank int, right {spine}, left {spine}")
 
+@functools.lru_cache(maxsize=4)
+def vocabulary(path: str) -> Vocabulary:
+    """Reads a model. Those whose ids this lattice can't give are refused with a ValueError, never encoded some other way."""
+    from sentencepiece import sentencepiece_model_pb2
 
-def units(text: Column) -> Column:
-    """Units of a text, as the model reads it: blanks are marks, and one stands before the text."""
-    marked = F.concat(F.lit(BLANK), F.replace(text, F.lit(" "), F.lit(BLANK)))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(_UNITS), F.lit(0)))
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    kind, norm = proto.trainer_spec.model_type, proto.normalizer_spec
+    wrong = {
+        "a model of words or characters": kind not in (UNIGRAM, MERGES), "pieces of users": any(p.type == _USER for p in proto.pieces),
+        "no byte pieces": not proto.trainer_spec.byte_fallback, "blanks at ends of pieces": proto.trainer_spec.treat_whitespace_as_suffix,
+        "a normalizer": bool(norm.precompiled_charsmap) or norm.remove_extra_whitespaces or not norm.add_dummy_prefix or not norm.escape_whitespaces,
+    }
+    plain = {p.piece: (i, p.score) for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
+    runs = {len(p): i for p, (i, _) in plain.items() if set(p) == {BLANK} and len(p) > 1} if kind == MERGES else {}
+    if kind == MERGES:
+        scores = {plain[BLANK * n][1] for n in runs}
+        plain = {p: x for p, x in plain.items() if len(p) not in runs or set(p) != {BLANK}}
+        wrong["blanks inside pieces"] = any(BLANK in p[1:] for p in plain)
+        wrong["runs of blanks of several ranks"] = len(scores) > 1 or bool(scores) and min(s for p, (_, s) in plain.items() if len(p) > 1) <= max(scores)
+    wrong["no piece for a blank"] = BLANK not in plain
+    wrong["too many or too long pieces"] = len(plain) >= NEVER or max(map(len, plain), default=0) >= 1 << LENGTH_BITS
+    if any(wrong.values()):
+        raise ValueError("cannot encode by a lattice: " + ", ".join(k for k, v in wrong.items() if v))
+    rows = _spines(plain) if kind == MERGES else [(p, i, 0, s, [], []) for p, (i, s) in plain.items()]
+    pairs = {(a, b) for p in plain for a, b in zip(p, p[1:], strict=False)}
+    chars = sorted({c for pair in pairs for c in pair})
+    classes = np.zeros(0x110000, np.int32)
+    classes[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    beside = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+    for a, b in pairs:
+        beside[classes[ord(a)], classes[ord(b)]] = True
+    zero = next(i for i, p in enumerate(proto.pieces) if p.piece == "<0x00>")
+    return Vocabulary(kind, rows, zero, max(map(len, plain)), min(s for _, s in plain.values()) - _UNKNOWN, classes, beside, plain[BLANK][0], runs)
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, ends): for each place of a unit the edges that end there, as structs of start, len, ids, rank and spines."""
-    n = F.length("unit")
-    at = words.select("unit", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    cut = at.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start") + 1))).alias("len"))
-    cut = cut.withColumn("piece", F.substring("unit", F.col("start"), F.col("len")))
-    alone = F.array(F.struct(F.lit(1).alias("len"), F.lit(NEVER).alias("until")))
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """The vocabulary; its size is fixed by the model, so it may be broadcast."""
+    return spark.createDataFrame(vocabulary(path).rows, f"piece string, id int, rank int, score float, right {_SPINE}, left {_SPINE}")
+
+
+def units(buf: np.ndarray, offs: np.ndarray, v: Vocabulary) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row) of the units of texts: blanks are marks, and one stands before each text that isn't empty."""
+    points = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32).copy()
+    points[points == 32] = ord(BLANK)
+    heads = char_offsets(buf)[offs]
+    full = np.flatnonzero(np.diff(heads))
+    begin = heads[:-1][full]
+    points = np.insert(points, begin, ord(BLANK))
+    begin = begin + np.arange(len(full))
+    c = v.classes[points]
+    cut = np.ones(len(points) + 1, bool)
+    cut[1:-1] = ~v.beside[c[:-1], c[1:]]
+    cut[begin] = True
+    at = np.flatnonzero(cut)
+    raw = points.tobytes().decode("utf-32-le").encode()
+    place = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))
+    start, end = place[at[:-1]], place[at[1:]]
+    return raw, start, end, full[np.searchsorted(begin, at[:-1], "right") - 1] if len(full) else np.zeros(0, np.int64)
+
+
+def distinct_units(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(units, how often each occurs, the number of each place's unit)."""
+    h, g = Hasher(np.frombuffer(raw, np.uint8)).pairs(start, end)
+    _, first, number, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    if not (g[first][number] == g).all():  # two units share one of the two hashes
+        _, first, number, n = np.unique(np.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], object), return_index=True, return_inverse=True, return_counts=True)
+    return [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], n, number
+
+
+def unit_key(unit: str) -> str:
+    """What names a unit in tables: itself, or a digest if it is long (only that begins with a zero and goes on)."""
+    return unit if len(unit) <= WINDOW else "\0" + text_key(unit)
+
+
+def corpus_units(docs: DataFrame, path: str) -> DataFrame:
+    """(key, base, part, n) of the distinct units of all texts; a task sends a unit once, unless it holds too many.
+
+    A long unit comes in parts of ``WINDOW`` characters from ``base`` on, with as many more as a piece may take.
+    """
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
+    names = ["key", "base", "part", "n"]
+
+    def rows(held: dict[str, int], reach: int) -> pa.RecordBatch:
+        out = []
+        for unit, n in held.items():
+            if len(unit) <= WINDOW:
+                out.append((unit, 0, None, n))
+            else:
+                key = unit_key(unit)
+                out += [(key, lo, unit[lo : lo + WINDOW + reach], n) for lo in range(0, len(unit), WINDOW)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, held = vocabulary(path), {}
+        for b in batches:
+            for _, _, buf, offs in slices(b.column(0)):
+                found, n, _ = distinct_units(*units(buf, offs, v)[:3])
+                for unit, k in zip(found, n.tolist(), strict=True):
+                    held[unit] = held.get(unit, 0) + k
+                if len(held) >= MOST_HELD:
+                    yield rows(held, v.longest - 1)
+                    held.clear()
+        yield rows(held, v.longest - 1)
+
+    sent = docs.select("text").filter("text <> ''").mapInArrow(run, "key string, base int, part string, n long")
+    found = materialise(sent.groupBy("key", "base", "part").agg(F.sum("n").alias("n")), "distinct")
+    return found.repartition(max(1, math.ceil(found.count() / UNITS_EACH)), "key")
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = 0.0) -> DataFrame:
+    """(key, n, ends): for each place of a unit the edges that end there, the longest first.
+
+    ``id`` of an edge for a character without a piece is -1 less its code point. Rows of a unit stay where ``words`` put
+    them, so neither grouping here moves anything.
+    """
+    part = words.select("key", "n", "base", F.coalesce("part", "key").alias("part"))
+    size = F.length("part")
+    at = part.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), size))).alias("start"))
+    cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("len"))
+    cut = cut.select("key", "n", (F.col("base") + F.col("start") - 1).alias("start"), "len", F.substring("part", F.col("start"), F.col("len")).alias("piece"))
     found = cut.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR len = 1")
-    known = F.col("id").isNotNull()
+    alone = F.array(F.lit((NEVER << LENGTH_BITS) + 1))
     edge = F.struct(
-        (F.col("start") - 1).alias("start"), "len", F.when(known, F.array("id")).otherwise(F.array().cast("array<int>")).alias("ids"), F.coalesce("rank", F.lit(NEVER)).alias("rank"),
-        F.when(known, F.col("right")).otherwise(alone).alias("right"), F.when(known, F.col("left")).otherwise(alone).alias("left"),
-    )
-    ends = found.groupBy("unit", (F.col("start") + F.col("len") - 1).alias("end")).agg(F.collect_list(edge).alias("edges"))
-    return ends.groupBy("unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "edges"))), lambda x: x["edges"]).alias("ends"))
-
-
-def segment(rows: DataFrame, longest: int, zero: int) -> DataFrame:
-    """(unit, ids) from (unit, ends): the fold over places, then the way back."""
-    place = "struct<start:int,ids:array<int>,right:array<struct<len:int,until:int>>>"
-
-    def fold(state: Column, edges: Column) -> Column:
-        def crossed(e: Column) -> Column:
-            border, left = e["start"], F.get(state, e["start"])
-            over = F.flatten(F.slice(F.col("ends"), border + 1, F.lit(longest)))
-            return F.exists(over, lambda x: (x["start"] < border) & F.exists(left["right"], lambda r: (r["len"] == border - x["start"]) & (x["rank"] < r["until"])) & F.exists(e["left"], lambda v: (v["len"] == x["start"] + x["len"] - border) & (x["rank"] <= v["until"])))
-
-        fits = F.filter(edges, lambda e: F.when(e["start"] == 0, F.lit(True)).otherwise(F.get(state, e["start"]).isNotNull() & ~crossed(e)))
-        best = F.get(F.array_sort(fits, lambda a, b: a["start"] - b["start"]), F.lit(0))
-        return F.array_append(state, F.struct(best["start"].alias("start"), best["ids"].alias("ids"), best["right"].alias("right")))
+        "start", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("rank", F.lit(NEVER)).alias("rank"),
+        F.coalesce("score", F.lit(unknown).cast("float")).alias("score"), F.coalesce("right", alone).alias("right"), F.coalesce("left", alone).alias("left"),
+    ).cast(_EDGE)
+    ends = found.groupBy("key", "n", (F.col("start") + F.col("len")).alias("end")).agg(F.array_sort(F.collect_list(edge), lambda a, b: a["start"] - b["start"]).alias("edges"))
+    places = F.array_sort(F.collect_list(F.struct("end", "edges")), lambda a, b: a["end"] - b["end"])
+    return ends.groupBy("key", "n").agg(F.transform(places, lambda x: x["edges"]).alias("ends"))
 
-    start = F.array(F.struct(F.lit(0).alias("start"), F.array().cast("array<int>").alias("ids"), F.array().cast("array<struct<len:int,until:int>>").alias("right")).cast(place))
-    walked = rows.select("unit", F.aggregate("ends", start, fold).alias("state"))
-    size = F.size("state") - 1
 
-    def back(acc: Column, i: Column) -> Column:
-        node = F.get(F.col("state"), i)
-        char = F.substring(F.col("unit"), i, F.lit(1))
-        raw = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(char, "UTF-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int") + zero)
-        ids = F.when(F.size(node["ids"]) > 0, node["ids"]).otherwise(raw)
-        here = acc["at"] == i
-        return F.struct(F.when(here, node["start"]).otherwise(acc["at"]).alias("at"), F.when(here, F.concat(ids, acc["ids"])).otherwise(acc["ids"]).alias("ids"))
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    first = F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids"))
-    return walked.select("unit", F.aggregate(F.sequence(size, F.lit(1), F.lit(-1)), first, back, lambda s: s["ids"]).alias("ids"))
 
+def segment(rows: DataFrame, kind: int, longest: int) -> DataFrame:
+    """(key, n, ids) from (key, n, ends): the fold over places, then the way back.
 
-def blank_runs(spark: SparkSession, path: str, most: int) -> DataFrame:
-    """(unit, ids) of runs of up to ``most`` blanks, from the model itself (a run's merges all rank the same)."""
-    import sentencepiece
+    The fold looks back at the last ``longest`` places only, and what it keeps for the way back grows by blocks: both are
+    linear in a unit's length. Ids below zero stand for code points, see ``lattice``.
+    """
+    back_type = "array<struct<start:int,id:int>>"
+    before_type = "array<float>" if kind == UNIGRAM else f"array<{_SPINE}>"
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return spark.createDataFrame([(BLANK * n, model.encode(" " * (n - 1)) if n > 1 else [model.piece_to_id(BLANK)]) for n in range(1, most + 1)], "unit string, ids array<int>")
+    def by_score(i: Column, window: Column) -> Column:
+        def better(acc: Column, e: Column) -> Column:
+            total = F.when(e["start"] == 0, e["score"]).otherwise(F.get(window, i - e["start"]) + e["score"]).cast("float")
+            return _once(total, lambda t: F.when(acc.isNull() | (acc["total"] < t), F.struct(t.alias("total"), e["start"].alias("start"), e["id"].alias("id"))).otherwise(acc))
 
+        return F.aggregate(F.get(F.col("ends"), i), F.lit(None).cast("struct<total:float,start:int,id:int>"), better)
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Rows with a number each, written once: numbers of rows that are computed again may differ."""
-    return materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    def by_merges(i: Column, window: Column) -> Column:
+        def crossed(e: Column) -> Column:
+            border, left = e["start"], F.get(window, i - e["start"])
+            until, length = lambda x: F.shiftright(x, LENGTH_BITS), lambda x: x.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+            merge = lambda v, x: (x["start"] < border) & (x["rank"] <= until(v)) & F.exists(left, lambda r: (length(r) == border - x["start"]) & (x["rank"] < until(r)))
+            return F.exists(e["left"], lambda v: F.exists(F.get(F.col("ends"), border + length(v) - 1), lambda x: merge(v, x)))
+
+        fits = lambda acc, e: F.when(acc.isNotNull(), acc).when((e["start"] == 0) | ~crossed(e), F.struct(e["right"].alias("right"), e["start"].alias("start"), e["id"].alias("id")))
+        return F.aggregate(F.get(F.col("ends"), i), F.lit(None).cast(f"struct<right:{_SPINE},start:int,id:int>"), fits)
+
+    best, keeps = (by_score, "total") if kind == UNIGRAM else (by_merges, "right")
+
+    def step(state: Column, i: Column) -> Column:
+        window = lambda b: F.slice(F.concat(F.array(b[keeps]), state["window"]), F.lit(1), F.lit(longest))
+        return _once(best(i - 1, state["window"]), lambda b: F.struct(window(b).alias("window"), F.array_append(state["part"], F.struct(b["start"].alias("start"), b["id"].alias("id"))).alias("part")))
+
+    def places(k: Column) -> tuple[Column, Column]:
+        return k * BLOCK + 1, F.least(F.col("size"), (k + 1) * BLOCK)
+
+    def block(state: Column, k: Column) -> Column:
+        start = F.struct(state["window"].alias("window"), F.array().cast(back_type).alias("part"))
+        inner = F.aggregate(F.sequence(*places(k)), start, step)
+        return _once(inner, lambda s: F.struct(s["window"].alias("window"), F.array_append(state["parts"], s["part"]).alias("parts")))
+
+    sized = rows.select("key", "n", F.size("ends").alias("size"), "ends")
+    begin = F.struct(F.array().cast(before_type).alias("window"), F.array().cast(f"array<{back_type}>").alias("parts"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    walked = sized.select("key", "n", "size", F.aggregate(F.sequence(F.lit(0), blocks - 1), begin, block, lambda s: s["parts"]).alias("parts"))
+
+    def hop(acc: Column, i: Column, part: Column) -> Column:
+        here = F.get(part, (i - 1) % BLOCK)
+        return F.when(acc["at"] == i, F.struct(here["start"].alias("at"), F.array_append(acc["path"], here["id"]).alias("path"))).otherwise(acc)
+
+    def back(acc: Column, k: Column) -> Column:
+        low, high = places(k)
+        start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("path"))
+        inner = F.aggregate(F.sequence(high, low, F.lit(-1)), start, lambda a, i: hop(a, i, F.get(F.col("parts"), k)))
+        return _once(inner, lambda s: F.struct(s["at"].alias("at"), F.array_append(acc["paths"], s["path"]).alias("paths")))
+
+    end = F.struct(F.col("size").alias("at"), F.array().cast("array<array<int>>").alias("paths"))
+    paths = F.aggregate(F.sequence(F.size("parts") - 1, F.lit(0), F.lit(-1)), end, back, lambda s: s["paths"])
+    return walked.select("key", "n", F.reverse(F.flatten(paths)).alias("ids"))
+
+
+@functools.lru_cache(maxsize=4096)
+def blank_run(n: int, lengths: frozenset[int]) -> tuple[int, ...]:
+    """Lengths of the pieces of n blanks. All merges of blanks rank the same, so the leftmost goes first: a fold from the left."""
+    out: list[int] = []
+    for _ in range(n):
+        out.append(1)
+        while len(out) > 1 and out[-2] + out[-1] in lengths:
+            out[-2:] = [out[-2] + out[-1]]
+    return tuple(out)
+
+
+def join_blanks(ids: np.ndarray, row: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with blanks that stand alone side by side merged (they come last, and only with each other), and their rows."""
+    lone = ids == v.mark
+    if not v.runs or not (lone[1:] & lone[:-1]).any():
+        return ids, row
+    opens = lone & np.concatenate([[True], ~lone[:-1] | (row[1:] != row[:-1])])
+    starts = np.flatnonzero(opens)
+    closes = lone & np.concatenate([~lone[1:] | (row[1:] != row[:-1]), [True]])
+    size = np.flatnonzero(closes) - starts + 1
+    keep = np.ones(len(ids), bool)
+    ids = ids.copy()
+    lengths = frozenset(v.runs)
+    for s, n in zip(starts[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        parts = [v.runs.get(k, v.mark) for k in blank_run(n, lengths)]
+        ids[s : s + len(parts)] = parts
+        keep[s + len(parts) : s + n] = False
+    return ids[keep], row[keep]
+
+
+def spell_out(ids: np.ndarray, row: np.ndarray, zero: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the bytes of a code point for each one below zero, and their rows."""
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids, row
+    points, number = np.unique(-1 - ids[odd], return_inverse=True)
+    raw = [chr(p).encode() for p in points.tolist()]
+    size = np.ones(len(ids), np.int64)
+    size[odd] = np.array([len(x) for x in raw])[number]
+    out, first = np.repeat(ids, size), np.cumsum(size) - size
+    out[ragged(first[odd], size[odd])] = np.frombuffer(b"".join(raw[k] for k in number.tolist()), np.uint8).astype(np.int32) + zero
+    return out, np.repeat(row, size)
+
+
+class Table:
+    """Ids of units, one after the other; ``numbers`` has the place of each unit, by its key, among them."""
+
+    def __init__(self, unit: list[str], ids: list | np.ndarray, ends: np.ndarray):
+        self.numbers = dict(zip(unit, range(len(unit)), strict=True))
+        self.ids, self.ends = np.asarray(ids, np.int32), np.concatenate([[0], ends]).astype(np.int64)
+
+
+def _frequent(coded: DataFrame) -> tuple[Table, bool]:
+    """The table of the units that occur often, at most ``MOST_UNITS`` of them, and whether there are others."""
+    band = F.floor(F.log2("n")).cast("int")
+    sizes = dict(coded.groupBy(band.alias("band")).count().collect())
+    held, least = 0, max(sizes, default=0) + 1
+    while least > 0 and held + sizes.get(least - 1, 0) <= MOST_UNITS:
+        least -= 1
+        held += sizes.get(least, 0)
+    t = coded.filter(band >= least).select("key", "ids").toArrow().combine_chunks()
+    lists = t.column("ids").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+    table = Table(t.column("key").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy())))
+    return table, least > 0
+
+
+def _rare(docs: DataFrame, table, path: str) -> DataFrame:
+    """(text_key, key) of the units of each text that the table hasn't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, known = vocabulary(path), table.value.numbers
+        for b in batches:
+            column = b.column(0)
+            for lo, hi, buf, offs in slices(column):
+                raw, start, end, row = units(buf, offs, v)
+                found, _, number = distinct_units(raw, start, end)
+                found = [unit_key(u) for u in found]
+                other = np.array([u not in known for u in found], bool)
+                some = other[number] if len(number) else np.zeros(0, bool)
+                pairs = np.unique((row[some].astype(np.int64) << 32) | number[some])
+                keys = [text_key(t) for t in column.slice(lo, hi - lo).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in (pairs >> 32).tolist()], pa.string()), pa.array([found[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.string())], names=["text_key", "key"])
+
+    return docs.select("text").filter("text <> ''").mapInArrow(run, "text_key string, key string").distinct()
+
+
+def text_key(text: str) -> str:
+    """A digest that only finds what belongs to a text; the same as Spark's ``md5``."""
+    return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
 def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ids array<int> of every row's whole text: the ids of the model, without begin or end.
 
-    Null and empty texts have no ids; repeated rows have equal ids; an empty table gives no rows.
+    Null and empty texts have no ids; repeated rows have equal ids; an empty table gives no rows. Where ``keep`` has a column
+    ids, the new one is called ids_ (see ``unused``). Work and memory are linear in the length of a text, of a word, and of a
+    run of blanks. A model that is no unigram or merging one, or that normalizes texts, is refused.
     """
-    spark = docs.sparkSession
-    _, zero, longest = _model(path)
-    rows = _numbered(docs.select(*keep, F.col("text").alias("__text")))
-    parts = rows.select("__row", F.posexplode(units(F.col("__text"))).alias("at", "unit"))
-    # a run of blanks before a word whose mark stays alone takes that mark in: both are one unit then
-    words = parts.select("unit").distinct()
-    runs = words.filter(F.col("unit").rlike(_RUN))
-    most = runs.agg(F.max(F.length("unit"))).first()[0] or 1
-    blanks = blank_runs(spark, path, most + 1)
-    found = segment(lattice(words.filter(~F.col("unit").rlike(_RUN)), piece_table(spark, path), longest), longest, zero)
-    coded = parts.join(found.unionByName(blanks.join(runs, "unit", "left_semi")), "unit", "left")
-    missing = F.raise_error(F.concat(F.lit("no ids for the unit "), "unit")).cast("array<int>")
-    coded = coded.withColumn("ids", F.when(F.col("ids").isNull(), missing).otherwise(F.col("ids")))
-    lists = coded.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "unit", "ids"))).alias("u"))
-    table = F.array_sort(F.collect_list(F.struct(F.length("unit").alias("n"), "ids")))
-    lists = lists.crossJoin(F.broadcast(blanks.agg(table.alias("blanks"))))
-    mark = blanks.filter(F.length("unit") == 1).first()["ids"][0]
-    run = lambda x: x["unit"].rlike(_RUN)
-    alone = lambda x: ~run(x) & (F.get(x["ids"], F.lit(0)) == mark)
-
-    def joined(x: Column, i: Column) -> Column:
-        after, before = F.get(F.col("u"), i + 1), F.get(F.col("u"), i - 1)
-        longer = F.get(F.col("blanks"), F.length(x["unit"]))["ids"]
-        grows = run(x) & F.coalesce(alone(after), F.lit(False))
-        gives = (i > 0) & alone(x) & F.coalesce(run(before), F.lit(False))
-        return F.when(grows, longer).when(gives, F.slice(x["ids"], F.lit(2), F.greatest(F.size(x["ids"]), F.lit(1)))).otherwise(x["ids"])
-
-    ids = lists.select("__row", F.flatten(F.transform("u", joined)).alias("ids"))
-    return rows.drop("__text").join(ids, "__row", "left").select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-
-
-def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and the text of ids array<int>: bytes of all pieces together, marks as blanks, without the first one.
-
-    ``keep`` may have the ids.
+    spark, v = docs.sparkSession, vocabulary(path)
+    edges = lattice(corpus_units(docs, path), piece_table(spark, path), v.longest, v.unknown)
+    coded = materialise(segment(edges, v.kind, v.longest), "units")
+    frequent, others = _frequent(coded)
+    table = spark.sparkContext.broadcast(frequent)
+    schema = docs.select(*keep).schema
+    schema = schema.add(unused(keep, "ids"), T.ArrayType(T.IntegerType()))
+    rows, at = with_text(docs, keep)
+    if others:
+        found = _rare(docs, table, path).join(coded.select("key", "ids"), "key")
+        found = found.groupBy("text_key").agg(F.collect_list(F.struct("key", "ids")).alias("own"))
+        own, key = unused(rows.columns, "own"), unused(rows.columns, "text_key")
+        found = found.select(F.col("text_key").alias(key), F.col("own").alias(own)).hint("shuffle_hash")
+        rows = rows.withColumn(key, F.md5(F.col("text").cast("binary"))).join(found, key, "left").select(*rows.columns, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        for b in batches:
+            for lo, hi, buf, offs in slices(b.column(at)):
+                raw, start, end, row = units(buf, offs, v)
+                found, _, number = distinct_units(raw, start, end)
+                ids, n = _ids_of([unit_key(u) for u in found], table.value, b.column(b.num_columns - 1).slice(lo, hi - lo).to_pylist() if others else [])
+                begin = np.cumsum(n) - n
+                whole = ids[ragged(begin[number], n[number])] if len(number) else np.zeros(0, np.int32)
+                whole, row = join_blanks(*spell_out(whole, np.repeat(row, n[number]), v.zero), v)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.ListArray.from_arrays(pa.array(ends), pa.array(whole, pa.int32()))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _ids_of(found: list[str], table: Table, own: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units of some keys, number of each), from the table and from what came with the texts."""
+    at = np.array([table.numbers.get(u, -1) for u in found], np.int64)
+    lost = np.flatnonzero(at < 0)
+    if not len(lost):
+        n = table.ends[at + 1] - table.ends[at]
+        return table.ids[ragged(table.ends[at], n)], n
+    more = {x["key"]: x["ids"] for some in own for x in some or ()}
+    extra = [more[found[i]] for i in lost.tolist()]
+    ends = np.concatenate([table.ends, table.ends[-1] + np.cumsum([len(x) for x in extra])])
+    ids = np.concatenate([table.ids, np.concatenate([np.array(x, np.int32) for x in extra])])
+    at[lost] = len(table.ends) - 1 + np.arange(len(lost))
+    n = ends[at + 1] - ends[at]
+    return ids[ragged(ends[at], n)], n
+
+
+def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """``keep`` columns and the text of ``ids`` array<int>: bytes of all pieces together, marks as blanks, without the first one.
+
+    Null and empty ids give the empty text, and so do control pieces; bytes that are no text become replacement characters;
+    repeated rows give equal texts; an empty table gives no rows. ``keep`` may have the ids; where it has a column text, the
+    new one is called text_ (see ``unused``).
     """
-    import sentencepiece
-
-    spark = coded.sparkSession
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
-    _, zero, _ = _model(path)
-    hexes = [(i, f"{i - zero:02X}" if model.is_byte(i) else "" if model.is_control(i) else model.id_to_piece(i).replace(BLANK, " ").encode().hex().upper()) for i in range(model.get_piece_size())]
-    pieces = F.broadcast(spark.createDataFrame(hexes, "id int, hex string"))
-    rows = _numbered(coded.select(*dict.fromkeys([*keep, "ids"])))
-    parts = rows.select("__row", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "hex"))), lambda x: x["hex"]), "")
-    whole = parts.groupBy("__row").agg(text.alias("hex"))
-    out = F.make_valid_utf8(F.unhex(F.regexp_replace("hex", "^20", "")).cast("string"))
-    return rows.join(whole, "__row", "left").select(*keep, F.coalesce(out, F.lit("")).alias("text"))
+    schema = coded.select(*keep).schema
+    schema = schema.add(unused(keep, "text"), "string")
+    rows, at = with_text(coded, keep, ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        zero = vocabulary(path).zero
+        pieces = [bytes([i - zero]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
+        size = np.array([len(p) for p in pieces])
+        flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
+        for b in batches:
+            column = b.column(at)
+            lists = pa.array(column.to_pylist(), pa.list_(pa.int32())) if column.offset else column
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            texts = []
+            for lo, hi, there in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
+                own = values[lo:hi] if there else values[:0]
+                raw = flat[ragged(begin[own], size[own])].tobytes()
+                texts.append(raw.removeprefix(b" ").decode(errors="replace"))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)

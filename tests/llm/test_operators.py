@@ -405,9 +405,82 @@ def test_sentence_pieces(spark, sf, docs, none):
     got, texts = by_id(coded), by_id(df)
     assert all(list(got[i]["ids"]) == model.encode(r["text"] or "") for i, r in texts.items())
     assert all(r["text"] == (texts[i]["text"] or "") for i, r in by_id(sentence_pieces.decode(coded, path)).items())
-    few = docs.filter("n_chars < 2000")
-    assert sentence_pieces.encode(few, path).count() == few.count() and sentence_pieces.encode(none, path).count() == 0
-    assert sentence_pieces.decode(coded.limit(0), path).count() == 0
+    clash = docs.withColumns({"ids": F.lit("x"), "own": F.lit("y"), "text_key": F.lit("z")})
+    rows = sentence_pieces.encode(clash, path, tuple(clash.columns)).collect()
+    assert sorted(map(str, ([r["ids_"], r["ids"], r["own"], r["text_key"]] for r in rows))) == sorted(map(str, ([model.encode(r["text"] or ""), "x", "y", "z"] for r in docs.collect())))
+    assert sentence_pieces.encode(none, path).count() == 0 and sentence_pieces.decode(coded.limit(0), path).count() == 0
+
+
+def test_sentence_pieces_of_whole_tables(spark, monkeypatch):
+    """All of sf0.01, with most units too rare for the table that all workers have; and with all units in it."""
+    import sentencepiece
+
+    path, d = public_tokenizers.path("piece_bpe_32k.model"), "/root/testdata/sf0.01"
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = by_id(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
+    for most in (500, 1 << 18):
+        monkeypatch.setattr(sentence_pieces, "MOST_UNITS", most)
+        got = by_id(queries.op6_sentence_pieces(spark, d))
+        assert len(got) == len(texts) and all(list(got[i]["ids"]) == model.encode(r["text"] or "") and got[i]["same"] for i, r in texts.items())
+
+
+def test_sentence_pieces_of_long_words_and_runs_of_blanks(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(4)
+    letters = "".join(r.choice("aeinorst") for _ in range(100_000))
+    long = [letters, "z" * 100_000, " " * 100_000, "a" + " " * 24_000 + "b " + " " * 77 + "\n", "漢字" * 20_000]
+    long += [" " * n + x for n in range(40) for x in ("", "x", "\n", "漢")]
+    coded = sentence_pieces.encode(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string"), path)
+    assert {i: list(x["ids"]) for i, x in by_id(coded).items()} == {i: model.encode(t) for i, t in enumerate(long)}
+
+
+def small_model(kind, extra=()):
+    """A model of a few pieces, written by hand."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    m = sentencepiece_model_pb2.ModelProto()
+    add = lambda piece, score, type_: m.pieces.add(piece=piece, score=score, type=type_)
+    add("<unk>", 0, 2)
+    add("<s>", 0, 3)
+    add("</s>", 0, 3)
+    for k in range(256):
+        add(f"<0x{k:02X}>", 0, 6)
+    r = random.Random(6)
+    pieces = {"▁", *"abcd"} | {"".join(r.choice("abcd") for _ in range(r.randrange(2, 6))) for _ in range(60)} | {"▁" + "".join(r.choice("abcd") for _ in range(r.randrange(1, 4))) for _ in range(20)} | {"▁▁"}
+    for piece in sorted(pieces):
+        add(piece, -r.uniform(1, 9), 1)
+    for piece, type_ in extra:
+        add(piece, 0, type_)
+    m.trainer_spec.model_type = kind
+    m.trainer_spec.byte_fallback = True
+    m.normalizer_spec.name = "identity"
+    m.normalizer_spec.remove_extra_whitespaces = False
+    return m
+
+
+def test_sentence_pieces_of_models_of_scores(spark, tmp_path):
+    import sentencepiece
+
+    path = str(tmp_path / "scores.model")
+    (tmp_path / "scores.model").write_bytes(small_model(1).SerializeToString())
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcd  xé") for _ in range(r.randrange(120))) for _ in range(120)] + [None, "", " ", "abcd" * 2000]
+    coded = sentence_pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+    assert {i: list(x["ids"]) for i, x in by_id(coded).items()} == {i: model.encode(t or "") for i, t in enumerate(texts)}
+    assert {i: x["text"] for i, x in by_id(sentence_pieces.decode(coded, path)).items()} == {i: t or "" for i, t in enumerate(texts)}
+
+
+def test_sentence_pieces_refuses_other_models(tmp_path):
+    for k, m in enumerate([small_model(3), small_model(1, [("user", 4)]), small_model(2), small_model(1)]):
+        if k == 3:
+            m.normalizer_spec.remove_extra_whitespaces = True
+        (tmp_path / f"{k}.model").write_bytes(m.SerializeToString())
+        with pytest.raises(ValueError):
+            sentence_pieces.vocabulary(str(tmp_path / f"{k}.model"))
 
 
 def test_sentence_pieces_around_line_ends(spark):
