@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import threading
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ class Engine:
         self.embedder = embedder or vector.HashingEmbedder(self.config.embedding_dimension)
         self.decompose, self.answer_with = decompose, answer
         self.extract = extract or (lambda chunks: graph.extract(chunks, "chunk_id"))
-        self.metrics = spark.createDataFrame([], schemas.METRIC)
+        self._measured: deque[dict] = deque(maxlen=self.config.metrics_kept)
         self.errors: list[tuple[str, str]] = []
         self._changes, self._seq = threading.Lock(), 0
 
@@ -106,15 +107,19 @@ class Engine:
     # queries
 
     def sub_queries(self, question: str) -> list[str]:
-        """1 to 3 questions; the one itself where it isn't worth splitting or that fails."""
+        """1 to 3 questions; the one itself where it isn't worth splitting or ``decompose_attempts`` attempts fail."""
         worth = self.spark.range(1).select(should_decompose(F.lit(question))).first()[0]
         if not self.decompose or not worth:
             return [question]
-        try:
-            response = self.decompose(question)
-        except Exception:  # noqa: BLE001
-            return [question]
-        return self.spark.range(1).select(parse_sub_queries(F.lit(response), F.lit(question))).first()[0][:3]
+        for _ in range(self.config.decompose_attempts):
+            try:
+                response = self.decompose(question)
+            except Exception:  # noqa: BLE001
+                continue
+            found = self.spark.range(1).select(parse_sub_queries(F.lit(response), F.lit(None).cast("string"))).first()[0]
+            if found != [None]:
+                return found[:3]
+        return [question]
 
     def hybrid(self, queries: DataFrame, k: int | None = None, version: int | None = None) -> DataFrame:
         """(query_id, id, score, sem, lex, rank) of (query_id, query): both kinds of retrieval in one plan over all queries."""
@@ -164,7 +169,7 @@ class Engine:
         rows = found.select("score", "source_id").collect()  # at most max_k
         refused = not rows or max(r["score"] for r in rows) < self.config.refusal_threshold
         self._seq += 1
-        self.metrics = metrics.append(self.metrics, seq=self._seq, retrieval_ms=metrics.elapsed_ms(began), candidate_count=len(rows), selected_count=min(len(rows), self.config.context_chunks), source_count=len({r["source_id"] for r in rows}), manifest_version=version, refused=refused)
+        self._measured.append(dict(seq=self._seq, retrieval_ms=metrics.elapsed_ms(began), candidate_count=len(rows), selected_count=min(len(rows), self.config.context_chunks), source_count=len({r["source_id"] for r in rows}), manifest_version=version, refused=refused))
         if refused:
             return iter([REFUSAL]), ""
         context, sources = self.context(found)
@@ -174,6 +179,11 @@ class Engine:
         messages.append({"role": "user", "content": f"{context}\n\n{question}"})
         return (self.answer_with(messages) if self.answer_with else iter([context])), sources
 
+    @property
+    def metrics(self) -> DataFrame:
+        """Measures of the last ``metrics_kept`` questions."""
+        return metrics.table(self.spark, list(self._measured))
+
     def stats(self) -> dict:
         """Numbers of chunks, sources, nodes and edges, and the sources' names."""
         chunks = self.store.table("chunks")

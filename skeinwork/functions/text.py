@@ -99,12 +99,29 @@ def parse_sub_queries(response: Column | str, query: Column | str) -> Column:
     return F.when(F.size(items) > 0, items).otherwise(F.array(_col(query)))
 
 
+#: How the passages of a batch are headed in prompts and answers, and what may stand before an entity.
+PASSAGE, BULLETS = "---段落", "-*· "
+
+
+def parse_entity_response(response: Column | str, n: Column | int) -> Column:
+    """Entities of n passages from one answer, array<array<string>>: a line each, under a heading a passage.
+
+    Blank lines don't count, and neither do headings with nothing under them; missing passages, and all of a null answer,
+    have no entities, and more than n are dropped.
+    """
+    n = F.lit(n) if isinstance(n, int) else n
+    passages = F.split(F.coalesce(_col(response), F.lit("")), rf"(?:^|\n){WHITE}*{PASSAGE}[^\n]*")
+    lines = lambda p: F.filter(F.transform(F.split(p, "\n"), strip), lambda x: x != "")
+    found = F.filter(F.transform(passages, lambda p: F.transform(lines(p), lambda x: F.regexp_replace(x, f"^[{BULLETS}]+", ""))), lambda x: F.size(x) > 0)
+    return F.slice(F.concat(found, F.array_repeat(F.array().cast("array<string>"), n)), F.lit(1), n)
+
+
 def endpoint_problem(url: Column | str, allow_remote_http: bool = False) -> Column:
     """Why a service address is not acceptable, or null; the rules apply in order."""
     u = strip(F.coalesce(_col(url), F.lit("")))
     part = lambda name: F.try_parse_url(u, F.lit(name))
     scheme, host, user = F.lower(part("PROTOCOL")), F.regexp_replace(F.lower(part("HOST")), r"^\[|\]$", ""), part("USERINFO")
-    local = host.isin("localhost", "::1") | host.rlike(r"^127\.\d+\.\d+\.\d+$")
+    local = host.isin("localhost", "127.0.0.1", "::1")
     problem = (
         F.when(u == "", "empty")
         .when(F.length(u) > 2048, "too long")

@@ -2,18 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import entities
+from ..functions.text import entities, parse_entity_response
 from .lexical import DIGITS, top_per_query
 
+#: Texts that a model is asked about at once, and the characters of each that it sees.
+BATCH, PROMPT_CHARS = 5, 1500
+
 
 def extract(chunks: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     """(id, entities): the offline extractor."""
     return chunks.select(F.col(id_column).alias("id"), entities(text).alias("entities"))
 
 
+def extract_with(chunks: DataFrame, id_column: str, ask: Callable[[list[str]], str], text: str = "text", size: int = BATCH) -> DataFrame:
+    """(id, entities) by a model: ``ask`` gets the first PROMPT_CHARS characters of up to ``size`` texts and answers with lines.
+
+    Each distinct text is asked for once. A call that fails leaves the texts of its batch without entities, and so are null
+    texts. ``ask`` runs in the workers, so it must be picklable.
+    """
+    keyed = chunks.select(F.col(id_column).alias("id"), F.md5(F.col(text).cast("binary")).alias("key"), F.substring(F.col(text), 1, PROMPT_CHARS).alias("prompt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, prompts = b.column("key").to_pylist(), b.column("prompt").to_pylist()
+            rows: list[tuple] = []
+            for lo in range(0, len(keys), size):
+                part = prompts[lo : lo + size]
+                try:
+                    answer = ask(part)
+                except Exception:  # noqa: BLE001
+                    answer = None
+                rows += [(keys[lo + k], k, len(part), answer) for k in range(len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["key", "place", "n", "answer"])
+
+    asked = keyed.filter("prompt IS NOT NULL").groupBy("key").agg(F.first("prompt").alias("prompt")).mapInArrow(run, "key string, place int, n int, answer string")
+    parsed = asked.select("key", F.get(parse_entity_response("answer", F.col("n")), F.col("place")).alias("entities"))
+    return keyed.join(parsed, "key", "left").select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+
+
 def mentions(lists: DataFrame) -> DataFrame:
     """(entity, id): all distinct entities of each chunk, whatever their number."""
     return lists.select("id", F.explode(F.array_distinct("entities")).alias("entity")).select("entity", "id")

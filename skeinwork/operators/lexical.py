@@ -1,17 +1,19 @@
 """Inverted index and BM25 ranking.
 
-The index is four tables: postings (term, id, tf), lengths (id, dl), terms (term, df, idf) and one row of corpus statistics.
-Scoring filters postings to the query terms before anything is shuffled.
+The index is four tables: postings (term, id, tf, dl), lengths (id, dl), terms (term, df, idf) and one row of corpus statistics.
+Postings carry the length of their chunk, so scoring joins them to the query terms and to nothing else; the optimizer sends
+the query terms to all tasks while they are small and shuffles both sides by term beyond that.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .store import spread, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9  # ranks go by scores rounded to so many digits, so that sums in another order don't change them
@@ -30,7 +32,7 @@ class LexicalIndex:
 
 
 def tokens_of(chunks: DataFrame, id_column: str, text: str = "text") -> DataFrame:
-    return chunks.select(F.col(id_column).alias("id"), tokenize(text).alias("tokens"))
+    return spread(chunks.select(F.col(id_column).alias("id"), F.col(text).alias("text"))).select("id", tokenize("text").alias("tokens"))
 
 
 def reuse_tokens(chunks: DataFrame, previous: DataFrame, id_column: str = "chunk_id") -> DataFrame:
@@ -42,14 +44,32 @@ def reuse_tokens(chunks: DataFrame, previous: DataFrame, id_column: str = "chunk
 
 
 def build_index(tokens: DataFrame) -> LexicalIndex:
-    """From (id, tokens). Chunks without tokens count in the number and the mean length of chunks."""
-    lengths = tokens.select("id", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    """From (id, tokens). Chunks without tokens count in the number and the mean length of chunks.
+
+    Postings are counted within each row, so nothing is shuffled for them, and written once, as all else is read from them;
+    a chunk without tokens has one without a term.
+    """
+    sized = tokens.select("id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("dl"), F.explode_outer(term_counts(F.col("tokens"))).alias("p"))
+    found = written(sized.select("id", "dl", "p.term", "p.tf"), "postings")
+    return index_of(found.filter("term IS NOT NULL"), found.groupBy("id").agg(F.max("dl").alias("dl")))
+
+
+def term_counts(tokens: Column) -> Column:
+    """array<struct<term, tf>> of a list of tokens: where terms begin in the sorted list, and how far it is to the next one."""
+    once = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    begins = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    counted = lambda s, f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).cast("long").alias("tf")))
+    return F.when(F.size(tokens) > 0, once(F.sort_array(tokens), lambda s: once(begins(s), lambda f: counted(s, f))))
+
+
+def index_of(postings: DataFrame, lengths: DataFrame) -> LexicalIndex:
+    """The index of stored postings and lengths; the statistics are three numbers, and read at once."""
+    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row: over all terms, before the floor
-    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(EPSILON * F.col("mean")).alias("idf"))
+    raw = written(df.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)), "terms")
+    mean = raw.agg(F.avg("raw")).first()[0]  # over all terms, before the floor
+    terms = raw.select("term", "df", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(F.lit(EPSILON) * F.lit(mean).cast("double")).alias("idf"))
+    stats = lengths.sparkSession.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(avgdl).cast("double").alias("avgdl"))
     return LexicalIndex(postings, lengths, terms, stats)
 
 
@@ -60,9 +80,10 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
     """(query_id, id, score) of chunks that have a query term."""
+    avgdl = index.stats.first()["avgdl"]
     wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    hits = index.postings.join(F.broadcast(wanted), "term").join(index.lengths, "id").crossJoin(F.broadcast(index.stats))
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    hits = index.postings.join(wanted, "term")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl).cast("double"))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("score"))
 
 
@@ -75,11 +96,18 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank) of the k best chunks of each query, by score and then id.
 
     Chunks without a query term have score 0 and rank too. They are looked up only for queries that have fewer than k chunks
-    of a positive score, so the product of queries and chunks is formed for those queries alone.
+    of a positive score, and among the first ids only: k of them and as many as the query has scored cannot all be scored.
     """
-    scored = bm25_scores(index, queries).withColumn("score", F.round("score", DIGITS))
-    positive = scored.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("found"))
-    short = queries.select("query_id").distinct().join(positive, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k).select("query_id")
-    fill = index.ids.crossJoin(F.broadcast(short)).join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    fill = top_per_query(fill, k, "id").select("query_id", "id", F.lit(0.0).alias("score"))
+    scored = written(bm25_scores(index, queries).withColumn("score", F.round("score", DIGITS)), "scored")
+    counts = scored.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0).alias("found"))
+    short = queries.select("query_id").distinct().join(counts, "query_id", "left").filter(F.coalesce("found", F.lit(0)) < k)
+    short = short.select("query_id", (F.coalesce("n", F.lit(0)) + k).alias("most"))
+    most = short.agg(F.max("most")).first()[0]
+    if most is None:
+        return top_per_query(scored, k, F.desc("score"), F.asc("id"))
+    first = index.ids.orderBy("id").limit(most)
+    first = first.withColumn("spot", F.row_number().over(Window.orderBy("id")).cast("long"))
+    spots = short.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), "most")).alias("spot"))
+    fill = spots.join(first, "spot").join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    fill = written(top_per_query(fill, k, "id").select("query_id", "id", F.lit(0.0).alias("score")), "fill")
     return top_per_query(scored.unionByName(fill), k, F.desc("score"), F.asc("id"))

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import METRIC
 
 
+def table(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Rows of measures; names that a row lacks are null."""
+    return spark.createDataFrame([tuple(r.get(f.name) for f in METRIC) for r in rows], METRIC)
+
+
 def append(metrics: DataFrame, **values) -> DataFrame:
     """``metrics`` and one more row."""
-    row = metrics.sparkSession.createDataFrame([tuple(values.get(f.name) for f in METRIC)], METRIC)
-    return metrics.unionByName(row)
+    return metrics.unionByName(table(metrics.sparkSession, [values]))
 
 
 def last(metrics: DataFrame, n: int = 100, order: str = "seq") -> DataFrame:

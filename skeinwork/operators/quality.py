@@ -4,10 +4,39 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Queries without an inner word that are searched for at once.
+BLOCK = 500
+
+
+def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, id) of the documents (id, text) that hold a query (query_id, query) verbatim; null texts hold none.
+
+    A text that holds a query holds its inner words (those with a space on both sides) as words of its own. Documents are
+    looked up by the rarest such word of a query, and only those that have it are searched. Queries without an inner word
+    are searched for in all documents, ``BLOCK`` of them at a time.
+    """
+    words = lambda c: F.split(c, " ")
+    inner = F.array_distinct(F.expr("slice(w, 2, greatest(size(w) - 2, 0))"))
+    q = queries.select("query_id", "query", words(F.col("query")).alias("w")).select("query_id", "query", F.explode_outer(inner).alias("word"))
+    asked = q.select("word").distinct().filter("word IS NOT NULL")
+    held = docs.filter("text IS NOT NULL").select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(asked, "word")
+    counts = held.groupBy("word").agg(F.count("*").alias("n"))
+    rarest = q.join(counts, "word", "left").groupBy("query_id", "query").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
+    looked_up = held.join(rarest.filter("word IS NOT NULL"), "word").select("query_id", "query", "id")
+    found = looked_up.join(docs.select("id", "text"), "id").filter(F.contains("text", "query")).select("query_id", "id")
+    short = iter(rarest.filter("word IS NULL").select("query_id", "query").toLocalIterator())
+    kind = f"struct<query_id:{queries.schema['query_id'].dataType.simpleString()},query:string>"
+    while block := list(islice(short, BLOCK)):
+        asked = F.array(*[F.struct(F.lit(r[0]).alias("query_id"), F.lit(r[1]).alias("query")).cast(kind) for r in block])
+        hits = docs.select("id", F.explode(F.filter(asked, lambda x: F.contains(F.col("text"), x["query"]))).alias("q"))
+        found = found.unionByName(hits.select("q.query_id", "id"))
+    return found.distinct()
+
 
 def per_query(queries: DataFrame, ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """(query_id, recall, reciprocal_rank, ndcg): ranked is (query_id, id, rank from 1), relevant (query_id, id).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cited, entities, mask_key, parse_sub_queries, split_paths, unknown_citations
+from ..functions.text import PASSAGE, cited, entities, mask_key, parse_entity_response, parse_sub_queries, split_paths, unknown_citations
 from ..operators import chunking, evidence, lexical, quality
 from ..operators.chunking import anchor_text
 from ..config import EngineConfig
@@ -61,8 +61,7 @@ def citation_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark text verbatim."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(F.broadcast(benchmark_queries(spark, sf_dir)), F.contains("text", "query")).select("query_id", F.col("doc_id").alias("id"))
+    return quality.holders(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), benchmark_queries(spark, sf_dir))
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,11 +124,19 @@ def sub_query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("item_id", F.posexplode(parse_sub_queries(reply, "text")).alias("pos", "query"))
 
 
+def entity_response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of whole documents' lines: two passages, a heading with nothing under it, and one to three wanted."""
+    docs = table(spark, sf_dir, "documents")
+    answer = F.concat(F.lit(f"  {PASSAGE}1---\n- "), F.coalesce("text", F.lit("")), F.lit(f"\n{PASSAGE}2---\n \n{PASSAGE}3---\n*  "), "lang", F.lit("\n·· "), "source", F.lit("\n"))
+    parsed = docs.select("doc_id", F.posexplode(parse_entity_response(answer, (F.col("doc_id") % 3 + 1).cast("int"))).alias("passage", "found"))
+    return parsed.select("doc_id", "passage", F.size("found").cast("long").alias("n"), F.md5(F.array_join("found", "|")).alias("digest"))
+
+
 def entity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(entities("text"), " ").alias("entities"))
 
 
-QUERIES = {f.__name__: f for f in (citations, citation_payload, ambiguous_names, format_sources, context_blocks, citation_validation, recall_mrr_ndcg, quality_means, quality_gates, history_last5, llm_messages, enriched_anchors, chunk_documents, path_parse, masked_keys, sub_query_parse, entity_lists)} | {"anchor_text": anchor_texts}
+QUERIES = {f.__name__: f for f in (citations, citation_payload, ambiguous_names, format_sources, context_blocks, citation_validation, recall_mrr_ndcg, quality_means, quality_gates, history_last5, llm_messages, enriched_anchors, chunk_documents, path_parse, masked_keys, sub_query_parse, entity_response_parse, entity_lists)} | {"anchor_text": anchor_texts}
 
 _RANKED = """ranked AS (SELECT source AS query_id, doc_id::VARCHAR AS chunk_id, source AS source_id, '/data/' || source AS source_path, 'name' || length(source) AS source_name,
   (doc_id % 7)::INT AS chunk_index, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 11)::INT END AS page, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents),
@@ -183,5 +190,12 @@ SELECT doc_id, i::INT AS pos, p[i + 1] AS path FROM (SELECT doc_id, p, unnest(ra
 SELECT c_custkey, CASE WHEN k IS NULL OR k = '' THEN '<not set>' WHEN length(k) <= 8 THEN 'sk-...****' ELSE left(k, 3) || '...' || right(k, 4) END AS shown FROM k""",
     "sub_query_parse": """SELECT item_id, i::INT AS pos, q[i + 1] AS query FROM (SELECT item_id, q, unnest(range(len(q))) AS i FROM (
 SELECT item_id, CASE WHEN item_id % 3 = 0 THEN ['one', item_id::VARCHAR] ELSE [text] END AS q FROM benchmark))""",
+    "entity_response_parse": rf"""WITH a AS (SELECT doc_id, (doc_id % 3 + 1)::INT AS n, '  {PASSAGE}1---' || chr(10) || '- ' || coalesce(text, '') || chr(10) || '{PASSAGE}2---' || chr(10) || ' ' || chr(10)
+  || '{PASSAGE}3---' || chr(10) || '*  ' || lang || chr(10) || '·· ' || source || chr(10) AS answer FROM documents),
+p AS (SELECT doc_id, n, regexp_split_to_array(answer, '(?:^|\n){_W}*{PASSAGE}[^\n]*') AS p FROM a),
+l AS (SELECT doc_id, n, list_transform(p, lambda x: list_transform(list_filter(list_transform(string_split(x, chr(10)), lambda y: regexp_replace(y, '^{_W}+|{_W}+$', '', 'g')), lambda y: y <> ''), lambda y: regexp_replace(y, '^[-*· ]+', ''))) AS l FROM p),
+f AS (SELECT doc_id, n, list_filter(l, lambda x: len(x) > 0) AS f FROM l),
+e AS (SELECT doc_id, n, f, unnest(range(n)) AS k FROM f)
+SELECT doc_id, k::INT AS passage, coalesce(len(f[k + 1]), 0) AS n, md5(coalesce(array_to_string(f[k + 1], '|'), '')) AS digest FROM e""",
     "entity_lists": f"WITH {entities_sql('documents', 'doc_id', 'text', 'ent')} SELECT doc_id, coalesce(string_agg(entity, ' ' ORDER BY k), '') AS entities FROM documents LEFT JOIN ent ON id = doc_id GROUP BY doc_id",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import should_decompose, tokenize
 from ..operators import fusion, lexical, vector
+from ..operators.store import spread
 
 from .parts import BENCH_SQL, INDEX_SQL, benchmark_queries, bm25_sql, embedding_sql, hybrid_sql, lexical_index, nearest_sql, rrf_sql, table, tokens_sql
 
@@ -70,7 +71,7 @@ def hash_embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid(spark: SparkSession, sf_dir: str, queries: DataFrame, k: int = 70, anchors: DataFrame | None = None) -> DataFrame:
     model = vector.HashingEmbedder()
-    vectors = vector.embed(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), model).select("id", "embedding")
+    vectors = vector.embed(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), model).select("id", "embedding")
     semantic = vector.nearest(vectors, vector.embed(queries, model, "query"), k)
     return fusion.reciprocal_ranks(semantic, lexical.bm25_top(lexical_index(spark, sf_dir), queries, k), anchors=anchors)
 

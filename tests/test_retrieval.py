@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import fusion, graph, lexical, quality, vector
-from skeinwork.plans import retrieval
+from skeinwork.plans import catalogue, retrieval
 
 
 def index(spark, texts):
@@ -153,3 +153,31 @@ def test_should_decompose_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(7, "two words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["id"]: r["decompose"] for r in retrieval.should_decompose_texts(spark, str(tmp_path)).collect()}
     assert got == {"b7": True, "c1-0": True, "c1-1": True, "c2-0": True, "c2-1": False, "c3-0": False, "c3-1": False}
+
+
+def test_holders_of_queries(spark):
+    texts = ["the quick brown fox jumps", "a quick brown fox", None, "", "quick", "unquick brownish", "the quick  brown fox"]
+    asked = ["quick brown fox", "quick", "brown", "k b", "the quick brown", "zebra of stone", "quick  brown", " ", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = {(r["query_id"], r["id"]) for r in quality.holders(docs, queries).collect()}
+    assert got == {(q, i) for q, x in enumerate(asked) for i, t in enumerate(texts) if t is not None and x in t}
+    assert quality.holders(docs.limit(0), queries).count() == 0 and quality.holders(docs, queries.limit(0)).count() == 0
+
+
+def test_no_products_in_ranking_plans(spark, sf):
+    for name in ("bm25_batch_top10", "recall_mrr_ndcg"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_extraction_by_a_model(spark):
+    def ask(texts):
+        if any("fail" in t for t in texts):
+            raise RuntimeError("down")
+        return "\n".join(f"---段落{k + 1}---\n- {t[:5]} {len(t)}" for k, t in enumerate(texts))
+
+    rows = spark.createDataFrame([(1, "alpha"), (2, None), (3, "alpha"), (4, "b" * 2000), (5, "fail now")], "id long, text string").coalesce(1)
+    got = {r["id"]: r["entities"] for r in graph.extract_with(rows, "id", ask, size=1).collect()}
+    assert got == {1: ["alpha 5"], 2: [], 3: ["alpha 5"], 4: ["bbbbb 1500"], 5: []}
+    assert graph.extract_with(rows.limit(0), "id", ask).count() == 0
