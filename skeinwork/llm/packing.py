@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialise, with_text
+from .shared import materialise, unused, with_text
 from .textkit import ragged, slices
 from .token_counts import segment_table
 
@@ -106,8 +106,11 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
 
 def _pack_once(items: DataFrame, length: str, capacity: int, open_bins: int, partitions: int, level: int) -> DataFrame:
-    names = [c for c in items.columns if not c.startswith("__")]
-    schema = items.select(*names).schema.add("sequence_id", "long").add("offset", "long").add("__open", "boolean")
+    names = items.columns
+    schema = items.schema
+    for name, kind in (("sequence_id", "long"), ("offset", "long"), ("__open", "boolean")):
+        schema = schema.add(unused(names, name), kind)
+    place = unused(names, "__order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -127,14 +130,15 @@ def _pack_once(items: DataFrame, length: str, capacity: int, open_bins: int, par
             at += b.num_rows
 
     order = F.xxhash64(*names)
-    return items.withColumn("__order", order).repartition(partitions, "__order").sortWithinPartitions("__order", *names).mapInArrow(run, schema)
+    return items.withColumn(place, order).repartition(partitions, place).sortWithinPartitions(place, *names).mapInArrow(run, schema)
 
 
 def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
     """``items`` with sequence_id (any distinct numbers) and offset: each item whole in one sequence, gapless from 0.
 
     ``length`` must be from 1 to ``capacity`` (else the job fails); other columns are carried along and may hold nulls;
-    repeated rows are separate items; an empty table gives no rows. A packing partition holds about ``BINS_EACH`` bins'
+    repeated rows are separate items; an empty table gives no rows. Where ``items`` has a column sequence_id or offset, the
+    new one has underscores after that (see ``unused``). A packing partition holds about ``BINS_EACH`` bins'
     worth of (id, length) rows, whatever the size of the input.
     """
     kept = materialise(items, "pieces")
@@ -144,9 +148,10 @@ def pack(items: DataFrame, length: str = "length", capacity: int = CAPACITY, ope
         return max(1, math.ceil(total / (capacity * BINS_EACH)))
 
     first = materialise(_pack_once(kept, length, capacity, open_bins, partitions(kept), 0), "packed")
-    rest = first.filter("__open").drop("__open", "sequence_id", "offset")
+    left = unused(items.columns, "__open")
+    rest = first.filter(F.col(left)).select(*items.columns)
     second = _pack_once(rest, length, capacity, open_bins, partitions(rest), 1)
-    return first.filter("NOT __open").drop("__open").unionByName(second.drop("__open"))
+    return first.filter(~F.col(left)).drop(left).unionByName(second.drop(left))
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:

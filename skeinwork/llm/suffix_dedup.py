@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise
+from .shared import materialise, unused
 from .textkit import Hasher, ragged, slices
 
 LENGTH, GRAM = 100, 32
@@ -405,12 +405,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     Spans are narrowed to whole characters, so texts stay valid; null text stays null.
     """
-    names = docs.columns
+    names, found = docs.columns, unused(docs.columns, "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw, data in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+            for raw, data in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column(found).to_pylist(), strict=True):
                 if raw is None or not data:
                     out.append(raw)
                     continue
@@ -424,6 +424,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.binary()).cast(pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    spans = repeated_spans(docs).withColumnRenamed("data", "__spans")
-    cut = docs.join(spans, "doc_id", "left").select(*names, "__spans").mapInArrow(run, docs.schema)
+    spans = repeated_spans(docs).withColumnRenamed("data", found)
+    cut = docs.join(spans, "doc_id", "left").select(*names, found).mapInArrow(run, docs.schema)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else cut
