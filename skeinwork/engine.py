@@ -7,6 +7,7 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, name: str = "default", config: EngineConfig | None = None, embedder: vector.Embedder | None = None,
                  decompose: Callable[[str], str] | None = None, answer: Callable[[list[dict]], Iterator[str]] | None = None,
-                 extract: Callable[[DataFrame], DataFrame] | None = None):
+                 extract: Callable[[DataFrame], DataFrame] | None = None, progress: Callable[[str], None] | None = None):
         self.spark, self.config = spark, config or EngineConfig()
         self.store = IndexStore(spark, root, name)
         self.embedder = embedder or vector.HashingEmbedder(self.config.embedding_dimension)
@@ -37,10 +38,41 @@ class Engine:
         self.extract = extract or (lambda chunks: graph.extract(chunks, "chunk_id"))
         self._measured: deque[dict] = deque(maxlen=self.config.metrics_kept)
         self.errors: list[tuple[str, str]] = []
+        self.progress = progress or (lambda step: None)
         self._changes, self._seq = threading.Lock(), 0
+        self._counts, self._waiting, self._running, self._last_error = threading.Lock(), 0, False, None
 
     # changes
 
+    @contextmanager
+    def _change(self, what: str) -> Iterator[None]:
+        """One change at a time; ``status`` counts those that wait, and the progress callback hears of begin and end."""
+        with self._counts:
+            self._waiting += 1
+        with self._changes:
+            with self._counts:
+                self._waiting, self._running = self._waiting - 1, True
+            try:
+                self.progress(f"{what}: begun")
+                yield
+                self.progress(f"{what}: done")
+                self._last_error = None
+            except BaseException as e:
+                self._last_error = f"{what}: {e}"
+                raise
+            finally:
+                self._running = False
+
+    def status(self) -> dict:
+        """{pending, running, last_error} of changes; a change that succeeds clears the error."""
+        with self._counts:
+            return {"pending": self._waiting, "running": self._running, "last_error": self._last_error}
+
+    def prune(self, keep: int = 2) -> list[int]:
+        """Removes the tables of old versions; the versions that went."""
+        with self._change("prune"):
+            return self.store.prune(keep)
+
     def _load(self, paths: list[str]) -> dict[str, DataFrame]:
         sources, refused = files.guarded(files.read_files(self.spark, paths), self.config)
         pages, failed = files.pages_of(sources, self.config)
@@ -52,7 +84,7 @@ class Engine:
 
     def build(self, paths: list[str], force: bool = False) -> int:
         """Indexes files; with ``force`` in place of all that was there. The published version."""
-        with self._changes:
+        with self._change("build"):
             if not paths and not force:
                 return self.store.version
             new = self._load(paths)
@@ -72,12 +104,12 @@ class Engine:
         return self.build(stale)
 
     def remove(self, source_id: str | None = None, path: str | None = None) -> int:
-        with self._changes:
+        with self._change("remove"):
             return self.store.delete(source_id, files.canonical_path(path) if path else None, self.config)
 
     def build_graph(self) -> None:
         """Builds and stores the graph of the published version unless it has one."""
-        with self._changes:
+        with self._change("graph"):
             if not self.store.has("edges") or not self.store.has("mentions"):
                 chunks = self.store.table("chunks")
                 if not chunks.limit(1).count():
@@ -204,6 +236,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--query")
     p.add_argument("--graph", action="store_true")
     p.add_argument("--rebuild", action="store_true")
+    p.add_argument("--interactive", action="store_true", help="read questions and commands until /quit")
     a = p.parse_args(args)
     engine = Engine(session(), a.root, a.name)
     paths = files.parse_paths(a.files)
@@ -215,6 +248,10 @@ def main(args: list[str] | None = None) -> None:
         parts, sources = engine.answer(a.query, use_graph=a.graph)
         print("".join(parts))
         print(sources)
+    if a.interactive:
+        from .console import Console
+
+        Console(engine, graph=a.graph).run()
 
 
 if __name__ == "__main__":

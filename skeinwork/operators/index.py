@@ -1,7 +1,8 @@
 """The chunk index as immutable versions.
 
-Each change writes a whole new version directory and then swaps a pointer, so readers see one version, and a change that
-fails leaves the pointer where it was. Tables of a version: sources, chunks, vectors, tokens, and, once built, edges and
+Each change writes a whole new version to a directory of its own and then takes the next number in a log, which only one
+writer can: readers see one version, a change that fails takes no number, and of two changes to the same version the later
+one fails and leaves the other alone. Tables of a version: sources, chunks, vectors, tokens, and, once built, edges and
 mentions; a new version has no graph, so a stale one can't be read.
 """
 
@@ -12,6 +13,7 @@ import json
 import uuid
 from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,12 @@ from ..config import EngineConfig
 from .lexical import LexicalIndex, build_index, reuse_tokens
 
 SCHEMA_VERSION = 1
+
+
+class Conflict(RuntimeError):
+    """Another writer published the version first."""
+
+
 TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "tokens": schemas.TOKENS, "edges": schemas.EDGES, "mentions": schemas.MENTIONS}
 
 
@@ -74,32 +82,60 @@ class IndexStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._fs = self._path(self.path).getFileSystem(conf)
+        self._entries: dict[int, dict] = {}
 
-    def _read_text(self, path: str) -> str | None:
-        p = self._path(path)
-        if not self._fs.exists(p):
-            return None
-        return self.spark.read.text(path, wholetext=True).first()[0]
+    def _read_text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
     def _swap(self, path: str, text: str) -> None:
-        """Writes beside and renames over, so that the pointer is the old one or the new one."""
-        temp = self._path(f"{path}.{uuid.uuid4().hex}")
+        """Writes beside and moves it in place whole; Conflict where that place is taken."""
+        temp = self._path(f"{path}.{uuid.uuid4().hex}.temp")
         out = self._fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
         gateway = self.spark.sparkContext._gateway
-        options = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = gateway.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        rename = gateway.jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.NONE
         context = gateway.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        context.rename(context.makeQualified(temp), context.makeQualified(self._path(path)), options)
+        try:
+            context.rename(context.makeQualified(temp), context.makeQualified(self._path(path)), options)
+        except Exception as e:
+            self._fs.delete(temp, False)
+            if self._fs.exists(self._path(path)):
+                raise Conflict(path) from e
+            raise
+
+    def _numbers(self) -> list[int]:
+        """Numbers in the log, the last first."""
+        log = self._path(f"{self.path}/log")
+        names = [f.getPath().getName() for f in self._fs.listStatus(log)] if self._fs.exists(log) else []
+        return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), reverse=True)
+
+    def _entry(self, version: int) -> dict | None:
+        """{version, fingerprint, tables} of a version, or None where it can't be read; entries never change."""
+        if version not in self._entries:
+            try:
+                found = json.loads(self._read_text(f"{self.path}/log/{version:08d}.json"))
+            except (ValueError, Py4JJavaError):
+                return None
+            if not (isinstance(found, dict) and found.get("version") == version and isinstance(found.get("tables"), str)):
+                return None
+            self._entries[version] = found
+        return self._entries[version]
+
+    def _where(self, version: int) -> str | None:
+        """The directory of a version's tables."""
+        entry = self._entry(version) if version else None
+        return entry and f"{self.path}/{entry['tables']}"
 
     def pointer(self) -> dict | None:
-        """{version, fingerprint} of the published version, or None where there is none or it can't be read."""
-        try:
-            found = json.loads(self._read_text(f"{self.path}/CURRENT.json") or "null")
-        except ValueError:
-            return None
-        return found if isinstance(found, dict) and isinstance(found.get("version"), int) else None
+        """The entry of the published version, or None where there is none that can be read."""
+        return next((e for e in map(self._entry, self._numbers()) if e), None)
 
     @property
     def version(self) -> int:
@@ -114,14 +150,14 @@ class IndexStore:
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table of a version; empty where it isn't there."""
         version = self.version if version is None else version
-        path = f"{self.path}/v{version:08d}/{name}"
-        if not version or not self._fs.exists(self._path(path)):
+        if not self.has(name, version):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(path)
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self._where(version)}/{name}")
 
     def has(self, name: str, version: int | None = None) -> bool:
         version = self.version if version is None else version
-        return bool(version) and self._fs.exists(self._path(f"{self.path}/v{version:08d}/{name}"))
+        where = self._where(version)
+        return bool(where) and self._fs.exists(self._path(f"{where}/{name}"))
 
     def lexical(self, version: int | None = None) -> LexicalIndex:
         return build_index(self.table("tokens", version).select(F.col("chunk_id").alias("id"), "tokens"))
@@ -130,30 +166,41 @@ class IndexStore:
         """Publishes a version in which the sources of ``gone`` are replaced by those of ``new`` (all of them if everything).
 
         ``new`` has sources, chunks and vectors. Tokens of chunks whose text didn't change are taken over. On any failure the
-        published version stays and what was written is removed.
+        published version stays and what was written is removed; Conflict if another writer published meanwhile.
         """
-        old = self.version
-        target = f"{self.path}/v{old + 1:08d}"
+        numbers = self._numbers()
+        old = next((v for v in numbers if self._entry(v)), 0)
+        number = max(numbers, default=0) + 1
+        tables = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.path}/{tables}"
         try:
             sources = new["sources"] if everything else replace_sources(self.table("sources", old), new["sources"], gone)
             chunks = new["chunks"] if everything else replace_sources(self.table("chunks", old), new["chunks"], gone)
             sources.write.mode("overwrite").parquet(f"{target}/sources")
             chunks.write.mode("overwrite").parquet(f"{target}/chunks")
-            chunks = self.table("chunks", old + 1)
+            chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{target}/chunks")
             kept = self.table("vectors", old).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
             upsert(kept, new["vectors"], "chunk_id").write.mode("overwrite").parquet(f"{target}/vectors")
             tokens = reuse_tokens(chunks, self.table("tokens", old)).select(F.col("id").alias("chunk_id"), "document_hash", "tokens")
             tokens.write.mode("overwrite").parquet(f"{target}/tokens")
-            self._swap(f"{self.path}/CURRENT.json", json.dumps({"version": old + 1, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION}, sort_keys=True, indent=2))
+            self._swap(f"{self.path}/log/{number:08d}.json", json.dumps({"version": number, "tables": tables, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION}, sort_keys=True, indent=2))
         except BaseException:
             self._fs.delete(self._path(target), True)
             raise
-        return old + 1
+        return number
+
+    def prune(self, keep: int = 2) -> list[int]:
+        """Removes the tables of all but the last ``keep`` versions, for readers that began before may still need those; the
+        versions that went. Numbers are never given again."""
+        if keep < 1:
+            raise ValueError("keep must be positive")
+        gone = [v for v in self._numbers()[keep:] if (where := self._where(v)) and self._fs.delete(self._path(where), True)]
+        return sorted(gone)
 
     def save_graph(self, edges: DataFrame, mentions: DataFrame, version: int | None = None) -> None:
         version = self.version if version is None else version
-        edges.select("u", "v", F.col("weight").cast("double")).write.mode("overwrite").parquet(f"{self.path}/v{version:08d}/edges")
-        mentions.select("entity", F.col("id").cast("string").alias("chunk_id")).write.mode("overwrite").parquet(f"{self.path}/v{version:08d}/mentions")
+        edges.select("u", "v", F.col("weight").cast("double")).write.mode("overwrite").parquet(f"{self._where(version)}/edges")
+        mentions.select("entity", F.col("id").cast("string").alias("chunk_id")).write.mode("overwrite").parquet(f"{self._where(version)}/mentions")
 
     def load_graph(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Edges and mentions; ValueError where there are none or a weight isn't finite."""

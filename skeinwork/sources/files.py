@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import TEXT_EXTENSIONS, EngineConfig
 from ..functions.text import split_paths, valid_text
+from ..operators.store import written
 from ..schemas import PAGES, SOURCES
 
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -139,7 +140,7 @@ def pages_of(sources: DataFrame, config: EngineConfig, pdf_reader=pdf_pages) ->
             yield pd.DataFrame(rows, columns=[*names, "page", "text", REASON]).astype({"page": "Int32"})
 
     other = sources.filter("file_type IN ('pdf', 'docx')").select(*names, "content").mapInPandas(read, plain.schema)
-    both = plain.unionByName(other)
+    both = written(plain.unionByName(other), "pages")  # errors, chunks and vectors all read them
     return both.filter(F.col(REASON).isNull()).select(*[f.name for f in PAGES]), both.filter(F.col(REASON).isNotNull()).select("source_path", REASON)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.config import EngineConfig
+from skeinwork.console import HELP, Console
 from skeinwork.engine import REFUSAL, Engine
 from skeinwork.operators import index
 from skeinwork.sources import files
@@ -143,3 +144,58 @@ def test_rebuild_decisions(engine, spark, tmp_path):
     write(a, "new text")
     assert engine.store.rebuild_needed(engine.config, read())
     assert engine.check_endpoint("http://x/") == "remote http" and engine.store.table("chunks").filter(F.col("chunk_index") == 0).count() == 1
+
+
+def test_two_writers(engine, spark, tmp_path, monkeypatch):
+    a, b = write(tmp_path / "a.txt", "first"), write(tmp_path / "b.txt", "second")
+    engine.build([a])
+    other = Engine(spark, str(tmp_path / "index"), config=engine.config)
+    publish = engine.store._swap
+
+    def late(*args):  # another writer publishes while this one has only written its tables
+        other.build([b])
+        publish(*args)
+
+    monkeypatch.setattr(engine.store, "_swap", late)
+    with pytest.raises(index.Conflict):
+        engine.build([write(tmp_path / "c.txt", "third")])
+    assert engine.store.version == other.store.version == 2 and engine.status()["last_error"].startswith("build")
+    assert {r["text"] for r in engine.store.table("chunks").collect()} == {"first", "second"}
+    assert len([n for n in os.listdir(tmp_path / "index/default") if n.startswith("v")]) == 2  # nothing of the one that lost
+    monkeypatch.undo()
+    assert engine.build([str(tmp_path / "c.txt")]) == 3 and engine.status() == {"pending": 0, "running": False, "last_error": None}
+    assert engine.prune(1) == [1, 2] and engine.prune(1) == [] and engine.store.table("chunks").count() == 3
+    assert engine.store.table("chunks", 1).count() == 0 and engine.remove(path=b) == 1 and engine.store.version == 4
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    write(tmp_path / "one.pdf", "%PDF")
+    write(tmp_path / "long.pdf", "%PDF-long")
+    calls = spark.sparkContext.accumulator(0)
+
+    def reader(content, most):
+        calls.add(1)
+        if b"long" in content:
+            raise ValueError(f"more than {most} pages")
+        return [(1, "front"), (3, "back")]
+
+    pages, failed = files.pages_of(files.read_files(spark, [str(tmp_path / n) for n in ("one.pdf", "long.pdf")]), EngineConfig(), reader)
+    assert [(r["page"], r["text"]) for r in pages.orderBy("page").collect()] == [(1, "front"), (3, "back")] and pages.count() == 2
+    assert [(os.path.basename(r[0]), r[1]) for r in failed.collect()] == [("long.pdf", "ValueError: more than 2000 pages")]
+    assert calls.value == 2
+
+
+def test_console(engine, tmp_path):
+    a = write(tmp_path / "a.md", "Northern lights glow green. Aurora Borealis appears in Norway and Finland.")
+    b = write(tmp_path / "b.md", "Bread needs flour and water. Aurora Borealis is no bread. Norway bakes.")
+    steps, shown = [], []
+    engine.progress = steps.append
+    lines = iter([f"/files add {a},{b}", "/files list", "/mode graph", "Where is Aurora Borealis", "/alpha 7", "/set min_k 0", "/set top_k -1", "/set nothing 1", "/files stop", "/mode other", "", "/files remove " + b, "/quit", "never"])
+    console = Console(engine, ask=lambda _: next(lines), say=shown.append)
+    console.run()
+    assert shown[0] == "version 1" and shown[1].splitlines() == [a, b] and shown[2] == "mode graph"
+    assert "Aurora" in shown[3] and [q for q, _ in console.history] == ["Where is Aurora Borealis"]
+    assert shown[4:6] == ["alpha = 1.0", "min_k = 1"] and "top_k must be positive" in shown[6] and shown[7] == "no such setting: nothing"
+    assert shown[8] == "not watching" and shown[9] == HELP and shown[10] == "1 chunks removed" and len(shown) == 11
+    assert steps == ["build: begun", "build: done", "graph: begun", "graph: done", "remove: begun", "remove: done"]
+    assert "top_k = 70" in console.settings() and Console(engine, ask=lambda _: (_ for _ in ()).throw(EOFError)).run() is None
