@@ -11,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,9 +70,24 @@ def manifest(sources: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def chunks_fingerprint(rows: DataFrame) -> DataFrame:
-    """One row: sha256 of the sorted chunk ids and hashes as a JSON array of objects with their keys in order."""
-    line = F.format_string('{"chunk_id": "%s", "content_sha256": "%s"}', "chunk_id", "content_sha256")
-    return rows.agg(F.sha2(F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list(line)), ", "), F.lit("]")), 256).alias("fingerprint"))
+    """One row: sha256 of the sorted chunk ids and hashes as a JSON array of objects with their keys in order.
+
+    A digest of one string has one reader, but it holds no more than a batch: lines are sorted on disk where they are many and
+    hashed as they pass. Rows with a null id or hash have the word null there; an empty table gives the digest of an empty array.
+    """
+    line = F.format_string('{"chunk_id": "%s", "content_sha256": "%s"}', "chunk_id", "content_sha256").alias("line")
+    opening = rows.sparkSession.range(1).select(F.lit(None).cast("string").alias("line"))  # so that there is a row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, before = hashlib.sha256(b"["), b""
+        for b in batches:
+            for text in b.column(0).drop_null().to_pylist():
+                digest.update(before + text.encode())
+                before = b", "
+        digest.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()])], names=["fingerprint"])
+
+    return rows.select(line).unionByName(opening).repartition(1).sortWithinPartitions("line").mapInArrow(run, "fingerprint string")
 
 
 class IndexStore:

@@ -1,4 +1,5 @@
 import datetime
+import hashlib
 import os
 import zipfile
 
@@ -199,3 +200,12 @@ def test_console(engine, tmp_path):
     assert shown[8] == "not watching" and shown[9] == HELP and shown[10] == "1 chunks removed" and len(shown) == 11
     assert steps == ["build: begun", "build: done", "graph: begun", "graph: done", "remove: begun", "remove: done"]
     assert "top_k = 70" in console.settings() and Console(engine, ask=lambda _: (_ for _ in ()).throw(EOFError)).run() is None
+
+
+def test_fingerprint_of_chunks(spark):
+    rows = [(f"c{k % 700}", f"{k * 7919 % 1000:03d}é") for k in range(1500)] + [(None, "x"), ("c", None)]
+    df = spark.createDataFrame(rows, "chunk_id string, content_sha256 string").repartition(7)
+    lines = sorted(f'{{"chunk_id": "{a or "null"}", "content_sha256": "{b or "null"}"}}' for a, b in rows)
+    assert [r["fingerprint"] for r in index.chunks_fingerprint(df).collect()] == [hashlib.sha256(f"[{', '.join(lines)}]".encode()).hexdigest()]
+    for none in (df.limit(0), df.filter("1 = 0")):
+        assert [r["fingerprint"] for r in index.chunks_fingerprint(none).collect()] == [hashlib.sha256(b"[]").hexdigest()]
