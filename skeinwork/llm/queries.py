@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, line_quality, media, packing, quality_classifier, sentence_pieces, suffix_dedup, token_counts, toxicity
+from . import chat, decontaminate, jaccard_join, line_quality, media, packing, quality_classifier, sentence_pieces, suffix_dedup, token_counts, toxicity, whitening
 from .shared import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -64,6 +64,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_token_counts": op2_token_counts,
@@ -75,6 +83,8 @@ QUERIES = {
     "op8_jaccard_groups": op8_jaccard_groups,
     "op9_media_round_trip": op9_media_round_trip,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_whitening": op12_whitening,
 }
 
 #: Formatted length of a turn: "### " role ":\n" text "\n</turn>\n", where \ # < (and : in roles) take one more character.
@@ -83,7 +93,22 @@ _TURN = (
     " + 2 * length(text) - length(regexp_replace(text, '[\\\\#<]', '', 'g'))"
 )
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES = {
+    "op11_decontaminate": f"""
+WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
+asked AS (SELECT DISTINCT item, array_to_string(w[i : i + 9], ' ') AS phrase, len(w[i : i + 9]) AS n
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+placed AS (SELECT row, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT row, w, unnest(range(1, len(w) + 1)) AS i FROM docs) CROSS JOIN (SELECT DISTINCT n FROM asked) WHERE i + n - 1 <= len(w)),
+hits AS MATERIALIZED (SELECT row, i, n, item FROM placed JOIN asked USING (phrase, n)),
+words AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM hits) GROUP BY row),
+found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (row) LEFT JOIN found USING (row)
+""",
     "op4_chat_examples": rf"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
