@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, line_quality, media, packing, quality_classifier, sentence_pieces, suffix_dedup, token_counts, toxicity, whitening
+from . import chat, decontaminate, jaccard_join, line_quality, media, packing, prefix_trie, quality_classifier, sentence_pieces, suffix_dedup, token_counts, toxicity, whitening
 from .shared import table
 
 WORD_BPE, PIECE_BPE = "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -72,6 +72,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), borrow=(5, 9))
+
+
 QUERIES = {
     "op1_pack_documents": op1_pack_documents,
     "op2_token_counts": op2_token_counts,
@@ -85,6 +89,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_decontaminate": op11_decontaminate,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 #: Formatted length of a turn: "### " role ":\n" text "\n</turn>\n", where \ # < (and : in roles) take one more character.
@@ -95,7 +100,39 @@ _TURN = (
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: crc32 of a number's decimal text, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),"
+    " lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"
+)
+
 ORACLES = {
+    "op13_prefix_trie": f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id, list(sha256(coalesce(role, '')) || coalesce(text, '') ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t,
+    list(strlen(coalesce(text, ''))::BIGINT ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), ways AS (SELECT *, ({_CRC}) % 9 AS h FROM own),
+whole AS MATERIALIZED (
+  SELECT w.conv_id, list_concat(coalesce(b.t[1 : h], []), w.t[h + 1 :]) AS t, list_concat(coalesce(b.n[1 : h], []), w.n[h + 1 :]) AS n
+  FROM ways w LEFT JOIN own b ON b.conv_id = w.conv_id - w.conv_id % 5
+), paths AS MATERIALIZED (
+  SELECT conv_id, d AS depth, sha256(array_to_string(list_transform(t[1 : d], lambda x: sha256(x)), '')) AS node,
+    sha256(array_to_string(list_transform(t[1 : d - 1], lambda x: sha256(x)), '')) AS up, CASE WHEN d > 0 THEN n[d] ELSE 0 END AS bytes, d = len(t) AS ends
+  FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM whole)
+), nodes AS MATERIALIZED (
+  SELECT node, depth, min(CASE WHEN depth > 0 THEN up END) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(bytes) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM paths GROUP BY node, depth
+), children AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node, depth)),
+sums AS (
+  SELECT p.node, p.depth, sum((n.n_children = 0)::INT)::BIGINT AS n_leaves, sum(n.saved)::BIGINT AS saved_tokens
+  FROM told n JOIN paths p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM told n JOIN sums USING (node, depth) LEFT JOIN nodes u ON u.node = n.up AND u.depth = n.depth - 1
+""",
     "op11_decontaminate": f"""
 WITH items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS w FROM benchmark),
 asked AS (SELECT DISTINCT item, array_to_string(w[i : i + 9], ' ') AS phrase, len(w[i : i + 9]) AS n
