@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import unused
 
@@ -210,7 +211,8 @@ def whiten(vectors: DataFrame, model: Whitening, keep: tuple[str, ...] = ("vec_i
                 kept = [b.column(j).take(pa.array(part)) for j in range(place)]
                 yield pa.RecordBatch.from_arrays([*kept, square, lists], names=[*keep, deviation, whitened])
 
-    return rows.mapInArrow(run, vectors.select(*keep, F.lit(0).cast("long").alias(deviation), F.array(F.lit(0.0)).alias(whitened)).schema)
+    kinds = [T.StructField(f.name, f.dataType) for f in vectors.select(*keep).schema]
+    return rows.mapInArrow(run, T.StructType([*kinds, T.StructField(deviation, T.LongType()), T.StructField(whitened, T.ArrayType(T.DoubleType()))]))
 
 
 def whitened_rows(vectors: DataFrame, first: int = 4) -> DataFrame:
