@@ -171,7 +171,7 @@ walk AS (SELECT DISTINCT query_id, 0::BIGINT AS rank, '' AS context, false AS st
     SELECT f.query_id, f.rank, f.head, f.body, w.context, w.stopped OR {CONTEXT_CHARS} - length(w.context) - CASE WHEN w.context = '' THEN 0 ELSE 2 END <= 0 AS stopped,
       {CONTEXT_CHARS} - length(w.context) - CASE WHEN w.context = '' THEN 0 ELSE 2 END - length(f.head) - 22 AS room FROM walk w JOIN framed f ON f.query_id = w.query_id AND f.rank = w.rank + 1))
 SELECT query_id, arg_max(context, rank) AS context FROM walk GROUP BY 1""",
-    "citation_validation": r"""WITH a AS (SELECT doc_id, 'As [S1] and S2 say, S' || doc_id % 9 || ' too; xS3 S4x. ' || substring(text, 1, 40) AS answer FROM documents),
+    "citation_validation": r"""WITH a AS (SELECT doc_id, 'As [S1] and S2 say, S' || doc_id % 9 || ' too; xS3 S4x. ' || text AS answer FROM documents),
 c AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(answer, '\bS\d+\b'))) AS c FROM a)
 SELECT doc_id, array_to_string(c, ',') AS cited, array_to_string(list_filter(c, lambda x: NOT list_contains(['S1', 'S2', 'S3', 'S4', 'S5'], x)), ',') AS unknown FROM c""",
     "recall_mrr_ndcg": f"WITH {_QUALITY} SELECT query_id, round(recall, 6) AS recall, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg FROM scores",
@@ -181,7 +181,7 @@ UNION ALL SELECT 'ndcg', ndcg, {GATES["ndcg"]} FROM means UNION ALL SELECT 'abse
     "history_last5": "SELECT conv_id, turn, role, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5",
     "llm_messages": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
 SELECT conv_id, count(*) + 2 AS n, sha256('system:Answer from the documents.' || chr(10) || string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10) || 'user:Question ' || any_value(total)) AS digest FROM r WHERE back <= 5 GROUP BY 1""",
-    "enriched_anchors": "SELECT doc_id, length(CASE WHEN doc_id % 5 = 0 THEN text ELSE substring(text, 1, 50) END) AS n FROM documents",
+    "enriched_anchors": "SELECT doc_id, length(CASE WHEN doc_id % 5 = 0 THEN text ELSE text END) AS n FROM documents",
     "anchor_text": rf"""WITH l AS (SELECT doc_id, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(l[1:5], lambda x: regexp_replace(x, '^{_W}+|{_W}+$', '', 'g')), lambda x: x <> ''), ' ') AS anchor FROM l""",
     "path_parse": """WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(replace(' /a/' || doc_id || ' ,, b，' || source || ' ，', '，', ','), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)

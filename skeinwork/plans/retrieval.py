@@ -140,7 +140,7 @@ ORACLES = {
     "bm25_top10": f"WITH {INDEX_SQL}, q AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE item_id = 0), {bm25_sql('q', 10)} {_OUT.format('lex')}",
     "bm25_batch_top10": f"WITH {INDEX_SQL}, {BENCH_SQL}, {bm25_sql('bench', 10)} {_OUT.format('lex')}",
     "vector_top20": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings), q AS (SELECT * FROM v WHERE id = 0), {nearest_sql('v', 'q', 20)} SELECT id AS vec_id, round(dist, 6) + 0 AS dist, rank FROM sem",
-    "vector_batch_topk": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings), q AS (SELECT * FROM v WHERE id < 20), {nearest_sql('v', 'q', 10)} SELECT query_id, id AS vec_id, round(dist, 6) + 0 AS dist, rank FROM sem",
+    "vector_batch_topk": f"WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS embedding FROM embeddings), q AS (SELECT * FROM v WHERE id % 20 = 0), {nearest_sql('v', 'q', 10)} SELECT query_id, id AS vec_id, round(dist, 6) + 0 AS dist, rank FROM sem",
     "vector_dimension": "SELECT max(len(embedding))::INT AS dimension, min(len(embedding)) = max(len(embedding)) AS uniform FROM embeddings",
     "hash_embed_docs": f"WITH {embedding_sql('documents', 'doc_id', 'text', 'v')} SELECT id AS doc_id, b AS bucket, n FROM v_c",
     "rrf_hybrid": f"WITH {hybrid_sql()} {_OUT.format('rrf')}",
@@ -152,7 +152,7 @@ SELECT query_id, id AS doc_id, round(score, 6) AS score, row_number() OVER (PART
     "dynamic_top_k_std": _dynamic(12, 70, 70),
     "dynamic_top_k_stream": _dynamic(3, 20, 20),
     "refusal_flag": f"WITH {hybrid_sql(20)} SELECT query_id, coalesce(max(score) < 0.064, true) AS refused FROM bench LEFT JOIN rrf USING (query_id) GROUP BY query_id",
-    "should_decompose": r"""WITH t AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, substring(text, 1, 6) FROM conversations),
+    "should_decompose": r"""WITH t AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL SELECT 'c' || conv_id || '-' || turn, text FROM conversations),
 s AS (SELECT id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS s FROM t)
 SELECT id, length(s) > 4 AND (len(regexp_split_to_array(s, '\s+')) > 1 OR regexp_matches(s, '[\x{4e00}-\x{9fff}]')) AS decompose FROM s""",
 }
