@@ -17,6 +17,7 @@ from .config import EngineConfig
 from .functions.text import endpoint_problem, parse_sub_queries, should_decompose
 from .operators import chunking, evidence, fusion, graph, lexical, metrics, vector
 from .operators.index import IndexStore, stale_sources
+from .operators.store import scratch
 from .session import session
 from .sources import files
 from .streaming import watch as watching
@@ -54,7 +55,8 @@ class Engine:
                 self._waiting, self._running = self._waiting - 1, True
             try:
                 self.progress(f"{what}: begun")
-                yield
+                with scratch(self.spark):
+                    yield
                 self.progress(f"{what}: done")
                 self._last_error = None
             except BaseException as e:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lexical import DIGITS, top_per_query
+from .store import union
 
 
 def reciprocal_ranks(semantic: DataFrame, lexical: DataFrame, k: int = 30, anchors: DataFrame | None = None, boost: float = 2.0) -> DataFrame:
@@ -15,7 +16,7 @@ def reciprocal_ranks(semantic: DataFrame, lexical: DataFrame, k: int = 30, ancho
     semantic list, then in the lexical one.
     """
     both = semantic.select("query_id", "id", F.col("rank").alias("sem"), F.lit(None).cast("int").alias("lex"))
-    both = both.unionByName(lexical.select("query_id", "id", F.lit(None).cast("int").alias("sem"), F.col("rank").alias("lex")))
+    both = union(both, lexical.select("query_id", "id", F.lit(None).cast("int").alias("sem"), F.col("rank").alias("lex")), "query_id")
     part = F.lit(1.0) / (k - 1 + F.coalesce("sem", "lex"))
     fused = both.groupBy("query_id", "id").agg(F.sum(part).alias("score"), F.min("sem").alias("sem"), F.min("lex").alias("lex"))
     if anchors is not None:
@@ -63,5 +64,5 @@ def fuse_with_graph(hybrid: DataFrame, graph: DataFrame, alpha: float = 0.7, kee
     """(query_id, id, score, rank): alpha times the hybrid score plus (1 - alpha) / graph rank; the first ``keep``."""
     h = hybrid.select("query_id", "id", (alpha * F.col("score")).alias("part"), F.lit(None).cast("int").alias("g"), F.col("rank").alias("h"))
     g = graph.select("query_id", "id", ((1 - alpha) / F.col("rank")).alias("part"), F.col("rank").alias("g"), F.lit(None).cast("int").alias("h"))
-    both = h.unionByName(g).groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min("g").alias("g"), F.min("h").alias("h"))
+    both = union(h, g, "query_id").groupBy("query_id", "id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.min("g").alias("g"), F.min("h").alias("h"))
     return top_per_query(both, keep, F.desc("score"), F.asc_nulls_last("g"), F.asc_nulls_last("h")).select("query_id", "id", "score", "rank")

@@ -1,9 +1,12 @@
-"""The chunk index as immutable versions.
+"""The chunk index as immutable versions made of parts.
 
-Each change writes a whole new version to a directory of its own and then takes the next number in a log, which only one
-writer can: readers see one version, a change that fails takes no number, and of two changes to the same version the later
-one fails and leaves the other alone. Tables of a version: sources, chunks, vectors, tokens, and, once built, edges and
-mentions; a new version has no graph, so a stale one can't be read.
+A change writes one part with its own rows alone: the sources, chunks, vectors, tokens and posting segments that are new, the
+sources that have gone, and what their chunks take off the counts of terms. Then it takes the next number in a log, which only
+one writer can: readers see one version, a change that fails takes no number, and of two changes to the same version the later
+one fails and leaves the other alone. A version is the list of its parts; on reading, rows of a part whose source a later part
+lists as gone are left out by an anti join. Beyond ``MOST_PARTS`` parts a change writes all live rows into one.
+
+The graph of a version is stored beside it once; a new version has none until it is brought up to date.
 """
 
 from __future__ import annotations
@@ -11,26 +14,35 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..config import EngineConfig
-from .lexical import LexicalIndex, build_index, reuse_tokens
+from .lexical import LexicalIndex, build_segments, raw_idf, reuse_tokens, segment_schema, totals_of
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: Parts that a version may have before they are written anew as one.
+MOST_PARTS = 16
 
 
 class Conflict(RuntimeError):
     """Another writer published the version first."""
 
 
-TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "tokens": schemas.TOKENS, "edges": schemas.EDGES, "mentions": schemas.MENTIONS}
+TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "tokens": schemas.TOKENS}
+GRAPH = {"edges": schemas.EDGES, "mentions": schemas.MENTIONS}
+#: Tables of a part that are no tables of the index: posting segments, signed counts of terms, places of chunks that went in
+#: older segments, and sources that went from older parts.
+SEGMENTS = segment_schema(T.StringType())
+INNER = {"segments": SEGMENTS, "terms": T.StructType([SEGMENTS[c] for c in ("term", "df", "max_tf", "least_ratio")]), "places": T.StructType([SEGMENTS["segment"], T.StructField("place", T.IntegerType())]), "gone": T.StructType([T.StructField("source_id", T.StringType())])}
+_PART, _OWNER = T.StructField("part", T.LongType()), T.StructField("source_id", T.StringType())
 
 
 def fingerprint(config: EngineConfig) -> str:
@@ -134,22 +146,17 @@ class IndexStore:
         return sorted((int(n.removesuffix(".json")) for n in names if n.endswith(".json")), reverse=True)
 
     def _entry(self, version: int) -> dict | None:
-        """{version, fingerprint, tables} of a version, or None where it can't be read; entries never change."""
+        """{version, fingerprint, parts, lexical} of a version, or None where it can't be read; entries never change."""
         if version not in self._entries:
             try:
                 found = json.loads(self._read_text(f"{self.path}/log/{version:08d}.json"))
             except (ValueError, Py4JJavaError):
                 return None
-            if not (isinstance(found, dict) and found.get("version") == version and isinstance(found.get("tables"), str)):
+            if not (isinstance(found, dict) and found.get("version") == version and isinstance(found.get("parts"), list)):
                 return None
             self._entries[version] = found
         return self._entries[version]
 
-    def _where(self, version: int) -> str | None:
-        """The directory of a version's tables."""
-        entry = self._entry(version) if version else None
-        return entry and f"{self.path}/{entry['tables']}"
-
     def pointer(self) -> dict | None:
         """The entry of the published version, or None where there is none that can be read."""
         return next((e for e in map(self._entry, self._numbers()) if e), None)
@@ -164,60 +171,185 @@ class IndexStore:
     def matches(self, config: EngineConfig) -> bool:
         return (self.pointer() or {}).get("fingerprint") == fingerprint(config)
 
+    def _parts(self, version: int) -> list[dict]:
+        """The parts of a version, oldest first: directory, number, and whether it has sources that went."""
+        entry = self._entry(version) if version else None
+        return entry["parts"] if entry else []
+
+    def _read(self, name: str, schema: T.StructType, parts: list[dict]) -> DataFrame:
+        """Rows of a table in some parts, with the part's number."""
+        if not parts:
+            return self.spark.createDataFrame([], T.StructType([*schema.fields, _PART]))
+        return self.spark.read.schema(T.StructType([*schema.fields, _PART])).parquet(*[f"{self.path}/{p['dir']}/{name}" for p in parts])
+
+    def _live(self, name: str, parts: list[dict]) -> DataFrame:
+        """Rows of a table, source_id and part with them, without those whose source a later part lists as gone."""
+        schema = TABLES[name]
+        rows = self._read(name, schema if "source_id" in schema.names else T.StructType([*schema.fields, _OWNER]), parts)
+        if not (later := [p for p in parts if p["gone"]]):
+            return rows
+        gone = self._read("gone", INNER["gone"], later).groupBy("source_id").agg(F.max("part").alias("until"))
+        return rows.join(gone, (rows["source_id"] == gone["source_id"]) & (rows["part"] < gone["until"]), "left_anti")
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
         """A table of a version; empty where it isn't there."""
         version = self.version if version is None else version
-        if not self.has(name, version):
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self._where(version)}/{name}")
+        if name in GRAPH:
+            where = self._graph(version)
+            return self.spark.read.schema(GRAPH[name]).parquet(f"{where}/{name}") if where else self.spark.createDataFrame([], GRAPH[name])
+        return self._live(name, self._parts(version)).select(*TABLES[name].names)
 
     def has(self, name: str, version: int | None = None) -> bool:
         version = self.version if version is None else version
-        where = self._where(version)
-        return bool(where) and self._fs.exists(self._path(f"{where}/{name}"))
+        return bool(self._graph(version) if name in GRAPH else self._parts(version))
 
     def lexical(self, version: int | None = None) -> LexicalIndex:
-        return build_index(self.table("tokens", version).select(F.col("chunk_id").alias("id"), "tokens"))
+        """The lexical index of a version, as its parts have it: nothing is computed but sums by term, and nothing written."""
+        version = self.version if version is None else version
+        parts, counts = self._parts(version), (self._entry(version) or {}).get("lexical") or {"chunks": 0, "tokens": 0, "mean": None}
+        gone = self._read("places", INNER["places"], later).select("segment", "place") if (later := [p for p in parts if p["gone"]]) else None
+        n = counts["chunks"]
+        return LexicalIndex(self._read("segments", SEGMENTS, parts).drop("part"), self._terms(parts), n, counts["tokens"] / n if n else None, counts["mean"], gone)
+
+    def _terms(self, parts: list[dict]) -> DataFrame:
+        """Chunks by term over the parts; bounds of terms stay those of all chunks that ever had them."""
+        rows = self._read("terms", INNER["terms"], parts)
+        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("least_ratio").alias("least_ratio")).filter("df > 0")
 
     def commit(self, config: EngineConfig, new: dict[str, DataFrame], gone: DataFrame, everything: bool = False) -> int:
-        """Publishes a version in which the sources of ``gone`` are replaced by those of ``new`` (all of them if everything).
+        """Publishes a version in which the sources of ``gone`` (by id or path) are replaced by those of ``new`` (all of them if
+        everything).
 
-        ``new`` has sources, chunks and vectors. Tokens of chunks whose text didn't change are taken over. On any failure the
-        published version stays and what was written is removed; Conflict if another writer published meanwhile.
+        ``new`` has sources, chunks and vectors, and only they are written. Tokens of chunks whose text didn't change are taken
+        over. On any failure the published version stays and what was written is removed; Conflict if another writer
+        published meanwhile.
         """
         numbers = self._numbers()
         old = next((v for v in numbers if self._entry(v)), 0)
+        parts = [] if everything else self._parts(old)
+        if len(parts) >= MOST_PARTS:
+            return self._publish(config, numbers, lambda target, number: self._write_whole(target, number, parts, new, gone))
+        return self._publish(config, numbers, lambda target, number: self._write_change(target, number, parts, old, new, gone, everything))
+
+    def compact(self, config: EngineConfig) -> int:
+        """Publishes a version of the same rows in one part."""
+        none = {k: self.spark.createDataFrame([], TABLES[k]) for k in ("sources", "chunks", "vectors")}
+        numbers = self._numbers()
+        parts = self._parts(next((v for v in numbers if self._entry(v)), 0))
+        return self._publish(config, numbers, lambda target, number: self._write_whole(target, number, parts, none, none["sources"].select("source_id", "source_path")))
+
+    def _publish(self, config: EngineConfig, numbers: list[int], write: Callable[[str, int], dict]) -> int:
         number = max(numbers, default=0) + 1
-        tables = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
-        target = f"{self.path}/{tables}"
+        directory = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.path}/{directory}"
         try:
-            sources = new["sources"] if everything else replace_sources(self.table("sources", old), new["sources"], gone)
-            chunks = new["chunks"] if everything else replace_sources(self.table("chunks", old), new["chunks"], gone)
-            sources.write.mode("overwrite").parquet(f"{target}/sources")
-            chunks.write.mode("overwrite").parquet(f"{target}/chunks")
-            chunks = self.spark.read.schema(TABLES["chunks"]).parquet(f"{target}/chunks")
-            kept = self.table("vectors", old).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
-            upsert(kept, new["vectors"], "chunk_id").write.mode("overwrite").parquet(f"{target}/vectors")
-            tokens = reuse_tokens(chunks, self.table("tokens", old)).select(F.col("id").alias("chunk_id"), "document_hash", "tokens")
-            tokens.write.mode("overwrite").parquet(f"{target}/tokens")
-            self._swap(f"{self.path}/log/{number:08d}.json", json.dumps({"version": number, "tables": tables, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION}, sort_keys=True, indent=2))
+            made = write(target, number)
+            entry = {"version": number, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION, "lexical": made["lexical"]}
+            entry["parts"] = [*made["before"], {"dir": directory, "number": number, "gone": made["gone"]}]
+            self._swap(f"{self.path}/log/{number:08d}.json", json.dumps(entry, sort_keys=True, indent=2))
         except BaseException:
             self._fs.delete(self._path(target), True)
             raise
         return number
 
+    def _write(self, df: DataFrame, name: str, schema: T.StructType, target: str, number: int, spread: bool = False) -> DataFrame:
+        """Writes a table of a part, in as few files as its rows need unless ``spread``, and reads it back."""
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("part", F.lit(number).cast("long"))
+        rows = rows if spread else rows.hint("rebalance")
+        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        return self._read(name, schema, [{"dir": target.removeprefix(f"{self.path}/")}])
+
+    def _write_rows(self, target: str, number: int, new: dict[str, DataFrame], known: DataFrame) -> tuple[DataFrame, dict]:
+        """The new rows of a part with their segments; ``known`` has tokens to take over. Chunks, and numbers of chunks and tokens."""
+        self._write(new["sources"], "sources", TABLES["sources"], target, number)
+        chunks = self._write(new["chunks"], "chunks", TABLES["chunks"], target, number)
+        owner = chunks.select("chunk_id", "source_id")
+        with_owner = lambda name: T.StructType([*TABLES[name].fields, _OWNER])
+        self._write(new["vectors"].join(owner, "chunk_id"), "vectors", with_owner("vectors"), target, number)
+        made = reuse_tokens(chunks, known).select(F.col("id").alias("chunk_id"), "document_hash", "tokens")
+        tokens = self._write(made.join(owner, "chunk_id"), "tokens", with_owner("tokens"), target, number)
+        segments = build_segments(tokens.select(F.col("chunk_id").alias("id"), "tokens"), f"{number}.{uuid.uuid4().hex[:8]}.")
+        segments = self._write(segments.repartitionByRange("term").sortWithinPartitions("term"), "segments", SEGMENTS, target, number, spread=True)
+        n, size = tokens.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
+        return segments, {"chunks": n, "tokens": size}
+
+    def _write_change(self, target: str, number: int, parts: list[dict], old: int, new: dict[str, DataFrame], gone: DataFrame, everything: bool) -> dict:
+        """The part of a change, and what the log needs of it."""
+        ids = None
+        if parts:
+            sources = self._live("sources", parts).select("source_id", "source_path")
+            by_id = sources.join(gone.select("source_id").distinct(), "source_id", "left_semi")
+            by_path = sources.join(gone.select("source_path").distinct(), "source_path", "left_semi")
+            found = self._write(by_id.select("source_id").union(by_path.select("source_id")).distinct(), "gone", INNER["gone"], target, number).select("source_id")
+            ids = found if found.limit(1).count() else None
+        known = self._live("tokens", parts) if ids is None else self._live("tokens", parts).join(ids, "source_id", "left_semi")
+        if everything and old:
+            known = self._live("tokens", self._parts(old))
+        segments, counts = self._write_rows(target, number, new, known)
+        terms = totals_of(segments)
+        total = (self._entry(old)["lexical"] if parts else None) or {"chunks": 0, "tokens": 0}
+        if ids is not None:
+            left = known.select(F.col("chunk_id").alias("id"), "tokens")
+            words = left.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+            terms = terms.unionByName(words.select("term", (-F.col("df")).alias("df"), F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("double").alias("least_ratio")))
+            places = self.lexical(old).places.join(left.select("id"), "id", "left_semi")
+            self._write(places, "places", INNER["places"], target, number)
+            n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
+            total = {"chunks": total["chunks"] - n, "tokens": total["tokens"] - size}
+        self._write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number, spread=True)
+        part = {"dir": target.removeprefix(f"{self.path}/"), "number": number, "gone": ids is not None}
+        return {"before": parts, "gone": ids is not None, "lexical": self._counted([*parts, part], {k: total[k] + counts[k] for k in counts})}
+
+    def _write_whole(self, target: str, number: int, parts: list[dict], new: dict[str, DataFrame], gone: DataFrame) -> dict:
+        """A part of all live rows but those that are replaced, with the new ones."""
+        whole = {k: replace_sources(self._live(k, parts).select(*TABLES[k].names), new[k], gone) for k in ("sources", "chunks")}
+        kept = self._live("vectors", parts).select("chunk_id", "embedding").join(whole["chunks"].select("chunk_id"), "chunk_id", "left_semi")
+        segments, counts = self._write_rows(target, number, whole | {"vectors": upsert(kept, new["vectors"], "chunk_id")}, self._live("tokens", parts))
+        self._write(totals_of(segments).repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number, spread=True)
+        return {"before": [], "gone": False, "lexical": self._counted([{"dir": target.removeprefix(f"{self.path}/"), "number": number, "gone": False}], counts)}
+
+    def _counted(self, parts: list[dict], counts: dict) -> dict:
+        """The counts with the mean raw idf of all terms, so that no question reads all of them."""
+        mean = self._terms(parts).agg(F.avg(raw_idf(counts["chunks"], F.col("df")))).first()[0] if counts["chunks"] else None
+        return counts | {"mean": mean}
+
     def prune(self, keep: int = 2) -> list[int]:
-        """Removes the tables of all but the last ``keep`` versions, for readers that began before may still need those; the
-        versions that went. Numbers are never given again."""
+        """Takes all but the last ``keep`` versions out of the log and removes the parts and graphs that none of those needs, for
+        readers that began before may still need the last ones; the versions that went. Numbers are never given again."""
         if keep < 1:
             raise ValueError("keep must be positive")
-        gone = [v for v in self._numbers()[keep:] if (where := self._where(v)) and self._fs.delete(self._path(where), True)]
-        return sorted(gone)
+        numbers = self._numbers()
+        old, kept = [v for v in numbers[keep:] if self._entry(v)], [v for v in numbers[:keep] if self._entry(v)]
+        used = {p["dir"] for v in kept for p in self._parts(v)}
+        for v in old:
+            unused = {p["dir"] for p in self._parts(v)} - used
+            out = self._fs.create(self._path(f"{self.path}/log/{v:08d}.json"), True)  # the number stays taken
+            out.write(bytearray(b"null"))
+            out.close()
+            for directory in [f"{self.path}/{d}" for d in unused] + ([g] if (g := self._graph(v)) else []):
+                self._fs.delete(self._path(directory), True)
+            self._entries.pop(v)
+        return sorted(old)
+
+    def _graph(self, version: int) -> str | None:
+        """Where the graph of a version is."""
+        try:
+            name = json.loads(self._read_text(f"{self.path}/graphs/{version:08d}.json"))["dir"] if self._entry(version) else None
+        except (ValueError, KeyError, TypeError, Py4JJavaError):
+            return None
+        return name and f"{self.path}/{name}"
 
     def save_graph(self, edges: DataFrame, mentions: DataFrame, version: int | None = None) -> None:
+        """Stores the graph of a version; Conflict where it has one."""
         version = self.version if version is None else version
-        edges.select("u", "v", F.col("weight").cast("double")).write.mode("overwrite").parquet(f"{self._where(version)}/edges")
-        mentions.select("entity", F.col("id").cast("string").alias("chunk_id")).write.mode("overwrite").parquet(f"{self._where(version)}/mentions")
+        name = f"g{version:08d}-{uuid.uuid4().hex[:8]}"
+        try:
+            edges.select("u", "v", F.col("weight").cast("double")).write.parquet(f"{self.path}/{name}/edges")
+            mentions.select("entity", F.col("id").cast("string").alias("chunk_id")).write.parquet(f"{self.path}/{name}/mentions")
+            self._swap(f"{self.path}/graphs/{version:08d}.json", json.dumps({"dir": name}))
+        except BaseException:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+            raise
 
     def load_graph(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:
         """Edges and mentions; ValueError where there are none or a weight isn't finite."""

@@ -4,8 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end, so results that read them have to be used inside."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as Parquet in the shared folder: what reads it again doesn't compute it again, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if (paths := _scratch.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -30,3 +52,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over as many partitions as there are cores, where its files make fewer; larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def union(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Rows of both, by name. Two sides that are dealt alike by ``key`` would be zipped partition by partition, which fails where
+    adaptive execution then deals one of them anew; so the second hides how it is dealt."""
+    return a.unionByName(b.withColumn(key, F.greatest(key, key)))
