@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import components
-from .shared import materialise
+from .shared import materialise, unused
 from .textkit import Hasher, Runs, mix, ragged, slices, windows
 
 WORDS, TOKENS = 5, 64
@@ -50,7 +50,7 @@ def runs_needed(recall: float = RECALL, similarity: float = NUM / DEN, depth: in
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each text; a shorter text with a word has one, of all its words."""
     runs = Runs(buf, offs)
-    h = Hasher(buf).spans(runs.start, runs.end)
+    h = Hasher(buf).strong(runs.start, runs.end)
     grams, first = windows(h, runs.row, words)
     n = np.diff(runs.bounds())
     lows = runs.bounds()
@@ -82,9 +82,9 @@ def _key(s: np.ndarray) -> bytes | None:
     return np.array([s.sum(), mix(s).sum()], np.uint64).tobytes() if len(s) else None
 
 
-def _keyed(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with the key of each text's set as ``__key``."""
-    names = [*docs.columns, "__key"]
+def _keyed(docs: DataFrame, words: int, name: str = "__key") -> DataFrame:
+    """``docs`` with the key of each text's set as ``name``."""
+    names = [*docs.columns, name]
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +92,7 @@ def _keyed(docs: DataFrame, words: int) -> DataFrame:
             keys = [_key(s) for _, _, buf, offs in slices(b.column(at)) for s in shingle_sets(buf, offs, words)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__key", BinaryType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -399,8 +399,9 @@ def keep_one(docs: DataFrame, words: int = WORDS, recall: float = RECALL) -> Dat
     classes, clash = _classes(docs, words, recall)
     kept = classes.filter("leads AND doc_id IS NOT NULL")
     if clash:
-        kept = kept.select(F.col("doc_id").alias("__id"), F.col("key").alias("__set")).distinct()
-        named = _keyed(docs, words).join(kept, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+        own, of, key = (unused(docs.columns, c) for c in ("__key", "__id", "__set"))
+        kept = kept.select(F.col("doc_id").alias(of), F.col("key").alias(key)).distinct()
+        named = _keyed(docs, words, own).join(kept, (F.col("doc_id") == F.col(of)) & F.col(own).eqNullSafe(F.col(key)), "left_semi").dropDuplicates(["doc_id", own]).drop(own)
     else:
         named = docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.filter("doc_id IS NULL"))

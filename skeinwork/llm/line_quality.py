@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .chain import Chain, Layout
 from .labelled import labelled_sample
-from .shared import with_text
+from .shared import with_text, unused
 from .textkit import Hasher, Runs, mix, slices, windows
 
 #: Characters that count as symbols.
@@ -64,7 +64,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> Measures:
     n = len(offs) - 1
     runs = Runs(buf, offs)
     hasher = Hasher(buf)
-    words = hasher.spans(runs.start, runs.end)
+    words = hasher.strong(runs.start, runs.end)
     count = lambda mask: np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
     heads, symbols = count((buf & 0xC0) != 0x80), count(SYMBOLS[buf])
     upper, bang, digit = count((buf >= 65) & (buf <= 90)), count(buf == 33), count((buf >= 48) & (buf <= 57))
@@ -88,7 +88,7 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> Measures:
     after = np.searchsorted(feeds, runs.start[opens])
     begin = np.maximum(offs[line_row], np.where(after > 0, feeds[after - 1] + 1, 0) if len(feeds) else 0)
     end = np.minimum(offs[line_row + 1], np.where(after < len(feeds), feeds[np.minimum(after, len(feeds) - 1)], len(buf)) if len(feeds) else len(buf))
-    line_key = hasher.spans(begin, end)
+    line_key = hasher.strong(begin, end)
     _, seen = repeats(line_key, line_row)
 
     per_line = lambda values: np.add.reduceat(values, opens) if len(opens) else np.zeros(0)
@@ -177,7 +177,11 @@ def fit(parts: list[Measures], label: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] | None = None, most: tuple[int, int] = MOST) -> Model:
-    """Fits on at most ``most`` labelled documents of each class (bad, good)."""
+    """Fits on at most ``most`` labelled documents of each class (bad, good).
+
+    Null labels and ids are left out, null and empty texts have no lines to learn from, and of repeated rows each counts. Where
+    a class has no document, or there are none, the model calls every line content.
+    """
     sample, _ = labelled_sample(docs, labels, "quality", most, held_out)
     t = sample.toArrow().sort_by("doc_id").combine_chunks()
     texts = t.column("text")
@@ -189,17 +193,18 @@ def line_quality(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id
     """``keep`` columns, the counts, base_failed, kept and content_share of every whole text; on request the line states.
 
     Words are runs without white space; a line has a word or isn't looked at. Null text has no words, so it fails the basic
-    rules; repeated rows get equal results; an empty table gives no rows.
+    rules; repeated rows get equal results; an empty table gives no rows. Names that ``keep`` has get an underscore.
     """
     from pyspark.sql import types as T
 
     kept = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema
     for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
-        schema = schema.add(c, "long")
-    schema = schema.add("base_failed", "boolean").add("kept", "boolean").add("content_share", "double")
+        schema = schema.add(unused(schema.names, c), "long")
+    for c, kind in (("base_failed", "boolean"), ("kept", "boolean"), ("content_share", "double")):
+        schema = schema.add(unused(schema.names, c), kind)
     if with_lines:
-        schema = schema.add("content_lines", T.ArrayType(T.BooleanType()))
+        schema = schema.add(unused(schema.names, "content_lines"), T.ArrayType(T.BooleanType()))
 
     rows, at = with_text(docs, keep)
 

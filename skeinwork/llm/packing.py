@@ -76,9 +76,11 @@ def token_pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
     Returns ``keep``, piece, start, length, ids_crc32 (of little-endian unsigned 32-bit ids) and, on request, ids. Null text
     counts as empty and gives one piece that holds only ``end_id``; repeated rows give repeated pieces.
     """
-    schema = df.select(*keep).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = df.select(*keep).schema
+    for c, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long")):
+        schema = schema.add(unused(schema.names, c), kind)
     if with_ids:
-        schema = schema.add("ids", T.ArrayType(T.LongType()))
+        schema = schema.add(unused(schema.names, "ids"), T.ArrayType(T.LongType()))
 
     rows, at = with_text(df, keep)
 

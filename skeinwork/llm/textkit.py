@@ -18,6 +18,7 @@ SLICE_BYTES = 1 << 20
 SHORT = 64
 #: Added to the lengths at the start, so that the two lanes of hashes have nothing in common.
 _SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D))
+_FOLD = np.uint64(0xC2B2AE3D27D4EB4F)
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
@@ -94,8 +95,9 @@ class Runs:
 class Hasher:
     """64-bit hashes of any spans of one buffer: of equal bytes equal, whatever their place.
 
-    Every step mixes in whole words of eight bytes, so no family of texts is known to collide. ``pairs`` has two independent
-    lanes, 128 bits together, for tables where a collision would change a result.
+    Every step mixes in whole words of eight bytes. Each step of one lane is a bijection, so pairs of spans that share a value
+    can be computed: ``spans`` is for features alone. ``strong`` folds two independent lanes into 64 bits, for which no way is
+    known but trying about 2**32 spans; ``pairs`` has both lanes, 128 bits together, for tables of a whole corpus.
     """
 
     def __init__(self, buf: np.ndarray, fold: np.ndarray | None = None):
@@ -106,6 +108,10 @@ class Hasher:
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self._lanes(start, end, 1)[0]
 
+    def strong(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        first, second = self._lanes(start, end, 2)
+        return mix(first + mix(second ^ _FOLD))
+
     def pairs(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, second = self._lanes(start, end, 2)
         return first, second
@@ -132,15 +138,16 @@ class Hasher:
 
 
 def windows(h: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each ``size`` adjoining runs of one row, and the index of the first of each."""
+    """Hashes of each ``size`` adjoining runs of one row, and the index of the first of each; mixed at every step, as a sum of
+    products could be solved for."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     first = np.flatnonzero(row[:n] == row[size - 1 :])
     out = np.zeros(len(first), np.uint64)
     for k in range(size):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[first + k]
-    return mix(out), first
+        out = mix((out ^ h[first + k]) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k + 1))
+    return out, first
 
 
 def char_offsets(buf: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import with_text
+from .shared import with_text, unused
 from .textkit import LOWER, Hasher, Runs, mix, ragged, slices
 
 SLOT_BITS, MOST_IDS, JOINED_BYTES = 20, 1 << 22, 1 << 15
@@ -195,13 +195,17 @@ def segment_table(path: str) -> SegmentTable:
     return _tables[path]
 
 
-def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, boundaries: bool = True) -> DataFrame:
+def token_counts(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 2048, boundaries: bool | None = None) -> DataFrame:
     """``keep`` columns, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every row.
 
     No shuffle: one pass over the scanned partitions, only lengths leave the workers. Null text counts as empty (0 bytes,
-    0 tokens); repeated rows give repeated results; an empty table gives no rows; other columns are not read.
+    0 tokens); repeated rows give repeated results; an empty table gives no rows; other columns are not read. Names that
+    ``keep`` has get an underscore. Texts are split at safe ``boundaries`` unless the file is a ``.model``, which has none.
     """
-    schema = df.select(*keep).schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
+    boundaries = not path.endswith(".model") if boundaries is None else boundaries
+    schema = df.select(*keep).schema
+    for c, kind in (("n_bytes", "long"), ("n_tokens", "long"), ("over_limit", "boolean")):
+        schema = schema.add(unused(schema.names, c), kind)
     rows, at = with_text(df, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,6 +96,40 @@ def test_hashes_tell_weak_pairs_apart(spark):
         assert one[0] == one[2] != one[1] and two[0] == two[2] != two[1] and (one != two).all()
 
 
+def test_words_that_one_lane_takes_for_one(spark):
+    """Words computed to share the first lane: neither lines nor windows nor shingles of them are the same."""
+    x, y = "yANXbhQXaaaabada", "OKVImInFbgdeCjYR"
+    texts = [f"{x}\n{y}", f"A {x} B A {y} B", f"a b c d {x}", f"a b c d {y}"]
+    buf = np.frombuffer((x + y).encode(), np.uint8)
+    h, start = textkit.Hasher(buf), np.array([0, 16])
+    assert len(set(h.spans(start, start + 16).tolist())) == 1 and len(set(h.strong(start, start + 16).tolist())) == 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = by_id(line_quality.line_quality(df, line_quality.fit([], np.zeros(0))))
+    assert [tuple(lines[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for i in range(4)] == [brute_counts(x) for x in texts]
+    assert [by_id(jaccard_join.jaccard_groups(df))[i]["class_id"] for i in range(4)] == [0, 1, 2, 3]
+
+
+def test_names_that_are_taken(spark):
+    rows = [(1, "one two three four five", "a", 1, 2, 3), (1, "six seven eight nine ten", "b", 1, 2, 3), (2, "one two three four five", "c", 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __key string, n_tokens int, kept int, piece int")
+    assert {r["__key"] for r in jaccard_join.keep_one(df).collect()} in ({"a", "b"}, {"b", "c"})
+    assert token_counts.token_counts(df, BPE, keep=("doc_id", "n_tokens")).columns == ["doc_id", "n_tokens", "n_bytes", "n_tokens_", "over_limit"]
+    assert {r["n_tokens_"] for r in token_counts.token_counts(df, BPE, keep=("doc_id", "n_tokens")).collect()} == {len(Tokenizer.from_file(BPE).encode(t, add_special_tokens=False).ids) for _, t, *_ in rows}
+    kept = line_quality.line_quality(df, line_quality.fit([], np.zeros(0)), keep=("doc_id", "kept"))
+    assert kept.columns[:2] == ["doc_id", "kept"] and "kept_" in kept.columns and {r["kept_"] for r in kept.collect()} == {False}
+    pieces = packing.token_pieces(df, BPE, keep=("doc_id", "piece"))
+    assert pieces.columns == ["doc_id", "piece", "piece_", "start", "length", "ids_crc32"] and pieces.count() == 3
+
+
+def test_models_are_encoded_whole(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, texts = sentencepiece.SentencePieceProcessor(model_file=path), ["a  b\n c", " two  spaces ", "word\n\nword", "", None]
+    got = by_id(token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    assert [got[i]["n_tokens"] for i in range(5)] == [len(model.encode(t or "")) for t in texts]
+
+
 def test_token_counts(spark, docs, none):
     t = Tokenizer.from_file(BPE)
     got = by_id(token_counts.token_counts(docs, BPE))
