@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import should_decompose, tokenize
-from ..operators import fusion, lexical, vector
+from ..operators import ann, fusion, lexical, vector
 from ..operators.store import spread
 
 from .parts import BENCH_SQL, INDEX_SQL, benchmark_queries, bm25_sql, embedding_sql, hybrid_sql, lexical_index, nearest_sql, rrf_sql, table, tokens_sql
@@ -61,6 +61,14 @@ def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.nearest(vectors, asked, 10).select("query_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+def vector_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """About the 10 nearest of every vector whose id is divisible by 20, through inverted lists of all vectors."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    found = ann.nearest_in_lists(ann.build_lists(vectors, 10), asked, 10)
+    return found.select("query_id", F.col("id").alias("vec_id"), F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 def vector_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("dimension"), (F.min(F.size("embedding")) == F.max(F.size("embedding"))).alias("uniform"))
 
@@ -116,7 +124,7 @@ def should_decompose_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.unionByName(c).select("id", should_decompose("text").alias("decompose"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_docs, term_stats, token_reuse, bm25_top10, bm25_batch_top10, vector_top20, vector_batch_topk, vector_dimension, hash_embed_docs, rrf_hybrid, rrf_anchor_boost, subquery_max_merge, dynamic_top_k_std, dynamic_top_k_stream, refusal_flag)} | {"should_decompose": should_decompose_texts}
+QUERIES = {f.__name__: f for f in (tokenize_docs, term_stats, token_reuse, bm25_top10, bm25_batch_top10, vector_top20, vector_batch_topk, vector_lists_topk, vector_dimension, hash_embed_docs, rrf_hybrid, rrf_anchor_boost, subquery_max_merge, dynamic_top_k_std, dynamic_top_k_stream, refusal_flag)} | {"should_decompose": should_decompose_texts}
 
 _OUT = "SELECT query_id, id AS doc_id, round(score, 6) AS score, rank FROM {0}"
 
