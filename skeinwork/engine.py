@@ -110,14 +110,13 @@ class Engine:
             return self.store.delete(source_id, files.canonical_path(path) if path else None, self.config)
 
     def build_graph(self) -> None:
-        """Builds and stores the graph of the published version unless it has one."""
+        """Builds and stores the graph of the published version unless it has one; from an older version's where there is one."""
         with self._change("graph"):
             if not self.store.has("edges") or not self.store.has("mentions"):
                 chunks = self.store.table("chunks")
                 if not chunks.limit(1).count():
                     raise ValueError("there are no chunks to build a graph from")
-                lists = self.extract(chunks)
-                self.store.save_graph(graph.edges(lists, self.config.min_cooccur, self.config.max_entities), graph.mentions(lists))
+                self.store.build_graph(self.extract, self.config.min_cooccur, self.config.max_entities)
 
     def watch(self, directory: str, checkpoint: str, trigger_rows: DataFrame | None = None):
         """Follows a directory; stop the query that is returned to end it."""
@@ -177,7 +176,7 @@ class Engine:
         edges, mentions = self.store.load_graph(version)
         query = self.spark.createDataFrame([("q", question)], "query_id string, query string")
         hybrid = self.hybrid(query, self.config.stream_top_k, version)
-        asked = graph.extract(query, "query_id", "query").select(F.col("id").alias("query_id"), F.explode("entities").alias("entity"))
+        asked = self.extract(query.select(F.col("query_id").alias("chunk_id"), F.col("query").alias("text"))).select(F.col("id").alias("query_id"), F.explode("entities").alias("entity"))
         near = graph.related(edges, asked).filter("rank <= 8")
         hits = graph.chunks_by_entities(near, mentions.withColumnRenamed("chunk_id", "id"))
         fused = fusion.fuse_with_graph(hybrid, hits, self.config.alpha, self.config.stream_top_k)

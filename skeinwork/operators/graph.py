@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import entities, parse_entity_response
@@ -13,6 +13,8 @@ from .lexical import DIGITS, top_per_query
 
 #: Texts that a model is asked about at once, and the characters of each that it sees.
 BATCH, PROMPT_CHARS = 5, 1500
+#: Items of a group whose pairs with another such block are formed in one row.
+PAIR_BLOCK = 256
 
 
 def extract(chunks: DataFrame, id_column: str, text: str = "text") -> DataFrame:
@@ -20,13 +22,37 @@ def extract(chunks: DataFrame, id_column: str, text: str = "text") -> DataFrame:
     return chunks.select(F.col(id_column).alias("id"), entities(text).alias("entities"))
 
 
-def extract_with(chunks: DataFrame, id_column: str, ask: Callable[[list[str]], str], text: str = "text", size: int = BATCH) -> DataFrame:
+def extract_with(chunks: DataFrame, id_column: str, ask: Callable[[list[str]], str], text: str = "text", size: int = BATCH, cache: str | None = None) -> DataFrame:
     """(id, entities) by a model: ``ask`` gets the first PROMPT_CHARS characters of up to ``size`` texts and answers with lines.
 
     Each distinct text is asked for once. A call that fails leaves the texts of its batch without entities, and so are null
-    texts. ``ask`` runs in the workers, so it must be picklable.
+    texts. ``ask`` runs in the workers, so it must be picklable. With ``cache``, a folder for one model, answers are kept by the
+    digest of the text and looked up first, in this call and in later ones; failed batches are asked for again next time.
     """
-    keyed = chunks.select(F.col(id_column).alias("id"), F.md5(F.col(text).cast("binary")).alias("key"), F.substring(F.col(text), 1, PROMPT_CHARS).alias("prompt"))
+    keyed = chunks.select(F.col(id_column).alias("id"), F.sha2(F.col(text), 256).alias("key"), F.substring(F.col(text), 1, PROMPT_CHARS).alias("prompt"))
+    wanted = keyed.filter("prompt IS NOT NULL").groupBy("key").agg(F.first("prompt").alias("prompt"))
+    if cache is None:
+        found = _answered(wanted, ask, size)
+    else:
+        missing = wanted.join(cached(chunks.sparkSession, cache), "key", "left_anti")
+        _answered(missing, ask, size).filter("entities IS NOT NULL").write.mode("append").parquet(cache)
+        found = cached(chunks.sparkSession, cache)
+    return keyed.join(found, "key", "left").select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+
+
+def cached(spark: SparkSession, cache: str) -> DataFrame:
+    """(key, entities) of all texts that were asked for; two writers may both have asked for one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], _ANSWERS)
+    return spark.read.schema(_ANSWERS).parquet(cache).dropDuplicates(["key"])
+
+
+_ANSWERS = "key string, entities array<string>"
+
+
+def _answered(wanted: DataFrame, ask: Callable[[list[str]], str], size: int) -> DataFrame:
+    """(key, entities) of (key, prompt); no entities where the call failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -41,9 +67,9 @@ def extract_with(chunks: DataFrame, id_column: str, ask: Callable[[list[str]], s
                 rows += [(keys[lo + k], k, len(part), answer) for k in range(len(part))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["key", "place", "n", "answer"])
 
-    asked = keyed.filter("prompt IS NOT NULL").groupBy("key").agg(F.first("prompt").alias("prompt")).mapInArrow(run, "key string, place int, n int, answer string")
-    parsed = asked.select("key", F.get(parse_entity_response("answer", F.col("n")), F.col("place")).alias("entities"))
-    return keyed.join(parsed, "key", "left").select("id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
+    asked = wanted.mapInArrow(run, "key string, place int, n int, answer string")
+    parsed = F.coalesce(F.get(parse_entity_response("answer", F.col("n")), F.col("place")), F.array().cast("array<string>"))
+    return asked.select("key", F.when(F.col("answer").isNotNull(), parsed).alias("entities"))
 
 
 def mentions(lists: DataFrame) -> DataFrame:
@@ -52,20 +78,49 @@ def mentions(lists: DataFrame) -> DataFrame:
 
 
 def edges(lists: DataFrame, min_cooccur: int = 2, max_entities: int = 20) -> DataFrame:
-    """(u, v, weight), u < v: in how many chunks both are among the first ``max_entities``.
+    """(u, v, weight), u < v: in how many chunks both are among the first ``max_entities``."""
+    return _pairs(lists, max_entities).groupBy("u", "v").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_cooccur)
 
-    Pairs are formed within each row (at most max_entities squared halves), so nothing is joined.
-    """
+
+def _pairs(lists: DataFrame, max_entities: int) -> DataFrame:
+    """(u, v) of each chunk: formed within its row (at most max_entities squared halves), so nothing is joined."""
     few = lists.select(F.slice(F.array_distinct("entities"), 1, max_entities).alias("e"))
     pairs = F.flatten(F.transform("e", lambda a, i: F.transform(F.slice(F.col("e"), i + 2, max_entities), lambda b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))))
-    return few.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_cooccur)
+    return few.select(F.explode(pairs).alias("p")).select("p.u", "p.v")
+
 
+def merged_pairs(old: DataFrame, added: DataFrame, removed: DataFrame, max_entities: int = 20) -> DataFrame:
+    """(u, v, weight) of all pairs after chunks came and went: the pairs of their lists, with a sign, are added to the old ones.
+
+    ``old`` has the pairs of every weight; those that no chunk has any more are left out.
+    """
+    signed = _pairs(added, max_entities).withColumn("weight", F.lit(1)).unionByName(_pairs(removed, max_entities).withColumn("weight", F.lit(-1)))
+    both = old.select("u", "v", F.col("weight").cast("long")).unionByName(signed.withColumn("weight", F.col("weight").cast("long")))
+    return both.groupBy("u", "v").agg(F.sum("weight").alias("weight")).filter("weight > 0")
 
-def pair_counts(rows: DataFrame, group: str, item: str, least: int = 2) -> DataFrame:
-    """(u, v, weight) of items that share a group in ``least`` groups or more, from plain rows."""
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("e"))
-    pairs = F.flatten(F.transform("e", lambda a, i: F.transform(F.slice(F.col("e"), i + 2, F.size("e")), lambda b: F.struct(a.alias("u"), b.alias("v")))))
-    return lists.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+
+def pair_counts(rows: DataFrame, group: str, item: str, least: int = 2, block: int = PAIR_BLOCK) -> DataFrame:
+    """(u, v, weight) of items that share a group in ``least`` groups or more, from plain rows.
+
+    A group's items are dealt into blocks of about ``block``, and pairs are formed between two blocks at a time, so that no row
+    holds more than about ``block`` squared of them, however large the group.
+    """
+    found = pair_blocks(rows, group, item, block)
+    own = F.col("i") == F.col("j")
+    pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("y", lambda b: ~own | (a < b)), lambda b: F.struct(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")))))
+    return found.select(F.explode(pairs).alias("p")).groupBy("p.u", "p.v").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least)
+
+
+def pair_blocks(rows: DataFrame, group: str, item: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """(group, i, j, x, y): two blocks of a group's distinct items, i <= j. Pairs of groups of one block need no join."""
+    items = rows.select(F.col(group).alias("group"), F.col(item).alias("item")).filter("group IS NOT NULL AND item IS NOT NULL")
+    large = items.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("group", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = items.join(large, "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    lists = dealt.groupBy("group", "blocks", F.pmod(F.xxhash64("item"), "blocks").cast("int").alias("i")).agg(F.collect_set("item").alias("x"))
+    alone = lists.select("group", "i", F.col("i").alias("j"), "x", F.col("x").alias("y"))
+    many = lists.filter("blocks > 1")
+    met = many.select("group", "i", F.explode(F.expr("sequence(i, blocks - 1)")).alias("j"), "x").filter("i < j")
+    return alone.unionByName(met.join(many.select("group", F.col("i").alias("j"), F.col("x").alias("y")), ["group", "j"]).select("group", "i", "j", "x", "y"))
 
 
 def nodes(edge_table: DataFrame) -> DataFrame:

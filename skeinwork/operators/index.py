@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from .. import schemas
 from ..config import EngineConfig
+from . import graph
 from .lexical import LexicalIndex, build_segments, raw_idf, reuse_tokens, segment_schema, totals_of
 
 SCHEMA_VERSION = 2
@@ -37,7 +38,7 @@ class Conflict(RuntimeError):
 
 
 TABLES = {"sources": schemas.SOURCES, "chunks": schemas.CHUNKS, "vectors": schemas.VECTORS, "tokens": schemas.TOKENS}
-GRAPH = {"edges": schemas.EDGES, "mentions": schemas.MENTIONS}
+GRAPH = {"edges": schemas.EDGES, "mentions": schemas.MENTIONS, "pairs": schemas.EDGES, "lists": schemas.ENTITY_LISTS}
 #: Tables of a part that are no tables of the index: posting segments, signed counts of terms, places of chunks that went in
 #: older segments, and sources that went from older parts.
 SEGMENTS = segment_schema(T.StringType())
@@ -331,24 +332,47 @@ class IndexStore:
             self._entries.pop(v)
         return sorted(old)
 
-    def _graph(self, version: int) -> str | None:
-        """Where the graph of a version is."""
+    def _graph_entry(self, version: int) -> dict | None:
+        """{dir, base, max_entities} of the graph of a version, or None where there is none that can be read."""
         try:
-            name = json.loads(self._read_text(f"{self.path}/graphs/{version:08d}.json"))["dir"] if self._entry(version) else None
-        except (ValueError, KeyError, TypeError, Py4JJavaError):
+            found = json.loads(self._read_text(f"{self.path}/graphs/{version:08d}.json")) if self._entry(version) else None
+        except (ValueError, Py4JJavaError):
             return None
-        return name and f"{self.path}/{name}"
+        return found if isinstance(found, dict) and isinstance(found.get("dir"), str) else None
+
+    def _graph(self, version: int) -> str | None:
+        """Where the graph of a version is."""
+        entry = self._graph_entry(version)
+        return entry and f"{self.path}/{entry['dir']}"
+
+    def build_graph(self, extract: Callable[[DataFrame], DataFrame], min_cooccur: int, max_entities: int, version: int | None = None) -> None:
+        """Stores the graph of a version, brought up to date from the last version before it that has one.
 
-    def save_graph(self, edges: DataFrame, mentions: DataFrame, version: int | None = None) -> None:
-        """Stores the graph of a version; Conflict where it has one."""
+        ``extract`` gives (id, entities) of chunks, and is asked only for chunks whose id or text the older graph hasn't got. The
+        pairs of these, and of chunks that went, are added to the stored pairs with their sign. Conflict where the version has
+        a graph already.
+        """
         version = self.version if version is None else version
+        now = self.table("chunks", version).select("chunk_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("document_hash"), "text")
+        base = next((v for v in self._numbers() if v < version and (self._graph_entry(v) or {}).get("max_entities") == max_entities), None)
+        old = self.table("lists", base) if base else self.spark.createDataFrame([], GRAPH["lists"])
+        key = ["chunk_id", "document_hash"]
+        came, stays, went = now.join(old.select(*key), key, "left_anti"), old.join(now.select(*key), key, "left_semi"), old.join(now.select(*key), key, "left_anti")
+        entities = extract(came.select("chunk_id", "text")).select(F.col("id").cast("string").alias("chunk_id"), "entities")
         name = f"g{version:08d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.path}/{name}"
         try:
-            edges.select("u", "v", F.col("weight").cast("double")).write.parquet(f"{self.path}/{name}/edges")
-            mentions.select("entity", F.col("id").cast("string").alias("chunk_id")).write.parquet(f"{self.path}/{name}/mentions")
-            self._swap(f"{self.path}/graphs/{version:08d}.json", json.dumps({"dir": name}))
+            added = came.select(*key).join(entities, "chunk_id").select("chunk_id", "document_hash", "entities")
+            stays.select(*GRAPH["lists"].names).unionByName(added).write.parquet(f"{target}/lists")
+            lists = self.spark.read.schema(GRAPH["lists"]).parquet(f"{target}/lists")
+            new = lists.join(came.select(*key), key, "left_semi") if base else lists
+            pairs = graph.merged_pairs(self.table("pairs", base) if base else self.spark.createDataFrame([], GRAPH["pairs"]), new, went, max_entities)
+            pairs.select("u", "v", F.col("weight").cast("double")).write.parquet(f"{target}/pairs")
+            self.spark.read.schema(GRAPH["pairs"]).parquet(f"{target}/pairs").filter(F.col("weight") >= min_cooccur).write.parquet(f"{target}/edges")
+            graph.mentions(lists.withColumnRenamed("chunk_id", "id")).select("entity", F.col("id").alias("chunk_id")).write.parquet(f"{target}/mentions")
+            self._swap(f"{self.path}/graphs/{version:08d}.json", json.dumps({"dir": name, "base": base, "max_entities": max_entities}))
         except BaseException:
-            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+            self._fs.delete(self._path(target), True)
             raise
 
     def load_graph(self, version: int | None = None) -> tuple[DataFrame, DataFrame]:

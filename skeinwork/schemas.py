@@ -21,6 +21,7 @@ CHUNKS = _struct(*_SOURCE, ("chunk_id", "string"), ("chunk_index", "int"), ("pag
 VECTORS = _struct(("chunk_id", "string"), ("embedding", T.ArrayType(T.FloatType())))
 TOKENS = _struct(("chunk_id", "string"), ("document_hash", "string"), ("tokens", _STRINGS))
 EDGES = _struct(("u", "string"), ("v", "string"), ("weight", "double"))
+ENTITY_LISTS = _struct(("chunk_id", "string"), ("document_hash", "string"), ("entities", _STRINGS))
 MENTIONS = _struct(("entity", "string"), ("chunk_id", "string"))
 MANIFEST_SOURCES = _struct(*_SOURCE, ("chunk_ids", _STRINGS))
 RANKED = _struct(("query_id", "string"), ("chunk_id", "string"), ("score", "double"), ("rank", "int"))
