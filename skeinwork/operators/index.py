@@ -16,10 +16,11 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
+from urllib.parse import quote
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +44,7 @@ GRAPH = {"edges": schemas.EDGES, "mentions": schemas.MENTIONS, "pairs": schemas.
 #: older segments, and sources that went from older parts.
 SEGMENTS = segment_schema(T.StringType())
 INNER = {"segments": SEGMENTS, "terms": T.StructType([SEGMENTS[c] for c in ("term", "df", "max_tf", "least_ratio")]), "places": T.StructType([SEGMENTS["segment"], T.StructField("place", T.IntegerType())]), "gone": T.StructType([T.StructField("source_id", T.StringType())])}
+RECORDS = {"errors": schemas.ERRORS, "progress": schemas.PROGRESS}
 _PART, _OWNER = T.StructField("part", T.LongType()), T.StructField("source_id", T.StringType())
 
 
@@ -243,9 +245,10 @@ class IndexStore:
         number = max(numbers, default=0) + 1
         directory = f"v{number:08d}-{uuid.uuid4().hex[:8]}"
         target = f"{self.path}/{directory}"
+        self._written: dict[str, int] = {}
         try:
             made = write(target, number)
-            entry = {"version": number, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION, "lexical": made["lexical"]}
+            entry = {"version": number, "fingerprint": fingerprint(config), "schema_version": SCHEMA_VERSION, "lexical": made["lexical"], "written": self._written}
             entry["parts"] = [*made["before"], {"dir": directory, "number": number, "gone": made["gone"]}]
             self._swap(f"{self.path}/log/{number:08d}.json", json.dumps(entry, sort_keys=True, indent=2))
         except BaseException:
@@ -256,8 +259,9 @@ class IndexStore:
     def _write(self, df: DataFrame, name: str, schema: T.StructType, target: str, number: int, spread: bool = False) -> DataFrame:
         """Writes a table of a part, in as few files as its rows need unless ``spread``, and reads it back."""
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("part", F.lit(number).cast("long"))
-        rows = rows if spread else rows.hint("rebalance")
-        rows.write.mode("overwrite").parquet(f"{target}/{name}")
+        rows, seen = rows if spread else rows.hint("rebalance"), Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{target}/{name}")
+        self._written[name] = seen.get["rows"]
         return self._read(name, schema, [{"dir": target.removeprefix(f"{self.path}/")}])
 
     def _write_rows(self, target: str, number: int, new: dict[str, DataFrame], known: DataFrame) -> tuple[DataFrame, dict]:
@@ -385,6 +389,18 @@ class IndexStore:
             raise ValueError("the stored graph is damaged")
         return edges, self.table("mentions", version)
 
+    def record(self, table: str, run: str, batch: int, rows: list[tuple]) -> None:
+        """Keeps the rows of a batch of a run in a table of RECORDS, in place of those it had: a batch that is run again adds none."""
+        schema = T.StructType([f for f in RECORDS[table].fields if f.name not in ("run", "batch")])
+        self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{table}/run={quote(run, safe='')}/batch={batch}")
+
+    def records(self, table: str) -> DataFrame:
+        """The table of all runs; names of runs come back as they were given where those are plain."""
+        if not self._fs.exists(self._path(f"{self.path}/{table}")):
+            return self.spark.createDataFrame([], RECORDS[table])
+        found = self.spark.read.schema(RECORDS[table]).parquet(f"{self.path}/{table}")
+        return found.select(*RECORDS[table].names)
+
     def delete(self, source_id: str | None = None, source_path: str | None = None, config: EngineConfig | None = None) -> int:
         """Removes a source by id or by path, never by name; the number of its chunks. Without a match nothing is published."""
         gone = self.spark.createDataFrame([(source_id, source_path)], "source_id string, source_path string")

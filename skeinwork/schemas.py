@@ -28,4 +28,6 @@ RANKED = _struct(("query_id", "string"), ("chunk_id", "string"), ("score", "doub
 CITATION = _struct(("citation_id", "string"), ("chunk_id", "string"), ("source_id", "string"), ("source_name", "string"), ("source_path", "string"), ("page", "int"), ("chunk_index", "int"), ("snippet", "string"))
 METRIC = _struct(("seq", "bigint"), ("retrieval_ms", "double"), ("candidate_count", "int"), ("selected_count", "int"), ("source_count", "int"), ("manifest_version", "bigint"), ("refused", "boolean"), ("error_category", "string"))
 BENCHMARK = _struct(("schema_version", "int"), ("description", "string"), ("k", "int"), ("corpus", T.ArrayType(_struct(("chunk_id", "string"), ("text", "string")))), ("cases", T.ArrayType(_struct(("id", "string"), ("query", "string"), ("relevant_chunk_ids", _STRINGS)))), ("quality_gates", T.MapType(T.StringType(), T.DoubleType())))
+ERRORS = _struct(("run", "string"), ("batch", "bigint"), ("source", "string"), ("reason", "string"))
+PROGRESS = _struct(("run", "string"), ("batch", "bigint"), ("version", "bigint"), ("upserts", "bigint"), ("deletes", "bigint"), ("chunks", "bigint"), ("ms", "double"))
 FILE_EVENTS = _struct(("seq", "bigint"), ("ts", "timestamp"), ("kind", "string"), ("path", "string"), ("dest", "string"))

@@ -41,7 +41,8 @@ def actions(events: DataFrame, directory: str | None = None) -> DataFrame:
         F.when(kind.isin("deleted", "moved"), F.struct(F.col("path").alias("path"), F.lit(DELETE).alias("action"))).when(kind.isin("created", "modified"), F.struct(F.col("path").alias("path"), F.lit(UPSERT).alias("action"))),
         F.when((kind == "moved") & F.col("dest").isNotNull(), F.struct(F.col("dest").alias("path"), F.lit(UPSERT).alias("action"))),
     )
-    out = events.select("seq", "ts", F.posexplode(rows).alias("part", "x")).filter("x IS NOT NULL").select("seq", "part", "ts", "x.path", "x.action")
+    marks = [c for c in ("size", "mtime_ns") if c in events.columns]
+    out = events.select("seq", "ts", *marks, F.posexplode(rows).alias("part", "x")).filter("x IS NOT NULL").select("seq", "part", "ts", "x.path", "x.action", *marks)
     return out.filter(here(F.col("path")) & ~ignored("path"))
 
 
@@ -62,11 +63,6 @@ def debounced_stream(events: DataFrame, seconds: float = 2, late: str = "10 seco
     return timed.groupBy("path", F.session_window("ts", f"{seconds} seconds").alias("burst")).agg(F.max_by("action", "ts").alias("action"), F.count("*").alias("events"))
 
 
-def first_seen(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each key's events once within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path", "action"])
-
-
 def watch(spark: SparkSession, trigger_rows: DataFrame, changes: Callable[[], DataFrame], apply: Callable[[DataFrame, int], None], on_error: Callable[[int, Exception], None], checkpoint: str) -> StreamingQuery:
     """Compares listings at each micro-batch of ``trigger_rows`` and applies what changed; batches run one after the other.
 
