@@ -7,10 +7,8 @@ import io
 import os
 import re
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,29 +115,37 @@ def pdf_pages(content: bytes, most: int) -> list[tuple[int, str]]:
     return [(i, t) for i, t in enumerate(texts, 1) if t.strip()]
 
 
+def page_reader(most: int, pdf_reader=pdf_pages):
+    """A table function of (content, file_type): a row for each page that has text, numbered as the reader numbers them (all of
+    a word-processor file is one, without a number), or one row with the reason where the file can't be read.
+
+    A reader gets the content and the most pages that a document may have, and gives (page from 1, text) of each page or raises.
+    """
+
+    class Pages:
+        def eval(self, content, kind):
+            try:
+                found = [(None, docx_text(content))] if kind == "docx" else pdf_reader(content, most)
+                for page, text in found:
+                    if text.strip():
+                        yield page, text, None
+            except Exception as e:  # noqa: BLE001  whatever a damaged file brings up is its reason
+                yield None, None, f"{type(e).__name__}: {e}"[:200]
+
+    return F.udtf(Pages, returnType=f"page int, text string, {REASON} string")
+
+
 def pages_of(sources: DataFrame, config: EngineConfig, pdf_reader=pdf_pages) -> tuple[DataFrame, DataFrame]:
     """(source columns, page, text) of all documents, and (source_path, reason) of those that can't be read.
 
-    Plain texts never leave the JVM; word-processor and paged documents are read in batches, each on its own, so that one bad
-    file doesn't stop the others.
+    Plain texts never leave the JVM; word-processor and paged documents are joined laterally with the pages that a table
+    function reads from each, so that one bad file doesn't stop the others.
     """
     names = [f.name for f in SOURCES]
     plain = sources.filter("file_type = 'text'").select(*names, F.lit(None).cast("int").alias("page"), valid_text("content").alias("text"), F.lit(None).cast("string").alias(REASON))
-    most = config.max_pdf_pages
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for row in b.to_dict("records"):
-                content = row.pop("content")
-                try:
-                    found = [(None, docx_text(content))] if row["file_type"] == "docx" else pdf_reader(content, most)
-                    rows += [row | {"page": page, "text": text, REASON: None} for page, text in found]
-                except Exception as e:  # noqa: BLE001  whatever a damaged file brings up is its reason
-                    rows.append(row | {"page": None, "text": None, REASON: f"{type(e).__name__}: {e}"[:200]})
-            yield pd.DataFrame(rows, columns=[*names, "page", "text", REASON]).astype({"page": "Int32"})
-
-    other = sources.filter("file_type IN ('pdf', 'docx')").select(*names, "content").mapInPandas(read, plain.schema)
+    paged = sources.filter("file_type IN ('pdf', 'docx')").select(*names, "content")
+    read = page_reader(config.max_pdf_pages, pdf_reader)
+    other = paged.lateralJoin(read(F.col("content").outer(), F.col("file_type").outer())).select(*names, "page", "text", REASON)
     both = written(plain.unionByName(other), "pages")  # errors, chunks and vectors all read them
     return both.filter(F.col(REASON).isNull()).select(*[f.name for f in PAGES]), both.filter(F.col(REASON).isNotNull()).select("source_path", REASON)
 
