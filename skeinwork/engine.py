@@ -277,6 +277,17 @@ class Engine:
         return self.spark.range(1).select(endpoint_problem(F.lit(url))).first()[0]
 
 
+def ask(spark: SparkSession, root: str, paths: list[str], question: str, use_graph: bool = False, rebuild: bool = False, **parts) -> tuple[str, str]:
+    """The answer to one question about some files and its sources, in one call; the files' collection is built or brought up to
+    date first, and so is its graph where that is used. ``parts`` are those of the engine."""
+    engine = Engine(spark, root, files.collection_name(paths), **parts)
+    engine.prepare(paths, rebuild)
+    if use_graph:
+        engine.build_graph()
+    said, sources = engine.answer(question, use_graph=use_graph)
+    return "".join(said), sources
+
+
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description="Index files and ask questions about them.")
     p.add_argument("--root", required=True)

@@ -80,8 +80,8 @@ def enrich(ranked: DataFrame) -> DataFrame:
 
 
 def last_turns(turns: DataFrame, n: int = 5) -> DataFrame:
-    """The last n rows of each conversation, with their place from the end."""
-    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    """The last n rows of each conversation, with their place from the end; rows of one turn go by role and text."""
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text")))
     return turns.withColumn("back", back).filter(F.col("back") <= n)
 
 

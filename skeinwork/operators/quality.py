@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schemas import BENCHMARK
+from .store import written
+
 #: Queries without an inner word that are searched for at once.
 BLOCK = 500
 
@@ -24,7 +27,7 @@ def holders(docs: DataFrame, queries: DataFrame) -> DataFrame:
     inner = F.array_distinct(F.expr("slice(w, 2, greatest(size(w) - 2, 0))"))
     q = queries.select("query_id", "query", words(F.col("query")).alias("w")).select("query_id", "query", F.explode_outer(inner).alias("word"))
     asked = q.select("word").distinct().filter("word IS NOT NULL")
-    held = docs.filter("text IS NOT NULL").select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(asked, "word")
+    held = written(docs.filter("text IS NOT NULL").select("id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(asked, "word"), "held")
     counts = held.groupBy("word").agg(F.count("*").alias("n"))
     rarest = q.join(counts, "word", "left").groupBy("query_id", "query").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), "word")).alias("word"))
     looked_up = held.join(rarest.filter("word IS NOT NULL"), "word").select("query_id", "query", "id")
@@ -87,10 +90,21 @@ def assert_gates(metrics: DataFrame, gates: dict[str, float]) -> None:
         raise AssertionError("; ".join(f"{r['metric']} {r['value']:.4f} < {r['minimum']}" for r in failed))
 
 
-def load_benchmark(path: str) -> dict:
-    """A benchmark file: an object with a list of cases."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
-    if not isinstance(data, dict) or not isinstance(data.get("cases"), list):
+@dataclass(frozen=True)
+class Benchmark:
+    """A benchmark file: ``cases`` (query_id, query, relevant), ``corpus`` (chunk_id, text), k and the gates of the means."""
+
+    cases: DataFrame
+    corpus: DataFrame
+    k: int
+    gates: dict[str, float]
+
+
+def read_benchmark(spark: SparkSession, path: str) -> Benchmark:
+    """Reads a benchmark file, an object with a list of cases, from any file system; ValueError where it isn't one."""
+    whole = spark.read.option("multiLine", True).schema(BENCHMARK).json(path)
+    heads = whole.select("k", "quality_gates", F.col("cases").isNotNull().alias("sound")).limit(2).collect()
+    if len(heads) != 1 or not heads[0]["sound"]:
         raise ValueError(f"{path} has no list of cases")
-    return data
+    cases = whole.select(F.explode("cases").alias("c")).select(F.col("c.id").alias("query_id"), "c.query", F.col("c.relevant_chunk_ids").alias("relevant"))
+    return Benchmark(cases, whole.select(F.explode("corpus").alias("c")).select("c.chunk_id", "c.text"), heads[0]["k"] or 3, heads[0]["quality_gates"] or {})

@@ -20,6 +20,8 @@ from ..functions.text import DIMENSION, TOKEN, bucket, tokenize
 from .lexical import DIGITS, top_per_query
 
 MAX_QUERIES = 20_000
+#: Tokens whose place a worker remembers at once.
+KNOWN_TOKENS = 1 << 18
 #: Distances that a task holds at once.
 CELLS = 1 << 22
 
@@ -45,6 +47,8 @@ class HashingEmbedder:
                 token = token.lower()
                 at = self._known.get(token)
                 if at is None:
+                    if len(self._known) >= KNOWN_TOKENS:
+                        self._known.clear()
                     at = self._known[token] = int(hashlib.md5(token.encode()).hexdigest()[:4], 16) % self.dimension
                 out[i, at] += 1
         return out

@@ -178,7 +178,7 @@ SELECT doc_id, array_to_string(c, ',') AS cited, array_to_string(list_filter(c,
     "quality_means": f"WITH {_QUALITY} SELECT * FROM means",
     "quality_gates": f"""WITH {_QUALITY}, g AS (SELECT 'recall' AS metric, recall AS value, {GATES["recall"]}::DOUBLE AS minimum FROM means UNION ALL SELECT 'mrr', mrr, {GATES["mrr"]} FROM means
 UNION ALL SELECT 'ndcg', ndcg, {GATES["ndcg"]} FROM means UNION ALL SELECT 'absent', 0, 0.5) SELECT * FROM g WHERE value < minimum""",
-    "history_last5": "SELECT conv_id, turn, role, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5",
+    "history_last5": "SELECT conv_id, turn, role, back FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 5",
     "llm_messages": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations)
 SELECT conv_id, count(*) + 2 AS n, sha256('system:Answer from the documents.' || chr(10) || string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10) || 'user:Question ' || any_value(total)) AS digest FROM r WHERE back <= 5 GROUP BY 1""",
     "enriched_anchors": "SELECT doc_id, length(CASE WHEN doc_id % 5 = 0 THEN text ELSE text END) AS n FROM documents",

@@ -67,7 +67,7 @@ def document_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def endpoint_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("page_id") % 8
-    url = F.when(n == 0, F.replace("url", F.lit("://"), F.lit("://user:pw@"))).when(n == 1, F.lit("http://localhost:8080/v1/")).when(n == 2, F.lit("")).when(n == 3, F.lit("ftp://host/x")).when(n == 4, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
+    url = F.when(n == 0, F.replace("url", F.lit("://"), F.lit("://user:pw@"))).when(n == 1, F.lit("http://localhost:8080/v1/")).when(n == 2, F.lit("")).when(n == 3, F.lit("ftp://host/x")).when(n == 4, F.concat("url", F.lit("/"))).when(n == 5, F.lit("http://127.0.0.2/v1")).when(n == 6, F.lit("http://127.0.0.1:9/v1")).otherwise(F.col("url"))
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(endpoint_problem(url), F.lit("ok")).alias("policy"), clean_endpoint(url).alias("clean"))
 
 
@@ -150,9 +150,9 @@ SELECT source_id, chunk_id, content_sha256 FROM chunks WHERE chunk_id NOT IN (SE
     "stale_sources": f"WITH {_CHUNKS}, {_ONE} SELECT * FROM (SELECT o.source_id, CASE WHEN w.source_id IS NULL THEN 'new' WHEN w.content_sha256 <> o.content_sha256 THEN 'changed' END AS state FROM one o LEFT JOIN was w USING (source_id)) WHERE state IS NOT NULL",
     "document_guard": """SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'path' WHEN doc_id % 10 = 0 THEN 'secret file' WHEN n_chars > 5000 THEN 'too large' WHEN doc_id % 10 IN (2, 3) THEN 'unsupported type' END AS reason,
 CASE WHEN doc_id % 10 IN (0, 2, 3) THEN NULL WHEN doc_id % 10 = 4 THEN 'pdf' ELSE 'text' END AS type FROM documents""",
-    "endpoint_policy": """WITH u AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN 'http://localhost:8080/v1/' WHEN 2 THEN '' WHEN 3 THEN 'ftp://host/x' WHEN 4 THEN url || '/' ELSE url END AS u FROM pages),
+    "endpoint_policy": """WITH u AS (SELECT page_id, CASE page_id % 8 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN 'http://localhost:8080/v1/' WHEN 2 THEN '' WHEN 3 THEN 'ftp://host/x' WHEN 4 THEN url || '/' WHEN 5 THEN 'http://127.0.0.2/v1' WHEN 6 THEN 'http://127.0.0.1:9/v1' ELSE url END AS u FROM pages),
 p AS (SELECT page_id, u, CASE WHEN u = '' THEN 'empty' WHEN length(u) > 2048 THEN 'too long' WHEN NOT regexp_matches(u, '^https?://[^/]') THEN 'scheme' WHEN regexp_matches(u, '^https?://[^/@]*@') THEN 'credentials'
-  WHEN u LIKE 'http://%' AND NOT regexp_matches(u, '^http://(localhost|127[.][0-9.]+|\\[::1\\])([:/]|$)') THEN 'remote http' ELSE 'ok' END AS policy FROM u)
+  WHEN u LIKE 'http://%' AND NOT regexp_matches(u, '^http://(localhost|127[.]0[.]0[.]1|\\[::1\\])([:/]|$)') THEN 'remote http' ELSE 'ok' END AS policy FROM u)
 SELECT page_id, policy, CASE WHEN policy = 'ok' THEN rtrim(u, '/') END AS clean FROM p""",
     "legacy_names": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND source <> '' THEN source ELSE 'legacy' END AS identity FROM documents",
     "metrics_summary": """WITH l AS (SELECT event_id AS seq, value, event_type, CASE WHEN event_id % 50 = 7 THEN event_type END AS err FROM events ORDER BY event_id DESC LIMIT 100)

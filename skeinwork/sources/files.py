@@ -36,6 +36,11 @@ def source_id(path: str) -> str:
     return hashlib.sha256(os.path.normcase(canonical_path(path)).encode()).hexdigest()
 
 
+def collection_name(paths: list[str]) -> str:
+    """The name of the collection of some files, whatever their order."""
+    return "rag_" + hashlib.md5("|".join(sorted(canonical_path(p) for p in paths)).encode()).hexdigest()[:8]
+
+
 def parse_paths(text: str | None) -> list[str]:
     """Paths between commas of either width."""
     return [p for p in (x.strip() for x in re.split("[,，]", text or "")) if p]
