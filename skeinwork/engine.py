@@ -214,8 +214,11 @@ class Engine:
     def retrieve(self, question: str, version: int | None = None) -> DataFrame:
         """Ranked chunks of one question over its sub-queries, cut where scores drop."""
         parts = self.sub_queries(question)
-        queries = self.spark.createDataFrame([(i, "q", q) for i, q in enumerate(parts)], "query_id int, parent_id string, query string")
-        merged = fusion.merge_sub_queries(self.hybrid(queries.select("query_id", "query"), version=version), queries.select("query_id", "parent_id"))
+        if len(parts) == 1:  # nothing to merge: equal scores stay in the order of the fused lists
+            merged = self.hybrid(self.spark.createDataFrame([("q", parts[0])], "query_id string, query string"), version=version)
+        else:
+            queries = self.spark.createDataFrame([(i, "q", q) for i, q in enumerate(parts)], "query_id int, parent_id string, query string")
+            merged = fusion.merge_sub_queries(self.hybrid(queries.select("query_id", "query"), version=version), queries.select("query_id", "parent_id"))
         return self._materialised(fusion.cut(merged, self.config.min_k, self.config.max_k), version)
 
     def graph_retrieve(self, question: str, version: int | None = None) -> DataFrame:

@@ -256,10 +256,10 @@ class IndexStore:
             raise
         return number
 
-    def _write(self, df: DataFrame, name: str, schema: T.StructType, target: str, number: int, spread: bool = False) -> DataFrame:
-        """Writes a table of a part, in as few files as its rows need unless ``spread``, and reads it back."""
+    def _write(self, df: DataFrame, name: str, schema: T.StructType, target: str, number: int) -> DataFrame:
+        """Writes a table of a part, counts its rows as they pass, and reads it back."""
         rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).withColumn("part", F.lit(number).cast("long"))
-        rows, seen = rows if spread else rows.hint("rebalance"), Observation()
+        seen = Observation()
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{target}/{name}")
         self._written[name] = seen.get["rows"]
         return self._read(name, schema, [{"dir": target.removeprefix(f"{self.path}/")}])
@@ -274,7 +274,7 @@ class IndexStore:
         made = reuse_tokens(chunks, known).select(F.col("id").alias("chunk_id"), "document_hash", "tokens")
         tokens = self._write(made.join(owner, "chunk_id"), "tokens", with_owner("tokens"), target, number)
         segments = build_segments(tokens.select(F.col("chunk_id").alias("id"), "tokens"), f"{number}.{uuid.uuid4().hex[:8]}.")
-        segments = self._write(segments.repartitionByRange("term").sortWithinPartitions("term"), "segments", SEGMENTS, target, number, spread=True)
+        segments = self._write(segments.repartitionByRange("term").sortWithinPartitions("term"), "segments", SEGMENTS, target, number)
         n, size = tokens.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
         return segments, {"chunks": n, "tokens": size}
 
@@ -301,7 +301,7 @@ class IndexStore:
             self._write(places, "places", INNER["places"], target, number)
             n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
             total = {"chunks": total["chunks"] - n, "tokens": total["tokens"] - size}
-        self._write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number, spread=True)
+        self._write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number)
         part = {"dir": target.removeprefix(f"{self.path}/"), "number": number, "gone": ids is not None}
         return {"before": parts, "gone": ids is not None, "lexical": self._counted([*parts, part], {k: total[k] + counts[k] for k in counts})}
 
@@ -310,7 +310,7 @@ class IndexStore:
         whole = {k: replace_sources(self._live(k, parts).select(*TABLES[k].names), new[k], gone) for k in ("sources", "chunks")}
         kept = self._live("vectors", parts).select("chunk_id", "embedding").join(whole["chunks"].select("chunk_id"), "chunk_id", "left_semi")
         segments, counts = self._write_rows(target, number, whole | {"vectors": upsert(kept, new["vectors"], "chunk_id")}, self._live("tokens", parts))
-        self._write(totals_of(segments).repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number, spread=True)
+        self._write(totals_of(segments).repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number)
         return {"before": [], "gone": False, "lexical": self._counted([{"dir": target.removeprefix(f"{self.path}/"), "number": number, "gone": False}], counts)}
 
     def _counted(self, parts: list[dict], counts: dict) -> dict:
