@@ -11,7 +11,7 @@ the unit keeps the best edge that ends there, from which the way back gives the
   u + v a piece that ranks before the merges that used up u and v. Each piece carries its right and left spines for that: the
   lengths of such u and v, and those ranks. Exactly one edge that ends at a place fits the best edge where it starts.
 
-Ids go back to the texts without a row for each word: units that occur often, at most ``MOST_UNITS`` of them, are sent to all
+Ids go back to the texts without a row for each word: units that occur often, at most ``TABLE_BYTES`` of them, are sent to all
 workers; the ids of all others are joined to the texts that have them, by a digest of the text.
 """
 
@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise, unused, with_text
-from .textkit import Hasher, char_offsets, ragged, slices
+from .textkit import Hasher, char_offsets, ragged, slices, utf8
 
 BLANK = "▁"
 NEVER = 2**21 - 1
-#: Units whose ids are sent to all workers; units that a task holds before it sends them on; the places that one step of the
+#: Bytes of ids of units that are sent to all workers; units that a task holds before it sends them on; the places that one step of the
 #: outer fold takes; and the characters of a unit that are taken at once to find its edges.
-MOST_UNITS, MOST_HELD, BLOCK, WINDOW = 1 << 18, 1 << 18, 512, 64
+TABLE_BYTES, MOST_HELD, BLOCK, WINDOW = 96 << 20, 1 << 17, 512, 64
 #: Distinct units whose lattices a task holds; their edges stay in memory when they are sorted.
 UNITS_EACH = 1 << 14
 UNIGRAM, MERGES = 1, 2
@@ -148,13 +148,30 @@ def units(buf: np.ndarray, offs: np.ndarray, v: Vocabulary) -> tuple[bytes, np.n
     return raw, start, end, full[np.searchsorted(begin, at[:-1], "right") - 1] if len(full) else np.zeros(0, np.int64)
 
 
-def distinct_units(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(units, how often each occurs, the number of each place's unit)."""
+@dataclass
+class Distinct:
+    """The distinct units among some places of a buffer."""
+
+    raw: bytes
+    start: np.ndarray
+    end: np.ndarray
+    hashes: tuple[np.ndarray, np.ndarray]
+    n: np.ndarray  # how often each occurs
+    number: np.ndarray  # the unit of each place
+
+    def text(self, i: int) -> str:
+        return self.raw[self.start[i] : self.end[i]].decode()
+
+    def texts(self) -> list[str]:
+        return [self.raw[s:e].decode() for s, e in zip(self.start.tolist(), self.end.tolist(), strict=True)]
+
+
+def distinct_units(raw: bytes, start: np.ndarray, end: np.ndarray) -> Distinct:
     h, g = Hasher(np.frombuffer(raw, np.uint8)).pairs(start, end)
     _, first, number, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
     if not (g[first][number] == g).all():  # two units share one of the two hashes
-        _, first, number, n = np.unique(np.array([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], object), return_index=True, return_inverse=True, return_counts=True)
-    return [raw[s:e].decode() for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)], n, number
+        _, first, number, n = np.unique(np.stack([h, g], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return Distinct(raw, start[first], end[first], (h[first], g[first]), n, number.ravel())
 
 
 def unit_key(unit: str) -> str:
@@ -184,8 +201,8 @@ def corpus_units(docs: DataFrame, path: str) -> DataFrame:
         v, held = vocabulary(path), {}
         for b in batches:
             for _, _, buf, offs in slices(b.column(0)):
-                found, n, _ = distinct_units(*units(buf, offs, v)[:3])
-                for unit, k in zip(found, n.tolist(), strict=True):
+                found = distinct_units(*units(buf, offs, v)[:3])
+                for unit, k in zip(found.texts(), found.n.tolist(), strict=True):
                     held[unit] = held.get(unit, 0) + k
                 if len(held) >= MOST_HELD:
                     yield rows(held, v.longest - 1)
@@ -329,44 +346,76 @@ def spell_out(ids: np.ndarray, row: np.ndarray, zero: int) -> tuple[np.ndarray,
 
 
 class Table:
-    """Ids of units, one after the other; ``numbers`` has the place of each unit, by its key, among them."""
-
-    def __init__(self, unit: list[str], ids: list | np.ndarray, ends: np.ndarray):
-        self.numbers = dict(zip(unit, range(len(unit)), strict=True))
-        self.ids, self.ends = np.asarray(ids, np.int32), np.concatenate([[0], ends]).astype(np.int64)
+    """Ids of units in order of two hashes of their keys, which take the keys' place."""
+
+    def __init__(self, h: np.ndarray, g: np.ndarray, size: np.ndarray, ids: np.ndarray):
+        order = np.lexsort((g, h))
+        self.h, self.g = h[order], g[order]
+        self.ids = ids[ragged((np.cumsum(size) - size)[order], size[order])]
+        self.ends = np.concatenate([[0], np.cumsum(size[order])]).astype(np.int64)
+
+    def find(self, units: Distinct) -> np.ndarray:
+        """The place of each unit, or -1."""
+        h, g = units.hashes
+        long = np.flatnonzero(units.end - units.start > WINDOW)
+        if len(long):  # these go by a digest if they have more characters than that
+            keys = [unit_key(units.text(i)).encode() for i in long.tolist()]
+            ends = np.cumsum([len(k) for k in keys])
+            h, g = h.copy(), g.copy()
+            h[long], g[long] = Hasher(np.frombuffer(b"".join(keys), np.uint8)).pairs(np.append(0, ends[:-1]), ends)
+        at = np.searchsorted(self.h, h)
+        while True:  # on, past others with the same first hash
+            here = np.minimum(at, max(0, len(self.h) - 1))
+            there = at < len(self.h)
+            same = there & (self.h[here] == h) if len(self.h) else there
+            on = same & (self.g[here] != g) if len(self.h) else there
+            if not on.any():
+                return np.where(same, at, -1)
+            at = at + on
+
+
+_PACKED = "h binary, g binary, size binary, ids binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, ids) rows as hashes of the keys, numbers of ids, and ids, a row for each batch."""
+    for b in batches:
+        buf, offs = utf8(b.column(0))
+        h, g = Hasher(buf).pairs(offs[:-1], offs[1:])
+        lists = b.column(1)
+        packed = (h, g, np.diff(lists.offsets.to_numpy()).astype(np.int32), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in packed], names=["h", "g", "size", "ids"])
 
 
 def _frequent(coded: DataFrame) -> tuple[Table, bool]:
-    """The table of the units that occur often, at most ``MOST_UNITS`` of them, and whether there are others."""
+    """The table of the units that occur often, ``TABLE_BYTES`` of them at most, and whether there are others."""
     band = F.floor(F.log2("n")).cast("int")
-    sizes = dict(coded.groupBy(band.alias("band")).count().collect())
+    sizes = dict(coded.groupBy(band.alias("band")).agg(F.sum(20 + 4 * F.size("ids"))).collect())
     held, least = 0, max(sizes, default=0) + 1
-    while least > 0 and held + sizes.get(least - 1, 0) <= MOST_UNITS:
+    while least > 0 and held + sizes.get(least - 1, 0) <= TABLE_BYTES:
         least -= 1
         held += sizes.get(least, 0)
-    t = coded.filter(band >= least).select("key", "ids").toArrow().combine_chunks()
-    lists = t.column("ids").combine_chunks() if t.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    table = Table(t.column("key").to_pylist(), lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(lists.offsets.to_numpy())))
-    return table, least > 0
+    rows = coded.filter(band >= least).select("key", "ids").mapInArrow(_pack, _PACKED).toArrow()
+    whole = [np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("h", np.uint64), ("g", np.uint64), ("size", np.int32), ("ids", np.int32))]
+    del rows
+    return Table(*whole), least > 0
 
 
 def _rare(docs: DataFrame, table, path: str) -> DataFrame:
     """(text_key, key) of the units of each text that the table hasn't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(path), table.value.numbers
+        v, known = vocabulary(path), table.value
         for b in batches:
             column = b.column(0)
             for lo, hi, buf, offs in slices(column):
                 raw, start, end, row = units(buf, offs, v)
-                found, _, number = distinct_units(raw, start, end)
-                found = [unit_key(u) for u in found]
-                other = np.array([u not in known for u in found], bool)
-                some = other[number] if len(number) else np.zeros(0, bool)
-                pairs = np.unique((row[some].astype(np.int64) << 32) | number[some])
+                found = distinct_units(raw, start, end)
+                other = known.find(found) < 0
+                some = other[found.number] if len(found.number) else np.zeros(0, bool)
+                pairs = np.unique((row[some].astype(np.int64) << 32) | found.number[some])
                 keys = [text_key(t) for t in column.slice(lo, hi - lo).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in (pairs >> 32).tolist()], pa.string()), pa.array([found[i] for i in (pairs & 0xFFFFFFFF).tolist()], pa.string())], names=["text_key", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in (pairs >> 32).tolist()], pa.string()), pa.array([unit_key(found.text(i)) for i in (pairs & 0xFFFFFFFF).tolist()], pa.string())], names=["text_key", "key"])
 
     return docs.select("text").filter("text <> ''").mapInArrow(run, "text_key string, key string").distinct()
 
@@ -403,8 +452,9 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
         for b in batches:
             for lo, hi, buf, offs in slices(b.column(at)):
                 raw, start, end, row = units(buf, offs, v)
-                found, _, number = distinct_units(raw, start, end)
-                ids, n = _ids_of([unit_key(u) for u in found], table.value, b.column(b.num_columns - 1).slice(lo, hi - lo).to_pylist() if others else [])
+                found = distinct_units(raw, start, end)
+                number = found.number
+                ids, n = _ids_of(found, table.value, b.column(b.num_columns - 1).slice(lo, hi - lo).to_pylist() if others else [])
                 begin = np.cumsum(n) - n
                 whole = ids[ragged(begin[number], n[number])] if len(number) else np.zeros(0, np.int32)
                 whole, row = join_blanks(*spell_out(whole, np.repeat(row, n[number]), v.zero), v)
@@ -414,18 +464,16 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
     return rows.mapInArrow(run, schema)
 
 
-def _ids_of(found: list[str], table: Table, own: list) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of the units of some keys, number of each), from the table and from what came with the texts."""
-    at = np.array([table.numbers.get(u, -1) for u in found], np.int64)
+def _ids_of(found: Distinct, table: Table, own: list) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of some units, number of each), from the table and from what came with the texts."""
+    at, ids, ends = table.find(found), table.ids, table.ends
     lost = np.flatnonzero(at < 0)
-    if not len(lost):
-        n = table.ends[at + 1] - table.ends[at]
-        return table.ids[ragged(table.ends[at], n)], n
-    more = {x["key"]: x["ids"] for some in own for x in some or ()}
-    extra = [more[found[i]] for i in lost.tolist()]
-    ends = np.concatenate([table.ends, table.ends[-1] + np.cumsum([len(x) for x in extra])])
-    ids = np.concatenate([table.ids, np.concatenate([np.array(x, np.int32) for x in extra])])
-    at[lost] = len(table.ends) - 1 + np.arange(len(lost))
+    if len(lost):
+        more = {x["key"]: x["ids"] for some in own for x in some or ()}
+        extra = [more[unit_key(found.text(i))] for i in lost.tolist()]
+        at[lost] = len(ends) - 1 + np.arange(len(lost))
+        ends = np.concatenate([ends, ends[-1] + np.cumsum([len(x) for x in extra])])
+        ids = np.concatenate([ids, *[np.array(x, np.int32) for x in extra]])
     n = ends[at + 1] - ends[at]
     return ids[ragged(ends[at], n)], n
 
@@ -445,7 +493,7 @@ def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        zero = vocabulary(path).zero
+        zero = model.piece_to_id("<0x00>")
         pieces = [bytes([i - zero]) if model.is_byte(i) else b"" if model.is_control(i) else model.id_to_piece(i).replace(BLANK, " ").encode() for i in range(model.get_piece_size())]
         size = np.array([len(p) for p in pieces])
         flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size

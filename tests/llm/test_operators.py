@@ -497,12 +497,22 @@ def test_sentence_pieces_of_whole_tables(spark, monkeypatch):
     path, d = public_tokenizers.path("piece_bpe_32k.model"), "/root/testdata/sf0.01"
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = by_id(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"))
-    for most in (500, 1 << 18):
-        monkeypatch.setattr(sentence_pieces, "MOST_UNITS", most)
+    for most in (16_000, 96 << 20):
+        monkeypatch.setattr(sentence_pieces, "TABLE_BYTES", most)
         got = by_id(queries.op6_sentence_pieces(spark, d))
         assert len(got) == len(texts) and all(list(got[i]["ids"]) == model.encode(r["text"] or "") and got[i]["same"] for i, r in texts.items())
 
 
+def test_units_that_share_a_hash():
+    table = sentence_pieces.Table(np.array([5, 7, 5], np.uint64), np.array([2, 3, 1], np.uint64), np.array([2, 1, 1]), np.array([20, 21, 30, 10]))
+    asked = [(5, 2), (5, 1), (7, 3), (5, 9), (9, 0), (0, 0)]
+    found = sentence_pieces.Distinct(b"", np.zeros(6, np.int64), np.ones(6, np.int64), tuple(np.array(x, np.uint64) for x in zip(*asked, strict=True)), np.ones(6), np.arange(6))
+    at = table.find(found)
+    assert [table.ids[table.ends[k] : table.ends[k + 1]].tolist() if k >= 0 else None for k in at.tolist()] == [[20, 21], [10], [30], None, None, None]
+    none = sentence_pieces.Table(*[np.zeros(0, t) for t in (np.uint64, np.uint64, np.int32, np.int32)])
+    assert none.find(found).tolist() == [-1] * 6
+
+
 def test_sentence_pieces_of_long_words_and_runs_of_blanks(spark):
     import sentencepiece
 
