@@ -212,7 +212,7 @@ class IndexStore:
         parts, counts = self._parts(version), (self._entry(version) or {}).get("lexical") or {"chunks": 0, "tokens": 0, "mean": None}
         gone = self._read("places", INNER["places"], later).select("segment", "place") if (later := [p for p in parts if p["gone"]]) else None
         n = counts["chunks"]
-        return LexicalIndex(self._read("segments", SEGMENTS, parts).drop("part"), self._terms(parts), n, counts["tokens"] / n if n else None, counts["mean"], gone)
+        return LexicalIndex(self._read("segments", SEGMENTS, parts).drop("part"), self._terms(parts), n, counts["tokens"] / n if n else None, counts["mean"], gone, counts.get("segments"))
 
     def _terms(self, parts: list[dict]) -> DataFrame:
         """Chunks by term over the parts; bounds of terms stay those of all chunks that ever had them."""
@@ -276,7 +276,7 @@ class IndexStore:
         segments = build_segments(tokens.select(F.col("chunk_id").alias("id"), "tokens"), f"{number}.{uuid.uuid4().hex[:8]}.")
         segments = self._write(segments.repartitionByRange("term").sortWithinPartitions("term"), "segments", SEGMENTS, target, number)
         n, size = tokens.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
-        return segments, {"chunks": n, "tokens": size}
+        return segments, {"chunks": n, "tokens": size, "segments": segments.filter("term IS NULL").count()}
 
     def _write_change(self, target: str, number: int, parts: list[dict], old: int, new: dict[str, DataFrame], gone: DataFrame, everything: bool) -> dict:
         """The part of a change, and what the log needs of it."""
@@ -292,7 +292,7 @@ class IndexStore:
             known = self._live("tokens", self._parts(old))
         segments, counts = self._write_rows(target, number, new, known)
         terms = totals_of(segments)
-        total = (self._entry(old)["lexical"] if parts else None) or {"chunks": 0, "tokens": 0}
+        total = (self._entry(old)["lexical"] if parts else None) or {"chunks": 0, "tokens": 0, "segments": 0}
         if ids is not None:
             left = known.select(F.col("chunk_id").alias("id"), "tokens")
             words = left.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -300,7 +300,7 @@ class IndexStore:
             places = self.lexical(old).places.join(left.select("id"), "id", "left_semi")
             self._write(places, "places", INNER["places"], target, number)
             n, size = left.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("tokens"), F.lit(0))), F.lit(0))).first()
-            total = {"chunks": total["chunks"] - n, "tokens": total["tokens"] - size}
+            total |= {"chunks": total["chunks"] - n, "tokens": total["tokens"] - size}
         self._write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms", INNER["terms"], target, number)
         part = {"dir": target.removeprefix(f"{self.path}/"), "number": number, "gone": ids is not None}
         return {"before": parts, "gone": ids is not None, "lexical": self._counted([*parts, part], {k: total[k] + counts[k] for k in counts})}

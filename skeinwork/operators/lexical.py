@@ -32,6 +32,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 DIGITS = 9  # ranks go by scores rounded to so many digits, so that sums in another order don't change them
 #: Most chunks and about the most tokens of a segment, queries that are sent at once, and terms that a scan is asked for by name.
 SEGMENT_CHUNKS, SEGMENT_TOKENS, MAX_QUERIES, MOST_NAMED = 1 << 16, 1 << 22, 5_000, 1_000
+#: Rows of rankings that are sent to all tasks to find their ids; more are joined in a shuffle.
+MOST_SENT = 1 << 20
 #: Sums in another order differ by less than this.
 SLACK = 1e-9
 
@@ -43,7 +45,7 @@ def segment_schema(id_type: T.DataType) -> T.StructType:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """``segments`` as ``build_segments`` makes them, ``terms`` (term, df, max_tf, least_ratio) over all of them, the number of
+    """``segments`` as ``build_segments`` makes them, ``totals`` (term, df, max_tf, least_ratio) over all of them, the number of
     chunks, their mean length, the mean of all terms' raw idf, and places (segment, place) of chunks that have gone since."""
 
     segments: DataFrame
@@ -52,6 +54,7 @@ class LexicalIndex:
     avgdl: float | None
     mean: float | None
     gone: DataFrame | None = None
+    count: int | None = None  # of segments, where it is known
 
     @property
     def terms(self) -> DataFrame:
@@ -160,9 +163,10 @@ def build_index(tokens: DataFrame) -> LexicalIndex:
     The segments are written once, as the terms, the statistics and every ranking read them.
     """
     segments = written(build_segments(tokens), "segments")
-    n, size = segments.filter("term IS NULL").agg(F.coalesce(F.sum("df"), F.lit(0)), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, v: s + v))).first()
+    lists = segments.filter("term IS NULL")
+    n, size, count = lists.agg(F.coalesce(F.sum("df"), F.lit(0)), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, v: s + v)), F.count("*")).first()
     totals = totals_of(segments)
-    return LexicalIndex(segments, totals, n, size / n if n else None, totals.agg(F.avg(raw_idf(n, F.col("df")))).first()[0])
+    return LexicalIndex(segments, totals, n, size / n if n else None, totals.agg(F.avg(raw_idf(n, F.col("df")))).first()[0], count=count)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -334,7 +338,8 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     """
     spark = queries.sparkSession
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", index.segments.schema["ids"].dataType.elementType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
-    blocks = ceil(queries.count() / MAX_QUERIES)
+    asked = queries.count()
+    blocks = ceil(asked / MAX_QUERIES)
     if not blocks or not index.n:
         return spark.createDataFrame([], schema)
     scored, everything = [], (index.mean or 0.0) < 0
@@ -344,6 +349,8 @@ def bm25_top(index: LexicalIndex, queries: DataFrame, k: int) -> DataFrame:
     hits = scored[0]
     for more in scored[1:]:
         hits = hits.unionByName(more)
+    if index.count is not None and k * asked * index.count <= MOST_SENT:
+        hits = F.broadcast(hits)  # so that the ids of all chunks are read where they are and not shuffled
     hits = hits.join(index.places.select("segment", "place", "id"), ["segment", "place"]).select("query_id", "id", "score")
     if not everything:
         first = index.ids.orderBy("id").limit(2 * k).toArrow().column(0).to_pylist()

@@ -1,6 +1,7 @@
 """One-call helpers, the command line, benchmark files, manifests, and chunks of whole tables."""
 
 import hashlib
+import io
 import json
 import os
 
@@ -49,7 +50,7 @@ def test_command_line(spark, tmp_path, papers, capsys, monkeypatch):
     assert "Lantern" in capsys.readouterr().out
     engines.main(["--root", root, "--name", "n", "--graph", "--query", "Harbor"])
     assert "[S1]" in capsys.readouterr().out
-    monkeypatch.setattr("builtins.input", lambda _="": (_ for _ in ()).throw(EOFError))
+    monkeypatch.setattr("sys.stdin", io.StringIO("/quit\n"))
     engines.main(["--root", root, "--name", "n", "--interactive"])
     engines.main(["--root", root, "--name", "n", "--rebuild", "--files", papers[0]])
     assert [r[0] for r in engines.Engine(spark, root, "n").store.table("sources").select("source_name").collect()] == ["harbor.md"]
