@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Chunking, EngineConfig
 from ..functions.text import split_lines, strip
 
+#: Characters of chunks that a task holds before it sends them on.
+HELD_CHARS = 1 << 20
+
 
 def _pieces(text: str, separator: str) -> list[str]:
     """Parts of a text; each but the first begins with the separator."""
@@ -62,14 +66,39 @@ def split_text(text: str | None, how: Chunking) -> list[str]:
     return out
 
 
-def splitter(how: Chunking):
-    """The splitter as a column function."""
+def split_rows(df: DataFrame, how: Chunking, keep: Iterable[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, at (from 0) and chunk: a row for each chunk of each row's text.
+
+    A task holds the chunks of one text and HELD_CHARS characters of those that it sends on, however many rows a batch has.
+    """
+    keep = list(keep)
+    schema = T.StructType([*df.select(*keep).schema.fields, T.StructField("at", T.IntegerType(), False), T.StructField("chunk", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, chunks, held = [], [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in b.columns[:-1]), pa.array(at, pa.int32()), pa.array(chunks, pa.string())], names=schema.names)  # noqa: B023
+
+            for i, value in enumerate(b.column(b.num_columns - 1)):
+                for k, chunk in enumerate(split_text(value.as_py(), how)):
+                    row.append(i)
+                    at.append(k)
+                    chunks.append(chunk)
+                    held += len(chunk)
+                    if held >= HELD_CHARS:
+                        yield sent()
+                        row, at, chunks, held = [], [], [], 0
+            if row:
+                yield sent()
+
+    return df.select(*keep, F.col(text).alias(unused(keep))).mapInArrow(run, schema)
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, how))
 
-    return split
+def unused(columns: list[str]) -> str:
+    """A name that no column has."""
+    return "text" + "_" * max((len(c) for c in columns), default=0)
 
 
 def chunk_pages(pages: DataFrame, config: EngineConfig) -> DataFrame:
@@ -81,7 +110,7 @@ def chunk_pages(pages: DataFrame, config: EngineConfig) -> DataFrame:
     parts = None
     for kind, how in config.chunking.items():
         mine = pages.filter(F.col("file_type") == kind) if kind in ("pdf", "text") else pages.filter(~F.col("file_type").isin("pdf", "text"))
-        some = mine.select("*", F.posexplode(splitter(how)("text")).alias("at", "chunk"))
+        some = split_rows(mine, how, [c for c in pages.columns if c != "text"])
         parts = some if parts is None else parts.unionByName(some)
     index = F.row_number().over(Window.partitionBy("source_id").orderBy(F.asc_nulls_first("page"), "at")) - 1
     source = [c for c in pages.columns if c not in ("page", "text")]

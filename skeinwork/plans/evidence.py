@@ -101,8 +101,8 @@ def enriched_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = EngineConfig().chunking["text"]
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.splitter(how)("text")).alias("chunk_index", "text"))
-    return docs.select("doc_id", "chunk_index", F.length("text").alias("n_chars"), "text")
+    docs = chunking.split_rows(table(spark, sf_dir, "documents"), how, ["doc_id"])
+    return docs.select("doc_id", F.col("at").alias("chunk_index"), F.length("chunk").alias("n_chars"), F.col("chunk").alias("text"))
 
 
 def anchor_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork import engine as engines
-from skeinwork.config import EngineConfig
-from skeinwork.operators import evidence, index, lexical, quality
+from skeinwork.config import Chunking, EngineConfig
+from skeinwork.operators import chunking, evidence, index, lexical, quality
 from skeinwork.plans import catalogue
 from skeinwork.schemas import MANIFEST_SOURCES, SOURCES
 from skeinwork.sources import files
@@ -111,3 +111,14 @@ def test_last_turns_of_one_turn(spark):
     for parts in (1, 3):
         df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(parts)
         assert sorted((r["back"], r["text"]) for r in evidence.last_turns(df, 3).collect()) == [(1, "d"), (2, "b"), (3, "c")]
+
+
+def test_chunks_are_sent_on_before_a_batch_ends(spark, monkeypatch):
+    how = Chunking(20, 5, ("\n", " ", ""))
+    texts = [None, "", "one two three four five six seven eight nine " * 9, "short", "   ", "wörter und zeilen\n" * 30]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "text_ int, text string").coalesce(1)
+    plain = [(k, at, c) for k, t in enumerate(texts) for at, c in enumerate(chunking.split_text(t, how))]
+    for held in (1, 50, 1 << 20):
+        monkeypatch.setattr(chunking, "HELD_CHARS", held)
+        got = chunking.split_rows(df, how, ["text_"])
+        assert got.columns == ["text_", "at", "chunk"] and [tuple(r) for r in got.collect()] == plain
