@@ -10,20 +10,21 @@ from itertools import islice
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import DIMENSION, TOKEN, bucket, tokenize
 from .lexical import DIGITS, top_per_query
+from .store import runs
 
 MAX_QUERIES = 20_000
 #: Tokens whose place a worker remembers at once.
-KNOWN_TOKENS = 1 << 18
-#: Distances that a task holds at once.
-CELLS = 1 << 22
+KNOWN_TOKENS = 1 << 16
+#: Distances that a task holds at once, and bytes of texts that it has embedded at once.
+CELLS, TEXT_BYTES = 1 << 19, 1 << 20
 
 
 class Embedder(Protocol):
@@ -55,12 +56,15 @@ class HashingEmbedder:
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", name: str = "embedding") -> DataFrame:
-    """Adds the vectors of a text column, batch by batch."""
+    """Adds the vectors of a text column, by runs of texts of TEXT_BYTES or of one longer text; null is the empty text."""
 
-    @F.pandas_udf("array<float>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series(list(embedder.encode(b.fillna("").tolist())))
+            sizes = pc.binary_length(b).fill_null(0).to_numpy(zero_copy_only=False)
+            rows = [np.asarray(embedder.encode([t or "" for t in b.slice(lo, hi - lo).to_pylist()]), np.float32) for lo, hi in runs(sizes, TEXT_BYTES)]
+            ends = np.concatenate([[0], np.cumsum([len(r) for part in rows for r in part])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([part.ravel() for part in rows] or [np.zeros(0, np.float32)])))
 
     return df.withColumn(name, encode(text))
 

@@ -1,9 +1,11 @@
 import math
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork.functions.text import tokenize
 from skeinwork.operators import fusion, graph, lexical, quality, vector
 from skeinwork.plans import catalogue, retrieval
 
@@ -181,3 +183,29 @@ def test_extraction_by_a_model(spark):
     got = {r["id"]: r["entities"] for r in graph.extract_with(rows, "id", ask, size=1).collect()}
     assert got == {1: ["alpha 5"], 2: [], 3: ["alpha 5"], 4: ["bbbbb 1500"], 5: []}
     assert graph.extract_with(rows.limit(0), "id", ask).count() == 0
+
+
+def test_steps_follow_bytes_and_not_batches(spark, monkeypatch):
+    """One batch of many rows is made into several segments, its texts are embedded by runs, and its lists unpacked by runs."""
+    monkeypatch.setattr(lexical, "SEGMENT_TOKENS", 50)
+    monkeypatch.setattr(lexical, "LIST_BYTES", 100)
+    monkeypatch.setattr(vector, "TEXT_BYTES", 64)
+    rng = random.Random(5)
+    texts = [(k, None if k % 17 == 3 else " ".join(rng.choice(["red", "blue", "green", f"w{k % 9}"]) for _ in range(rng.choice([0, 3, 9, 70])))) for k in range(60)]
+    df = spark.createDataFrame(texts, "id long, text string").coalesce(1)
+    cut = lexical.build_index(df.select("id", tokenize("text").alias("tokens")))
+    held = cut.segments.filter("term IS NULL").select("segment", "df", F.expr("aggregate(lengths, 0L, (s, v) -> s + v)").alias("n")).collect()
+    assert len(held) > 5 and all(r["n"] <= 50 or r["df"] == 1 for r in held) and sum(r["df"] for r in held) == 60
+    monkeypatch.setattr(lexical, "SEGMENT_TOKENS", 1 << 21)
+    whole = lexical.build_index(df.select("id", tokenize("text").alias("tokens")))
+    asked = spark.createDataFrame([(1, "red w1 w2"), (2, "blue"), (3, "none")], "query_id long, query string")
+    assert sorted(map(tuple, lexical.bm25_top(cut, asked, 20).collect())) == sorted(map(tuple, lexical.bm25_top(whole, asked, 20).collect()))
+
+    class Few(vector.HashingEmbedder):
+        def encode(self, some):
+            assert len(some) == 1 or sum(len(t.encode()) for t in some) <= 64
+            return super().encode(some)
+
+    got = dict(vector.embed(df, Few()).select("id", "embedding").collect())
+    want = vector.HashingEmbedder().encode([t for _, t in texts])
+    assert all(got[k] == want[k].tolist() for k in range(60))
