@@ -106,3 +106,20 @@ def test_answers_are_kept_by_text(spark, tmp_path):
     assert {r["key"] for r in graph.cached(spark, cache).collect()} == {r[0] for r in df.filter("id IN (1, 2)").select(F.sha2("text", 256)).collect()}
     before = asked.value
     assert run(df.filter("id < 4").unionByName(spark.createDataFrame([(6, "Omega")], df.schema)))[2] == first[2] and asked.value == before + 1
+
+
+def test_tasks_of_pairs_and_of_later_hops_are_bounded(spark, monkeypatch):
+    """As many tasks as the rows take, whatever the number of shuffle partitions; the results stay."""
+    r = random.Random(3)
+    data = [(r.randrange(60), r.randrange(40)) for _ in range(900)]
+    df = spark.createDataFrame(data, "g long, i long")
+    lists = df.groupBy(F.col("g").alias("id")).agg(F.sort_array(F.collect_set(F.col("i").cast("string"))).alias("entities"))
+    asked = spark.createDataFrame([(q, str(q)) for q in range(9)], "query_id long, entity string")
+    two = lambda: rows(graph.related(graph.edges(lists, count=60), asked, max_hops=2, top_k=15), "query_id", "entity", "score", "rank")
+    before = two()
+    for name, each in (("ROWS_EACH", 50), ("PAIRS_EACH", 100), ("LISTS_EACH", 5)):
+        monkeypatch.setattr(graph, name, each)
+    assert two() == before
+    counted = graph.pair_counts(df, "g", "i")
+    assert rows(counted, "u", "v", "weight") == plain_pairs(data, 2)
+    assert counted.rdd.getNumPartitions() > 18
