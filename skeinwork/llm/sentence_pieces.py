@@ -37,6 +37,8 @@ NEVER = 2**21 - 1
 #: Bytes of ids of units that are sent to all workers; units that a task holds before it sends them on; the places that one step of the
 #: outer fold takes; and the characters of a unit that are taken at once to find its edges.
 TABLE_BYTES, MOST_HELD, BLOCK, WINDOW = 96 << 20, 1 << 17, 512, 64
+#: Ids that are decoded and sent on at once.
+MOST_IDS = 1 << 18
 #: Distinct units whose lattices a task holds; their edges stay in memory when they are sorted.
 UNITS_EACH = 1 << 14
 UNIGRAM, MERGES = 1, 2
@@ -499,13 +501,16 @@ def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids
         flat, begin = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(size) - size
         for b in batches:
             column = b.column(at)
-            lists = pa.array(column.to_pylist(), pa.list_(pa.int32())) if column.offset else column
-            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = []
-            for lo, hi, there in zip(ends[:-1].tolist(), ends[1:].tolist(), lists.is_valid().to_pylist(), strict=True):
-                own = values[lo:hi] if there else values[:0]
-                raw = flat[ragged(begin[own], size[own])].tobytes()
-                texts.append(raw.removeprefix(b" ").decode(errors="replace"))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=schema.names)
+            values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+            first = 0
+            while first < b.num_rows:  # on, by MOST_IDS ids or one row of more
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + MOST_IDS, "right")) - 1)
+                texts = []
+                for i in range(first, last):
+                    own = values[ends[i] : ends[i + 1]] if there[i] else values[:0]
+                    raw = flat[ragged(begin[own], size[own])].tobytes()
+                    texts.append(raw.removeprefix(b" ").decode(errors="replace"))
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[: len(keep)]), pa.array(texts, pa.string())], names=schema.names)
+                first = last
 
     return rows.mapInArrow(run, schema)
