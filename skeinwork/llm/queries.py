@@ -43,7 +43,7 @@ def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = public_tokenizers.path(PIECE_BPE)
     docs = table(spark, sf_dir, "documents").withColumn("given", F.sha2(F.coalesce("text", F.lit("")), 256))
-    out = sentence_pieces.decode(sentence_pieces.encode(docs, path, ("doc_id", "given")), path, ("doc_id", "given", "ids"))
+    out = sentence_pieces.round_trip(docs, path, ("doc_id", "given"))
     decoded = F.sha2("text", 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), decoded.alias("text_sha256"), (decoded == F.col("given")).alias("same"))
 

@@ -17,10 +17,11 @@ workers; the ids of all others are joined to the texts that have them, by a dige
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -216,25 +217,40 @@ def corpus_units(docs: DataFrame, path: str) -> DataFrame:
     return found.repartition(max(1, math.ceil(found.count() / UNITS_EACH)), "key")
 
 
+@contextlib.contextmanager
+def grouped_in_order(spark: SparkSession) -> Iterator[None]:
+    """Plans made in this block group rows that are sorted by the key one after the other, without a table of groups."""
+    name = "spark.sql.execution.replaceHashWithSortAgg"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if old is None else spark.conf.set(name, old)
+
+
 def lattice(words: DataFrame, pieces: DataFrame, longest: int, unknown: float = 0.0) -> DataFrame:
     """(key, n, ends): for each place of a unit the edges that end there, the longest first.
 
     ``id`` of an edge for a character without a piece is -1 less its code point. Rows of a unit stay where ``words`` put
-    them, so neither grouping here moves anything.
+    them, so neither grouping here moves anything; units are sorted and their edges made in order of places, so sorting
+    edges finds them in order (in ``grouped_in_order`` that is all that grouping needs).
     """
-    part = words.select("key", "n", "base", F.coalesce("part", "key").alias("part"))
-    size = F.length("part")
-    at = part.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(WINDOW), size))).alias("start"))
-    cut = at.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start") + 1))).alias("len"))
-    cut = cut.select("key", "n", (F.col("base") + F.col("start") - 1).alias("start"), "len", F.substring("part", F.col("start"), F.col("len")).alias("piece"))
+    part = words.select("key", "n", "base", F.coalesce("part", "key").alias("part")).sortWithinPartitions("key", "n", "base")
+    last = F.least(F.lit(WINDOW + longest - 1), F.length("part"))
+    at = part.select("*", F.explode(F.sequence(F.lit(1), last)).alias("last"))
+    cut = at.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("last") - longest + 1), F.least(F.lit(WINDOW), F.col("last")))).alias("first"))
+    length = F.col("last") - F.col("first") + 1
+    cut = cut.select("key", "n", (F.col("base") + F.col("first") - 1).alias("start"), length.alias("len"), F.substring("part", F.col("first"), length).alias("piece"))
     found = cut.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR len = 1")
     alone = F.array(F.lit((NEVER << LENGTH_BITS) + 1))
     edge = F.struct(
         "start", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("rank", F.lit(NEVER)).alias("rank"),
         F.coalesce("score", F.lit(unknown).cast("float")).alias("score"), F.coalesce("right", alone).alias("right"), F.coalesce("left", alone).alias("left"),
     ).cast(_EDGE)
-    ends = found.groupBy("key", "n", (F.col("start") + F.col("len")).alias("end")).agg(F.array_sort(F.collect_list(edge), lambda a, b: a["start"] - b["start"]).alias("edges"))
-    places = F.array_sort(F.collect_list(F.struct("end", "edges")), lambda a, b: a["end"] - b["end"])
+    edges = found.select("key", "n", (F.col("start") + F.col("len")).alias("end"), edge.alias("edge")).sortWithinPartitions("key", "n", "end", "edge.start")
+    ends = edges.groupBy("key", "n", "end").agg(F.sort_array(F.collect_list("edge")).alias("edges")).sortWithinPartitions("key", "n", "end")
+    places = F.sort_array(F.collect_list(F.struct("end", "edges")))
     return ends.groupBy("key", "n").agg(F.transform(places, lambda x: x["edges"]).alias("ends"))
 
 
@@ -249,58 +265,54 @@ def segment(rows: DataFrame, kind: int, longest: int) -> DataFrame:
     The fold looks back at the last ``longest`` places only, and what it keeps for the way back grows by blocks: both are
     linear in a unit's length. Ids below zero stand for code points, see ``lattice``.
     """
-    back_type = "array<struct<start:int,id:int>>"
-    before_type = "array<float>" if kind == UNIGRAM else f"array<{_SPINE}>"
+    keeps, kept = ("total", "float") if kind == UNIGRAM else ("right", _SPINE)
+    place = f"struct<{keeps}:{kept},start:int,id:int>"
 
-    def by_score(i: Column, window: Column) -> Column:
+    def by_score(edges: Column, before) -> Column:
         def better(acc: Column, e: Column) -> Column:
-            total = F.when(e["start"] == 0, e["score"]).otherwise(F.get(window, i - e["start"]) + e["score"]).cast("float")
+            total = F.when(e["start"] == 0, e["score"]).otherwise(before(e) + e["score"]).cast("float")
             return _once(total, lambda t: F.when(acc.isNull() | (acc["total"] < t), F.struct(t.alias("total"), e["start"].alias("start"), e["id"].alias("id"))).otherwise(acc))
 
-        return F.aggregate(F.get(F.col("ends"), i), F.lit(None).cast("struct<total:float,start:int,id:int>"), better)
+        return F.aggregate(edges, F.lit(None).cast(place), better)
 
-    def by_merges(i: Column, window: Column) -> Column:
+    def by_merges(edges: Column, before) -> Column:
         def crossed(e: Column) -> Column:
-            border, left = e["start"], F.get(window, i - e["start"])
+            border = e["start"]
             until, length = lambda x: F.shiftright(x, LENGTH_BITS), lambda x: x.bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
-            merge = lambda v, x: (x["start"] < border) & (x["rank"] <= until(v)) & F.exists(left, lambda r: (length(r) == border - x["start"]) & (x["rank"] < until(r)))
+            merge = lambda v, x: (x["start"] < border) & (x["rank"] <= until(v)) & F.exists(before(e), lambda r: (length(r) == border - x["start"]) & (x["rank"] < until(r)))
             return F.exists(e["left"], lambda v: F.exists(F.get(F.col("ends"), border + length(v) - 1), lambda x: merge(v, x)))
 
         fits = lambda acc, e: F.when(acc.isNotNull(), acc).when((e["start"] == 0) | ~crossed(e), F.struct(e["right"].alias("right"), e["start"].alias("start"), e["id"].alias("id")))
-        return F.aggregate(F.get(F.col("ends"), i), F.lit(None).cast(f"struct<right:{_SPINE},start:int,id:int>"), fits)
-
-    best, keeps = (by_score, "total") if kind == UNIGRAM else (by_merges, "right")
+        return F.aggregate(edges, F.lit(None).cast(place), fits)
 
-    def step(state: Column, i: Column) -> Column:
-        window = lambda b: F.slice(F.concat(F.array(b[keeps]), state["window"]), F.lit(1), F.lit(longest))
-        return _once(best(i - 1, state["window"]), lambda b: F.struct(window(b).alias("window"), F.array_append(state["part"], F.struct(b["start"].alias("start"), b["id"].alias("id"))).alias("part")))
-
-    def places(k: Column) -> tuple[Column, Column]:
-        return k * BLOCK + 1, F.least(F.col("size"), (k + 1) * BLOCK)
+    best = by_score if kind == UNIGRAM else by_merges
+    blocks = F.ceil(F.size("ends") / BLOCK).cast("int")
+    held = lambda k: F.least(k * BLOCK, F.lit(longest))  # noqa: E731 (how many places before its own a block knows)
 
     def block(state: Column, k: Column) -> Column:
-        start = F.struct(state["window"].alias("window"), F.array().cast(back_type).alias("part"))
-        inner = F.aggregate(F.sequence(*places(k)), start, step)
-        return _once(inner, lambda s: F.struct(s["window"].alias("window"), F.array_append(state["parts"], s["part"]).alias("parts")))
+        before = lambda bests: lambda e: F.get(bests, e["start"] - 1 - k * BLOCK + held(k))[keeps]
+        inner = F.aggregate(F.slice("ends", k * BLOCK + 1, F.lit(BLOCK)), state["window"], lambda bests, edges: F.array_append(bests, best(edges, before(bests))))
+        window = lambda bests: F.slice(bests, F.greatest(F.lit(1), F.size(bests) - longest + 1), F.lit(longest))
+        return _once(inner, lambda b: F.struct(window(b).alias("window"), F.array_append(state["parts"], F.slice(b, held(k) + 1, F.lit(BLOCK))).alias("parts")))
 
-    sized = rows.select("key", "n", F.size("ends").alias("size"), "ends")
-    begin = F.struct(F.array().cast(before_type).alias("window"), F.array().cast(f"array<{back_type}>").alias("parts"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    walked = sized.select("key", "n", "size", F.aggregate(F.sequence(F.lit(0), blocks - 1), begin, block, lambda s: s["parts"]).alias("parts"))
+    begin = F.struct(F.array().cast(f"array<{place}>").alias("window"), F.array().cast(f"array<array<{place}>>").alias("parts"))
+    walked = F.aggregate(F.sequence(F.lit(0), blocks - 1), begin, block, lambda s: s["parts"])
 
     def hop(acc: Column, i: Column, part: Column) -> Column:
         here = F.get(part, (i - 1) % BLOCK)
         return F.when(acc["at"] == i, F.struct(here["start"].alias("at"), F.array_append(acc["path"], here["id"]).alias("path"))).otherwise(acc)
 
-    def back(acc: Column, k: Column) -> Column:
-        low, high = places(k)
-        start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("path"))
-        inner = F.aggregate(F.sequence(high, low, F.lit(-1)), start, lambda a, i: hop(a, i, F.get(F.col("parts"), k)))
-        return _once(inner, lambda s: F.struct(s["at"].alias("at"), F.array_append(acc["paths"], s["path"]).alias("paths")))
+    def way_back(parts: Column) -> Column:
+        def back(acc: Column, k: Column) -> Column:
+            start = F.struct(acc["at"].alias("at"), F.array().cast("array<int>").alias("path"))
+            places = F.sequence(F.least(F.size("ends"), (k + 1) * BLOCK), k * BLOCK + 1, F.lit(-1))
+            inner = F.aggregate(places, start, lambda a, i: hop(a, i, F.get(parts, k)))
+            return _once(inner, lambda s: F.struct(s["at"].alias("at"), F.array_append(acc["paths"], s["path"]).alias("paths")))
+
+        end = F.struct(F.size("ends").alias("at"), F.array().cast("array<array<int>>").alias("paths"))
+        return F.aggregate(F.sequence(blocks - 1, F.lit(0), F.lit(-1)), end, back, lambda s: s["paths"])
 
-    end = F.struct(F.col("size").alias("at"), F.array().cast("array<array<int>>").alias("paths"))
-    paths = F.aggregate(F.sequence(F.size("parts") - 1, F.lit(0), F.lit(-1)), end, back, lambda s: s["paths"])
-    return walked.select("key", "n", F.reverse(F.flatten(paths)).alias("ids"))
+    return rows.select("key", "n", F.reverse(F.flatten(_once(walked, way_back))).alias("ids"))
 
 
 @functools.lru_cache(maxsize=4096)
@@ -427,16 +439,12 @@ def text_key(text: str) -> str:
     return hashlib.md5(text.encode(), usedforsecurity=False).hexdigest()
 
 
-def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ids array<int> of every row's whole text: the ids of the model, without begin or end.
-
-    Null and empty texts have no ids; repeated rows have equal ids; an empty table gives no rows. Where ``keep`` has a column
-    ids, the new one is called ids_ (see ``unused``). Work and memory are linear in the length of a text, of a word, and of a
-    run of blanks. A model that is no unigram or merging one, or that normalizes texts, is refused.
-    """
+def _encoding(docs: DataFrame, path: str, keep: tuple[str, ...]) -> tuple[DataFrame, Callable, T.StructType]:
+    """Rows, what turns batches of them into batches of ``keep`` columns and ids, and the schema of those; see ``encode``."""
     spark, v = docs.sparkSession, vocabulary(path)
     edges = lattice(corpus_units(docs, path), piece_table(spark, path), v.longest, v.unknown)
-    coded = materialise(segment(edges, v.kind, v.longest), "units")
+    with grouped_in_order(spark):
+        coded = materialise(segment(edges, v.kind, v.longest), "units")
     frequent, others = _frequent(coded)
     table = spark.sparkContext.broadcast(frequent)
     schema = docs.select(*keep).schema
@@ -463,6 +471,17 @@ def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> D
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[: len(keep)]), pa.ListArray.from_arrays(pa.array(ends), pa.array(whole, pa.int32()))], names=schema.names)
 
+    return rows, run, schema
+
+
+def encode(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and ids array<int> of every row's whole text: the ids of the model, without begin or end.
+
+    Null and empty texts have no ids; repeated rows have equal ids; an empty table gives no rows. Where ``keep`` has a column
+    ids, the new one is called ids_ (see ``unused``). Work and memory are linear in the length of a text, of a word, and of a
+    run of blanks. A model that is no unigram or merging one, or that normalizes texts, is refused.
+    """
+    rows, run, schema = _encoding(docs, path, keep)
     return rows.mapInArrow(run, schema)
 
 
@@ -480,16 +499,8 @@ def _ids_of(found: Distinct, table: Table, own: list) -> tuple[np.ndarray, np.nd
     return ids[ragged(ends[at], n)], n
 
 
-def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
-    """``keep`` columns and the text of ``ids`` array<int>: bytes of all pieces together, marks as blanks, without the first one.
-
-    Null and empty ids give the empty text, and so do control pieces; bytes that are no text become replacement characters;
-    repeated rows give equal texts; an empty table gives no rows. ``keep`` may have the ids; where it has a column text, the
-    new one is called text_ (see ``unused``).
-    """
-    schema = coded.select(*keep).schema
-    schema = schema.add(unused(keep, "text"), "string")
-    rows, at = with_text(coded, keep, ids)
+def _decoding(path: str, at: int, kept: int, names: list[str]) -> Callable:
+    """What turns batches with ids in column ``at`` into batches of the first ``kept`` columns and texts; see ``decode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -510,7 +521,31 @@ def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids
                     own = values[ends[i] : ends[i + 1]] if there[i] else values[:0]
                     raw = flat[ragged(begin[own], size[own])].tobytes()
                     texts.append(raw.removeprefix(b" ").decode(errors="replace"))
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[: len(keep)]), pa.array(texts, pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in b.columns[:kept]), pa.array(texts, pa.string())], names=names)
                 first = last
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def decode(coded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+    """``keep`` columns and the text of ``ids`` array<int>: bytes of all pieces together, marks as blanks, without the first one.
+
+    Null and empty ids give the empty text, and so do control pieces; bytes that are no text become replacement characters;
+    repeated rows give equal texts; an empty table gives no rows. ``keep`` may have the ids; where it has a column text, the
+    new one is called text_ (see ``unused``).
+    """
+    schema = coded.select(*keep).schema
+    schema = schema.add(unused(keep, "text"), "string")
+    rows, at = with_text(coded, keep, ids)
+    return rows.mapInArrow(_decoding(path, at, len(keep), schema.names), schema)
+
+
+def round_trip(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, ids and the text decoded from them: ``decode`` of ``encode``, in the workers that encode.
+
+    So no second worker stands beside each of those, and ids are sent to the JVM once and not back.
+    """
+    rows, run, coded = _encoding(docs, path, keep)
+    schema = T.StructType([*coded.fields, T.StructField(unused(coded.names, "text"), T.StringType())])
+    back = _decoding(path, len(keep), len(coded.names), schema.names)
+    return rows.mapInArrow(lambda batches: back(run(batches)), schema)

@@ -563,6 +563,46 @@ def test_sentence_pieces_of_models_of_scores(spark, tmp_path):
     assert {i: x["text"] for i, x in by_id(sentence_pieces.decode(coded, path)).items()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_sentence_pieces_groups_sorted_edges_as_they_come(spark):
+    """No table of groups and no second sort: each hash aggregate cost more than finding the edges."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    v, name = sentence_pieces.vocabulary(path), "spark.sql.execution.replaceHashWithSortAgg"
+    words = spark.createDataFrame([("▁river", 0, None, 1), ("▁stone", 0, None, 2)], "key string, base int, part string, n long").repartition(1, "key")
+    old = spark.conf.get(name)
+    with sentence_pieces.grouped_in_order(spark):
+        coded = sentence_pieces.segment(sentence_pieces.lattice(words, sentence_pieces.piece_table(spark, path), v.longest, v.unknown), v.kind, v.longest)
+        plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(name) == old
+    assert plan.count("SortAggregate(") == 2 and "HashAggregate(" not in plan and plan.count("Sort [") == 2
+    assert {r["key"]: len(r["ids"]) for r in coded.collect()}.keys() == {"▁river", "▁stone"}
+
+
+def test_sentence_pieces_there_and_back_in_one_worker(spark, docs):
+    """The same rows as decoding what was encoded, with one Python worker for a task of the last stage."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    clash = docs.withColumns({"ids": F.lit("x")})
+    keep = tuple(clash.columns)
+    both = sentence_pieces.round_trip(clash, path, keep)
+    apart = sentence_pieces.decode(sentence_pieces.encode(clash, path, keep), path, (*keep, "ids_"), "ids_")
+    assert both.columns == apart.columns == [*keep, "ids_", "text_"] and sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+    assert queries.op6_sentence_pieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_sentence_pieces_in_small_blocks(spark, tmp_path, monkeypatch):
+    """Blocks that are shorter and longer than the places that the fold looks back at, with the same ids."""
+    import sentencepiece
+
+    (tmp_path / "scores.model").write_bytes(small_model(1).SerializeToString())
+    r = random.Random(9)
+    for path, letters in ((str(tmp_path / "scores.model"), "abcd"), (public_tokenizers.path("piece_bpe_32k.model"), "aeinorst")):
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        texts = ["".join(r.choice(letters) for _ in range(n)) for n in (1, 2, 3, 4, 7, 16, 17, 40, 64, 65, 66, 79, 80, 128, 129, 300)]
+        for size in (3, 20):
+            monkeypatch.setattr(sentence_pieces, "BLOCK", size)
+            coded = sentence_pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path)
+            assert {i: list(x["ids"]) for i, x in by_id(coded).items()} == {i: model.encode(t) for i, t in enumerate(texts)}
+
+
 def test_sentence_pieces_refuses_other_models(tmp_path):
     for k, m in enumerate([small_model(3), small_model(1, [("user", 4)]), small_model(2), small_model(1)]):
         if k == 3:
